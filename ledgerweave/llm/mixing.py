@@ -64,25 +64,32 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return t.select("source", "source_size", F.when(F.col("_capped"), cap).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken and ``keep``.
-
-    A budget over its source's size takes every row once and draws the excess as second
-    copies, so no row is taken more than twice. ``taken`` is size times copies.
-    """
-    sized = durable(
-        docs.select(
-            F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash60(F.col(doc_id)).alias("_h"), *keep
-        )
-    )
+def plan_mix(sized: DataFrame) -> DataFrame:
+    """One row a source: source, source_size, target, whole (copies of every row), threshold of the extra copy."""
     targets = source_targets(sized)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     plan = durable(
         targets.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
     )
     found = thresholds(sized.select("source", "size", "_h"), plan.select("source", "budget"))
-    plan = plan.join(found, plan["source"].eqNullSafe(found["source"]), "left").drop(found["source"])
-    out = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    joined = plan.join(found, plan["source"].eqNullSafe(found["source"]), "left").drop(found["source"])
+    return durable(joined.select(F.col("source").alias("_source"), "source_size", "target", "whole", "threshold"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken and ``keep``.
+
+    A budget over its source's size takes every row once and draws the excess as second
+    copies, so no row is taken more than twice. ``taken`` is size times copies. Histograms are made from a table
+    of ids, sources, sizes and hashes; with ``keep`` the rows themselves are read once more to be joined with the plan.
+    """
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash60(F.col(doc_id)).alias("_h"), *keep
+    )
+    sized = durable(rows.drop(*keep))
+    plan = plan_mix(sized)
+    base = rows if keep else sized
+    out = base.join(plan, base["source"].eqNullSafe(plan["_source"]))
     copies = F.when(F.col("source_size") == 0, 0).otherwise(
         F.col("whole") + F.coalesce(F.col("_h") <= F.col("threshold"), F.lit(False)).cast("int")
     )

@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerweave.llm import line_dedup, mixing, quality_rules
+from ledgerweave.llm import (
+    chat_format, line_dedup, media, mixing, near_dedup, piece_merges, quality_rules, secret_scan, url_filter,
+)
+
+MODEL = "piece_bpe_32k.model"
+
+
+def model_path(name: str = MODEL) -> str:
+    """Path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,20 +30,47 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("text")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_query(_read(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.op6_query(_read(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the documents stand for the pages of the same number: low quality or toxic is bad."""
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.filter_urls(_read(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op8_query(_read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_merges.tokenize(_read(spark, sf_dir, "documents"), model_path(), digests=True)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.op10_query(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_quality_rules": op1_quality_rules,
-        "op3_mix_sources": op3_mix_sources,
-        "op8_line_dedup": op8_line_dedup,
-    }
+    fns = (
+        op1_quality_rules, op2_secret_scan, op3_mix_sources, op5_near_dedup, op6_media,
+        op7_url_filter, op8_line_dedup, op9_sentencepiece, op10_chat_format,
+    )
+    return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
