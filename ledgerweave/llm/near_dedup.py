@@ -109,6 +109,29 @@ def residual_pairs(entries: DataFrame, docs: DataFrame, k: int, percent: int) ->
     return pairs.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
+def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, component for all linked nodes. ``entries``: rep, n (set size), band; ``texts``: doc_id, text of the reps.
+
+    First every bucket's classes meet its smallest one, then the residual pairs follow.
+    """
+    lead = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("hi"))
+    lead = lead.where("lead.rep <> hi").drop("hi")
+    met = durable(entries.join(lead, "band"))
+    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    stars = met.where((F.col("rep") != F.col("lead.rep")) & fits)
+    pairs = stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    links = durable(verified(durable(pairs), texts, k, percent))
+    first = durable(components(links))
+
+    node = first.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    known = met.select("rep", "n", "band").join(node, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    known = durable(known)
+    open_bands = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    rest = durable(known.join(open_bands, "band", "left_semi"))
+    more = durable(verified(durable(residual_pairs(rest, texts, k, percent)), texts, k, percent))
+    return durable(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -118,23 +141,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
     entries = reps.select("rep", "n", F.explode("bands").alias("band"))
-    lead = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("hi"))
-    lead = lead.where("lead.rep <> hi").drop("hi")
-    fits = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-    stars = entries.join(lead, "band").where((F.col("rep") != F.col("lead.rep")) & fits)
-    pairs = stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = durable(verified(durable(pairs), docs, k, percent))
-    first = components(links)
-
-    node = first.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    # Several classes of one id share a node; their entries stay apart by size.
-    known = entries.join(lead.select("band"), "band", "left_semi").join(node, "rep", "left")
-    known = known.withColumn("comp", F.coalesce("comp", "rep"))
-    open_bands = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = durable(known.join(open_bands, "band", "left_semi"))
-    more = durable(verified(durable(residual_pairs(rest, docs, k, percent)), docs, k, percent))
-    labels = durable(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-
+    labels = linked(entries, docs, k, percent)
     classes = reps.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("_component"))
     out = facts.drop("bands").join(classes, "set_key", "left")

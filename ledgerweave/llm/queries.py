@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import (
-    chat_format, line_dedup, media, mixing, near_dedup, piece_merges, quality_rules, secret_scan, url_filter,
+    chat_format, line_dedup, media, mixing, near_dedup, piece_merges, quality_rules, secret_scan, substring_dedup, url_filter,
 )
 
 MODEL = "piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_query(_read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op4_query(_read(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -67,7 +71,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (
-        op1_quality_rules, op2_secret_scan, op3_mix_sources, op5_near_dedup, op6_media,
+        op1_quality_rules, op2_secret_scan, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_media,
         op7_url_filter, op8_line_dedup, op9_sentencepiece, op10_chat_format,
     )
     return {f.__name__: f for f in fns}

@@ -19,14 +19,20 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 @dataclass
 class Words:
-    """``ids`` index ``dictionary``; row i owns ids[offsets[i]:offsets[i + 1]]."""
+    """``ids`` index ``dictionary``; row i owns ids[offsets[i]:offsets[i + 1]].
+
+    ``begin`` and ``end`` are code points from the row's start; ``stop`` marks a word that ends a sentence or line.
+    """
 
     ids: np.ndarray
     dictionary: pa.Array
     offsets: np.ndarray
+    begin: np.ndarray | None = None
+    end: np.ndarray | None = None
+    stop: np.ndarray | None = None
 
 
-def split_words(texts: pa.Array, fold: bool = True) -> Words:
+def split_words(texts: pa.Array, fold: bool = True, places: bool = False) -> Words:
     """Cut all texts at blanks (code points 32 and 9 to 13); a null has no words."""
     texts = texts.cast(pa.large_string()).fill_null("")
     starts_of_rows = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -54,10 +60,22 @@ def split_words(texts: pa.Array, fold: bool = True) -> Words:
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(buf[word])]
     )
     coded = flat.dictionary_encode()
-    return Words(
+    found = Words(
         np.asarray(coded.indices).astype(np.int64), coded.dictionary, np.searchsorted(starts, rows, side="left").astype(np.int64)
     )
 
+    if places:
+        bytes_ = np.frombuffer(raw, dtype=np.uint8)
+        points = np.zeros(len(bytes_) + 1, dtype=np.int64)
+        np.cumsum((bytes_ & 0xC0) != 0x80, out=points[1:])
+        row = np.repeat(np.arange(len(rows) - 1), np.diff(found.offsets))
+        found.begin, found.end = points[starts] - points[rows[row]], points[ends] - points[rows[row]]
+        lines = np.zeros(len(bytes_) + 1, dtype=np.int64)
+        np.cumsum(bytes_ == 10, out=lines[1:])
+        following = np.append(starts[1:], len(bytes_))
+        found.stop = np.isin(buf[ends - 1], (33, 46, 63)) | (lines[following] > lines[ends])
+    return found
+
 
 def word_hashes(words: Words) -> np.ndarray:
     """A 64-bit hash for every word position."""
