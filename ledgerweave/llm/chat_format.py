@@ -78,7 +78,7 @@ def format_branches(messages: DataFrame, path: DataFrame) -> DataFrame:
     ``messages``: conv, conv_id, node, role, text. A conversation becomes one string, as its result is one row.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(START), F.regexp_replace(escape(role), "\n", "\\\\\\\\\n"), F.lit("\n"))
+    head = F.concat(F.lit(START), F.regexp_replace(escape(role), "\n", "\\\\\n"), F.lit("\n"))
     turns = messages.join(path, ["conv", "node"]).select(
         "conv", "conv_id", "depth", (role == ASSISTANT).alias("learn"), head.alias("head"), escape(text).alias("body")
     )
