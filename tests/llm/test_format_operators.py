@@ -1,0 +1,142 @@
+"""Media, URL filters, SentencePiece, chat formatting and secret scans."""
+
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from helpers import documents
+from pyspark.sql import functions as F
+
+from ledgerweave.llm import chat_format, media, piece_merges, secret_scan, url_filter
+from ledgerweave.llm.queries import model_path
+
+
+def test_png_round_trip_of_every_filter():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 256, (9, media.ROW), dtype=np.uint8)
+    assert media.read_png(media.write_png(rows.tobytes())).tobytes() == rows.tobytes()
+    lines = []
+    for i, row in enumerate(rows.astype(int)):
+        up = rows[i - 1].astype(int) if i else np.zeros(media.ROW, int)
+        left = np.concatenate([[0] * 3, row[:-3]])
+        corner = np.concatenate([[0] * 3, up[:-3]])
+        p = left + up - corner
+        paeth = [min(((abs(q - a), k, a) for k, a in enumerate((x, y, z))))[2] for q, x, y, z in zip(p, left, up, corner)]
+        lines.append(bytes([i % 5]) + ((row - [0 * row, left, up, (left + up) // 2, np.array(paeth)][i % 5]) % 256).astype(np.uint8).tobytes())
+    head = struct.pack(">IIBBBBB", media.WIDTH, len(rows), 8, 2, 0, 0, 0)
+    data = media.SIGNATURE + media._chunk(b"IHDR", head) + media._chunk(b"IDAT", zlib.compress(b"".join(lines))) + media._chunk(b"IEND", b"")
+    assert media.read_png(data).tobytes() == rows.tobytes()
+    with pytest.raises(ValueError):
+        media.read_png(data[:60] + bytes([data[60] ^ 1]) + data[61:])
+    with pytest.raises(ValueError):
+        media.read_png(data[:-20])
+
+
+def test_media_query(spark):
+    texts = [None, "", "a", "é" * 500, "x" * 192, "tall " * 20000, "a"]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    rows = {r.doc_id: r for r in media.op6_query(df).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        want = raw + b" " * ((-len(raw)) % 192 if raw else 192)
+        r = rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        assert len(r.feature) == 16
+    assert rows[2][2:] == rows[6][2:] and rows[0][2:] == rows[1][2:]
+    assert media.op6_query(df.limit(0)).count() == 0
+
+
+def test_sentencepiece_is_exact(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    rng = random.Random(3)
+    parts = list("abcdefgh  \n\t'é中▁😀\x00 01") + ["the ", "tion", "aaaa", "    "]
+    texts = [None, "", " ", "  a", "▁x", "a \nb", "\n\n x\n", "a" * 3000, "the quick" * 400] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 80))) for _ in range(800)]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in piece_merges.tokenize(df, model_path()).collect()}
+    digests = {r.doc_id: r for r in piece_merges.tokenize(df, model_path(), digests=True).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "", add_eos=True)
+        assert (list(got[i].ids), got[i].decoded, got[i].n_tokens) == (ids, sp.decode(ids), len(ids))
+        assert digests[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert digests[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+CHAT = [
+    (1, 0, "system", "be kind"), (1, 1, "user", "a\\b <|im_end|> [INST] </s>"), (1, 2, "assistant", "\\<|x"), (1, 3, "user", None), (1, 4, "assistant", ""),
+    (2, 0, None, "no role"), (2, 0, "assistant", "x" * 5000), (None, 1, "line\nrole\\", "é😀<"), (3, 0, "assistant", "<<SYS>>\\"), (3, 1, "assistant", "two"),
+]
+
+
+def test_chat_query(spark):
+    df = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.op10_query(df).collect()}
+    rows = [*CHAT, (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    for conv in {r[0] for r in rows}:
+        turns = sorted((t, r or "", x or "") for c, t, r, x in rows if c == conv)
+        spoken = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(spoken.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    done = chat_format.format_conversations(df).collect()
+    assert all("</s>" not in r.formatted and "[INST]" not in r.formatted for r in done)
+    assert chat_format.format_conversations(df.limit(0)).count() == 0
+
+
+def test_reply_tree_picks_the_best_branch(spark):
+    rows = [("c", 1, None, 1.0), ("c", 2, 1, 1.0), ("c", 3, 1, 5.0), ("c", 4, 2, 1.0), ("c", 5, 4, 1.0), ("c", 6, 3, -9.0), ("d", 7, 99, 0.0)]
+    df = spark.createDataFrame(rows, "conv string, node long, parent long, score double")
+    got = sorted((r.conv, r.depth, r.node) for r in chat_format.best_branches(df).collect())
+    assert got == [("c", 1, 1), ("c", 2, 2), ("c", 3, 4), ("c", 4, 5), ("d", 1, 7)]
+    chain = spark.range(1, 300).select(F.lit("e").alias("conv"), F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("score"))
+    assert chat_format.best_branches(chain).agg(F.max("depth"), F.count("node")).first()[:] == (299, 299)
+    with pytest.raises(ValueError):
+        chat_format.best_branches(spark.createDataFrame([("r", 1, 2, 0.0), ("r", 2, 1, 0.0)], df.schema))
+
+
+def test_url_parts_and_rules(spark):
+    urls = {
+        None: ("", "", None), "no scheme": ("", "", None), "http://WWW.Example.com/en/a?q#x": ("www.example.com", "/en/a", "www.example.com/en/"),
+        "https://m.example.com/en/1": ("m.example.com", "/en/1", "example.com/en/"), "http://a.net/es/": ("a.net", "/es/", "net/es/"),
+        "http://xnet/es/": ("xnet", "/es/", None), "http://com": ("com", "", None), "http://com/": ("com", "/", "com/"), "://h?x://y/z": ("h", "", None),
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([], "page_id long, bad int")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labels).collect()}
+    for i, (host, path, rule) in enumerate(urls.values()):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].verdict == ("block" if rule in ("example.com/en/", "net/es/") else "allow")
+    assert url_filter.filter_urls(pages.limit(0), labels).count() == 0
+
+
+def test_templates_learn_bad_branches(spark):
+    rows = [(i, f"http://h.org/{'spam' if i % 2 else 'news'}/{i}.html", i % 2) for i in range(400)]
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 3 == 0], "page_id long, bad int")
+    got = url_filter.filter_urls(pages, labels).collect()
+    assert all((r.verdict == "block") == bool(r.page_id % 2) for r in got)
+    assert len({r.template for r in got}) == 2
+
+
+def test_secret_scan(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(0, f'it said token = "{key}" and on'), (1, f"see commit {key} for more"), (2, None), (3, ""), (4, f'a token = "{key}" b token = "{key}"'), (5, "plain words only")]
+    got = secret_scan.scan(documents(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.nth, r.start, r.is_secret) for r in got) == [(0, 0, 17, True), (1, 0, 11, False), (4, 0, 11, True), (4, 1, 64, True)]
+    assert all(r.key_sha256 == hashlib.sha256(key.encode()).hexdigest() for r in got)
+
+
+def test_forest_held_out_accuracy(spark):
+    words = spark.createDataFrame([("report",), ("annual",), ("news",)], "word string")
+    found = secret_scan.sample_findings(spark, 1200)
+    model = secret_scan.train(found.where("id % 4 <> 0"), words)
+    from pyspark.ml.feature import VectorAssembler
+
+    held = secret_scan.with_features(secret_scan.candidates(found.where("id % 4 = 0").withColumn("doc_id", F.col("id")), keep=("secret",)).where("nth = 0"), words)
+    scored = model.transform(VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(held))
+    assert scored.agg(F.avg((F.col("prediction") == F.col("secret")).cast("int"))).first()[0] > 0.95
