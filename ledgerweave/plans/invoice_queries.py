@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import dates, hashes, money, text
-from ledgerweave.operators import export, extract, layout, pages, search, stats, store
+from ledgerweave.functions import dates, hashes, money, repair, text
+from ledgerweave.operators import export, extract, layout, matching, pages, search, stats, store
 from ledgerweave.plans.catalog import register
+from ledgerweave.sources.records import detected_type, xml_fields
 from ledgerweave.sources.tables import invoices, table
 
 _INV = """(SELECT CAST(o_orderkey AS VARCHAR) AS id, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS number, o_orderpriority AS type,
@@ -416,3 +417,49 @@ def token_region(spark, sf_dir):
 def token_grid(spark, sf_dir):
     cells = _tokens(spark, sf_dir).withColumns({"row": F.floor(F.col("y0") / 20).cast("int"), "col": F.floor(F.col("pos") / 1000000).cast("int")})
     return layout.grid(cells, ["doc_id"])
+
+
+@register(
+    """SELECT o_orderkey, o_totalprice AS total, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice - 10, 2) ELSE round(o_totalprice * 0.5, 2) END AS net,
+       CASE WHEN o_orderkey % 3 = 0 THEN 10.0 WHEN o_orderkey % 3 = 1 THEN round(o_totalprice - round(o_totalprice * 0.5, 2), 2) ELSE 1.0 END::DOUBLE AS tax FROM orders"""
+)
+def header_repair(spark, sf_dir):
+    k, t = F.col("o_orderkey") % 3, F.col("o_totalprice")
+    net = F.when(k != 0, F.round(t * 0.5, 2))
+    tax = F.when(k == 0, 10.0).when(k == 2, 1.0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", repair.repaired_header(t, net, tax).alias("r")).select("o_orderkey", "r.total", "r.net", "r.tax")
+
+
+@register("SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor((l_linenumber - 1) / 3) AS BIGINT) AS chunk, l_returnflag || '_' || l_linestatus AS name FROM lineitem")
+def chunks_and_names(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", repair.chunk_of(F.col("l_linenumber") - 1, 3).alias("chunk"),
+        repair.named([F.col("l_returnflag"), F.lit(""), F.col("l_linestatus")]).alias("name"),
+    )
+
+
+@register(
+    """SELECT page_id, nullif(trim(regexp_extract(html, '(?i)<title>([^<]*)</', 1)), '') IS NOT NULL AS has_title, 'unknown' AS kind FROM pages"""
+)
+def html_fields(spark, sf_dir):
+    title = xml_fields(F.col("html"), {"title": ("nothere", "title")})[0]
+    return table(spark, sf_dir, "pages").select("page_id", title, detected_type(F.col("html").cast("binary"), F.lit("page.html")).alias("kind")).select(
+        "page_id", F.col("title").isNotNull().alias("has_title"), "kind"
+    )
+
+
+@register(
+    """WITH a AS (SELECT l_orderkey AS doc_id, l_extendedprice AS amount, l_linenumber * 20.0 AS x, l_quantity AS y FROM lineitem)
+       SELECT l.doc_id, l.amount AS net, r.amount AS tax, CAST(r.x - l.x AS DOUBLE) AS gap FROM a l JOIN a r ON l.doc_id = r.doc_id AND abs(l.y - r.y) <= 8 AND l.x < r.x AND l.amount > r.amount"""
+)
+def amount_pairs(spark, sf_dir):
+    a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_extendedprice").alias("amount"), (F.col("l_linenumber") * 20.0).alias("x"), F.col("l_quantity").alias("y"))
+    return matching.row_pairs(a).select("doc_id", "net", "tax", "gap")
+
+
+@register()
+def similar_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    pair = c.join(s, F.col("c_custkey") == F.col("s_suppkey"))
+    return pair.select("c_custkey", matching.name_similarity(F.col("c_name"), F.col("s_name")).alias("similarity"))

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ def test_stream_equals_fold(spark, tmp_path):
     for part in (0, 1):
         lines = [json.dumps({"op": o, "id": i, "ts": t, "pos": p, "data": d}) for p, (o, i, t, d) in enumerate(LOG) if (p < 4) == (part == 0)]
         (src / f"{part}.json").write_text("\n".join([*lines, "{broken"]))
+        os.utime(src / f"{part}.json", (1e9 + part * 100, 1e9 + part * 100))
     q = oplog.upsert_batches(oplog.fold_stream(oplog.read_log(spark, str(src), 1)), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     got = {r.id: (json.loads(r.data), r.deleted_at, r.hard_deleted) for r in oplog.current(spark, str(tmp_path / "out")).collect()}
