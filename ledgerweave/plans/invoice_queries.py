@@ -420,12 +420,12 @@ def token_grid(spark, sf_dir):
 
 
 @register(
-    """SELECT o_orderkey, o_totalprice AS total, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice - 10, 2) ELSE round(o_totalprice * 0.5, 2) END AS net,
-       CASE WHEN o_orderkey % 3 = 0 THEN 10.0 WHEN o_orderkey % 3 = 1 THEN round(o_totalprice - round(o_totalprice * 0.5, 2), 2) ELSE 1.0 END::DOUBLE AS tax FROM orders"""
+    """SELECT o_orderkey, o_totalprice AS total, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice - 10, 2) ELSE floor(o_totalprice) END AS net,
+       CASE WHEN o_orderkey % 3 = 0 THEN 10.0 WHEN o_orderkey % 3 = 1 THEN round(o_totalprice - floor(o_totalprice), 2) ELSE 1.0 END::DOUBLE AS tax FROM orders"""
 )
 def header_repair(spark, sf_dir):
     k, t = F.col("o_orderkey") % 3, F.col("o_totalprice")
-    net = F.when(k != 0, F.round(t * 0.5, 2))
+    net = F.when(k != 0, F.floor(t).cast("double"))
     tax = F.when(k == 0, 10.0).when(k == 2, 1.0)
     return table(spark, sf_dir, "orders").select("o_orderkey", repair.repaired_header(t, net, tax).alias("r")).select("o_orderkey", "r.total", "r.net", "r.tax")
 
