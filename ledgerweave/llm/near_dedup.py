@@ -78,13 +78,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return full.mapInArrow(run, "a long, b long").distinct()
 
 
-def residual_pairs(entries: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that can still reach the threshold.
-
-    ``entries``: band, rep, n, comp of buckets with several components. A shingle that no
-    other of these documents has cannot be shared, so with v shared shingles at most, a pair of
-    sizes n1, n2 needs 100 * m >= percent * (n1 + n2 - m) for m = min(v1, v2). The bound is exact.
-    """
+def shared_counts(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """rep, v: how many shingles of a member some other member has too. Others cannot be shared by any pair."""
 
     def explode(batches):
         for batch in batches:
@@ -93,43 +88,64 @@ def residual_pairs(entries: DataFrame, docs: DataFrame, k: int, percent: int) ->
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat.view(np.int64))], names=["rep", "s"])
 
-    members = entries.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep", "left_semi")
-    shingles = durable(texts.mapInArrow(explode, "rep long, s long"))
+    own = texts.select(F.col("doc_id").alias("rep"), "text").join(members, "rep", "left_semi")
+    shingles = durable(own.mapInArrow(explode, "rep long, s long"))
     shared = shingles.groupBy("s").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("s")
-    v = shingles.join(shared, "s", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("v"))
-    live = entries.join(v, "rep").where(F.col("v") * 100 >= percent * F.col("n"))
-    mixed = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    live = durable(live.join(mixed, "band", "left_semi").select("band", "rep", "n", "comp", "v"))
-    x = live.select("band", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "comp", "v")])
-    y = live.select("band", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "v")])
-    m = F.least("v1", "v2")
-    can = m * 100 >= percent * (F.col("n1") + F.col("n2") - m)
-    pairs = x.join(y, (x["band"] == y["band"]) & (F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & can)
-    return pairs.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+    return shingles.join(shared, "s", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("v"))
+
+
+def several(entries: DataFrame) -> DataFrame:
+    """Entries of the buckets whose members lie in more than one component."""
+    bands = entries.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+    return durable(entries.join(bands, "band", "left_semi"))
+
+
+def regrouped(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with the components of ``labels`` (node, component); unlinked members are their own."""
+    node = labels.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
+    return entries.join(node, "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
 
 
 def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """node, component for all linked nodes. ``entries``: rep, n (set size), band; ``texts``: doc_id, text of the reps.
 
-    First every bucket's classes meet its smallest one, then the residual pairs follow.
+    1. In every bucket all members meet the smallest one. 2. In buckets that still hold several components, members
+    meet the one with most shared shingles, which is nearest to the others. 3. There all remaining pairs of different
+    components are formed that can reach the threshold, each in the first bucket it shares. The bound is exact: with at most
+    v shared shingles, sizes n1 and n2 need 100 * m >= percent * (n1 + n2 - m) for m = min(v1, v2).
+    Only texts of members of common buckets are kept for the checks.
     """
     lead = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("hi"))
     lead = lead.where("lead.rep <> hi").drop("hi")
     met = durable(entries.join(lead, "band"))
+    members = met.select(F.col("rep").alias("doc_id")).distinct()
+    texts = durable(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi"))
     fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     stars = met.where((F.col("rep") != F.col("lead.rep")) & fits)
-    pairs = stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = durable(verified(durable(pairs), texts, k, percent))
-    first = durable(components(links))
-
-    node = first.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    known = met.select("rep", "n", "band").join(node, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    known = durable(known)
-    open_bands = known.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    rest = durable(known.join(open_bands, "band", "left_semi"))
-    more = durable(verified(durable(residual_pairs(rest, texts, k, percent)), texts, k, percent))
-    return durable(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    links = verified(durable(stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()), texts, k, percent)
+    labels = durable(components(links))
+
+    rest = several(regrouped(met.select("rep", "n", "band"), labels))
+    v = shared_counts(rest.select("rep").distinct(), texts, k)
+    live = several(rest.join(v, "rep").where(F.col("v") * 100 >= percent * F.col("n")))
+    best = live.groupBy("band").agg(F.max(F.struct("v", (-F.col("rep")).alias("minus"), "n", "comp")).alias("top"))
+    reach = lambda v1, n1, v2, n2: F.least(v1, v2) * 100 >= percent * (n1 + n2 - F.least(v1, v2))
+    near = live.join(best, "band").where((F.col("comp") != F.col("top.comp")) & reach(F.col("v"), F.col("n"), F.col("top.v"), F.col("top.n")))
+    pairs = near.select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).distinct()
+    star = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labels = durable(components(star(labels).unionByName(verified(durable(pairs), texts, k, percent))))
+
+    live = several(regrouped(live.drop("comp"), labels))
+    bands = live.groupBy("rep").agg(F.sort_array(F.collect_set("band")).alias("bands"))
+    live = durable(live.join(bands, "rep"))
+    names = ("rep", "n", "comp", "v", "bands")
+    x = live.select("band", *[F.col(c).alias(f"{c}1") for c in names])
+    y = live.select("band", *[F.col(c).alias(f"{c}2") for c in names])
+    can = reach(F.col("v1"), F.col("n1"), F.col("v2"), F.col("n2"))
+    once = F.get(F.array_intersect("bands1", "bands2"), F.lit(0)) == x["band"]
+    left = x.join(y, (x["band"] == y["band"]) & (F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & can & once)
+    more = verified(durable(left.select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))), texts, k, percent)
+    return durable(components(star(labels).unionByName(more)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -145,7 +161,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     classes = reps.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("_component"))
     out = facts.drop("bands").join(classes, "set_key", "left")
-    component = F.coalesce("_component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
