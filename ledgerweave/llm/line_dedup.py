@@ -54,12 +54,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = covered_lines(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_gone_id")
     df = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left").drop("_gone_id")
     # A line number is gone if a window starting there or one or two lines before is.
-    spread = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (LINES - 1)))))
-    marks = F.map_from_arrays("_spread", F.transform("_spread", lambda p: F.lit(True)))
-    df = df.withColumn("_spread", spread).withColumn("_marks", marks)
-    kept = F.filter(F.split("text", "\n"), lambda x, i: F.get("_flags", i) == 0)
-    flags = F.transform(F.split("text", "\n"), lambda x, i: F.when(F.element_at("_marks", i).isNull(), 0).otherwise(1))
-    df = df.withColumn("_flags", F.when(F.col("starts").isNotNull(), flags))
+    spread = F.sort_array(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (LINES - 1))))))
+    df = df.withColumn("_spread", spread)
+    # One 0 or 1 per line up to the last one gone, zipped with the lines: linear in both.
+    before = lambda i: F.coalesce(F.get("_spread", i - 1), F.lit(-1))
+    bits = F.array_join(F.transform("_spread", lambda p, i: F.concat(F.repeat(F.lit("0"), p - before(i) - 1), F.lit("1"))), "")
+    zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(bits, "").alias("gone"))
+    rest = F.filter(zipped, lambda x: x["line"].isNotNull() & (F.coalesce(x["gone"], F.lit("0")) != "1"))
+    kept = F.transform(rest, lambda x: x["line"])
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     return df.withColumns(
         {
@@ -67,7 +69,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             "n_removed": F.coalesce(F.size("_spread"), F.lit(0)).cast("long"),
             "text": F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
         }
-    ).drop("starts", "_spread", "_marks", "_flags")
+    ).drop("starts", "_spread")
 
 
 ORACLE_SQL = r"""
