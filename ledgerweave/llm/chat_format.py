@@ -47,22 +47,26 @@ def best_branches(messages: DataFrame) -> DataFrame:
     total = state.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv", "node").alias("u")).first()
     if total["n"] != total["u"]:
         raise ValueError("a message id occurs twice in a conversation")
-    steps = []
-    while state.where("far is not null").limit(1).count():
+    # Messages that have reached their root leave the rounds; only those still on their way are joined again.
+    active, done, steps = state.where("far is not null"), [state.where("far is null")], []
+    while active.limit(1).count():
         if len(steps) > max(total["n"], 1).bit_length():
             raise ValueError("the parents form a ring")
-        steps.append(state.where("far is not null").select("conv", "node", "far"))
-        above = state.select("conv", F.col("node").alias("far"), F.col("far").alias("_far"), F.col("score").alias("_s"), F.col("depth").alias("_d"))
-        joined = state.join(above, ["conv", "far"], "left")
-        state = durable(
-            joined.select(
-                "conv",
-                "node",
-                F.col("_far").alias("far"),
-                (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"),
-                (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
+        steps.append(active.select("conv", "node", "far"))
+        every = active
+        for part in done:
+            every = every.unionByName(part)
+        above = every.select("conv", F.col("node").alias("far"), F.col("far").alias("_far"), F.col("score").alias("_s"), F.col("depth").alias("_d"))
+        step = durable(
+            active.join(above, ["conv", "far"]).select(
+                "conv", "node", F.col("_far").alias("far"), (F.col("score") + F.col("_s")).alias("score"), (F.col("depth") + F.col("_d")).alias("depth")
             )
         )
+        done.append(step.where("far is null"))
+        active = step.where("far is not null")
+    state = done[0]
+    for part in done[1:]:
+        state = state.unionByName(part)
     parents = messages.select("conv", F.col("parent").alias("node")).where("node is not null").distinct()
     leaves = state.join(parents, ["conv", "node"], "left_anti")
     best = leaves.groupBy("conv").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("b"))
