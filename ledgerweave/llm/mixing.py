@@ -93,7 +93,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     copies = F.when(F.col("source_size") == 0, 0).otherwise(
         F.col("whole") + F.coalesce(F.col("_h") <= F.col("threshold"), F.lit(False)).cast("int")
     )
-    out = out.withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    out = out.withColumn("copies", F.least(copies, F.lit(CAP))).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *keep)
 
 
