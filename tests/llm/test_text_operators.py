@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import documents, near_components, text_metrics
+from helpers import documents, near_components, shingles, text_metrics
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import components, line_dedup, mixing, near_dedup, quality_rules, substring_dedup
@@ -186,3 +186,18 @@ def test_substring_dedup(spark):
         elif i not in planted:
             assert cleaned[i] == text
     assert substring_dedup.op4_query(df.limit(0)).count() == 0
+
+
+def test_paragraphs_of_repeated_lines(spark):
+    """Sizes are those of the distinct shingle sets, so that copies repeated more or less often meet."""
+    rng = random.Random(12)
+    line = prose(rng, 8)
+    texts = [f"{line} " * 5 + "end.", f"{line} " * 7 + "end.", f"{prose(rng, 3)} " * 15, "a b " * 200, sentences(rng, 12) * 2, "x y z w.\n" * 30]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    found = substring_dedup.paragraphs(df).collect()
+    assert {r.doc_id for r in found} == set(range(len(texts)))
+    for r in found:
+        assert r.n == len(shingles(texts[r.doc_id][r.cs : r.ce], substring_dedup.SHINGLE))
+    whole = [i for i in (0, 1) if shingles(texts[i], 5) == shingles(texts[0], 5)]
+    hits = {r.doc_id: r.cluster for r in substring_dedup.repeated_passages(df).collect() if (r.cs, r.ce) == (0, len(texts[r.doc_id]))}
+    assert whole == [0, 1] and hits[0] == hits[1]
