@@ -21,7 +21,8 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 class Words:
     """``ids`` index ``dictionary``; row i owns ids[offsets[i]:offsets[i + 1]].
 
-    ``begin`` and ``end`` are code points from the row's start; ``stop`` marks a word that ends a sentence or line.
+    ``begin`` and ``end`` are code points from the row's start; ``stop`` marks a word that ends a sentence or line,
+    ``line`` one that ends a line.
     """
 
     ids: np.ndarray
@@ -30,6 +31,7 @@ class Words:
     begin: np.ndarray | None = None
     end: np.ndarray | None = None
     stop: np.ndarray | None = None
+    line: np.ndarray | None = None
 
 
 def split_words(texts: pa.Array, fold: bool = True, places: bool = False) -> Words:
@@ -73,7 +75,8 @@ def split_words(texts: pa.Array, fold: bool = True, places: bool = False) -> Wor
         lines = np.zeros(len(bytes_) + 1, dtype=np.int64)
         np.cumsum(bytes_ == 10, out=lines[1:])
         following = np.append(starts[1:], len(bytes_))
-        found.stop = np.isin(buf[ends - 1], (33, 46, 63)) | (lines[following] > lines[ends])
+        found.line = lines[following] > lines[ends]
+        found.stop = np.isin(buf[ends - 1], (33, 46, 63)) | found.line
     return found
 
 

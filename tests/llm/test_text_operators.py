@@ -201,3 +201,49 @@ def test_paragraphs_of_repeated_lines(spark):
     whole = [i for i in (0, 1) if shingles(texts[i], 5) == shingles(texts[0], 5)]
     hits = {r.doc_id: r.cluster for r in substring_dedup.repeated_passages(df).collect() if (r.cs, r.ce) == (0, len(texts[r.doc_id]))}
     assert whole == [0, 1] and hits[0] == hits[1]
+
+
+def test_short_passages_in_mid_text(spark):
+    """Passages of 51 to 60 words are found without a whole paragraph in them, with and without punctuation."""
+    rng = random.Random(21)
+    rows, at = [], {}
+    for i in range(60):
+        words = prose(rng, 51 + i % 10, [f"p{j}" for j in range(10**5)])
+        if i % 3 == 1:
+            words = words.replace(" ", ". ", 1)
+        elif i % 3 == 2:
+            words = "\n".join(words.split(" ", 1))
+        for copy in range(2):
+            before, after = (prose(rng, rng.randint(30, 90), [f"q{j}" for j in range(10**6)]) for _ in range(2))
+            at[2 * i + copy] = (len(before) + 1, len(before) + 1 + len(words))
+            rows.append((2 * i + copy, f"{before} {words} {after}", "s"))
+    got = {r.doc_id: r for r in substring_dedup.op4_query(documents(spark, rows)).collect()}
+    assert set(got) == set(at)
+    for i, (a, b) in at.items():
+        assert got[i].keeper == i - i % 2
+        assert got[i].n_spans == i % 2
+        for s in got[i].spans:
+            # Near paragraphs may take in some words beside the passage.
+            assert min(s.ce, b) - max(s.cs, a) >= 100
+
+
+def test_blocks_fall_alike_in_any_text():
+    from ledgerweave.llm.token_arrays import split_words, word_hashes
+
+    rng = random.Random(22)
+    run = prose(rng, 40, WORDS)
+    for passage in (run, "la " * 40, "a b " * 20):
+        found = set()
+        for _ in range(30):
+            before = prose(rng, rng.randint(0, 50), WORDS)
+            text = " ".join(f"{before} {passage} {prose(rng, rng.randint(0, 50), WORDS)}".split())
+            words = split_words(substring_dedup.pa.array([text]), True, True)
+            h = word_hashes(words)
+            full = substring_dedup.np.zeros(len(h), dtype=h.dtype)
+            for j in range(substring_dedup.SHINGLE):
+                full[: len(h) - 4] += h[j : len(h) - 4 + j] * substring_dedup._WEIGHTS[j]
+            skip = len(before.split())
+            inside = {int(x) - skip for x in substring_dedup._blocks(words, substring_dedup.mix(full)) if skip <= x <= skip + 40 - substring_dedup.MIN_WORDS}
+            assert inside
+            found.add(frozenset(inside))
+        assert frozenset.intersection(*found)
