@@ -1,7 +1,7 @@
 """URL filters: a path-template tree per host, judged by labelled purity (native expressions only).
 
 Walking down the path segments, a segment value stays a literal branch if it looks fixed and has
-enough support among its siblings; all others fall into the wildcard branch. Literal
+enough pages; all others fall into the wildcard branch. Literal
 branches whose labelled share of bad pages does not differ significantly from their siblings' are merged into
 one. Each final template is scored by its bad share, smoothed towards the overall share, and
 rejected from a limit on. Explicit allow and block rules go first, the longest fitting rule wins.
@@ -57,21 +57,34 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if text is None else (text, verdict)
 
 
-def templates(pages: DataFrame, depth: int = 4, support: int = 5, share: float = 0.005, z: float = 1.96) -> DataFrame:
-    """Add ``template`` to (page_id, host, path, bad); ``depth`` levels are told apart, deeper ones are one wildcard."""
+def templates(pages: DataFrame, support: int = 5, z: float = 1.96) -> DataFrame:
+    """Add ``template`` to (page_id, host, path, bad).
+
+    A level at a time, until no node is open: one is closed when all its pages go on alike or when it has fewer than
+    ``support`` pages, so that no branch of it could be told apart. What a closed node still has below it is one wildcard.
+    """
     parts = F.split(F.regexp_replace("path", r"^/|/$", ""), "/")
     rows = durable(pages.withColumn("_parts", parts).withColumn("template", F.lit("")))
-    for level in range(depth):
+    closed, level = None, 0
+    while True:
+        ahead = F.when(F.size("_parts") > level, F.concat(F.lit("/"), F.array_join(F.slice("_parts", level + 1, F.greatest(F.size("_parts"), F.lit(1))), "/")))
+        ahead = F.coalesce(ahead, F.lit(""))
+        nodes = rows.groupBy("host", "template").agg(
+            F.count(F.lit(1)).alias("all_n"), F.sum("bad").alias("all_b"), F.count("bad").alias("all_m"), F.min(ahead).alias("lo"), F.max(ahead).alias("hi")
+        )
+        nodes = durable(nodes.withColumn("open", (F.col("lo") != F.col("hi")) & (F.col("all_n") >= support)).withColumn("below", F.col("hi") != "").drop("lo", "hi"))
+        marked = rows.join(nodes.select("host", "template", "open", "below"), ["host", "template"])
+        ended = F.when(F.col("below"), F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
+        done = durable(marked.where("not open").withColumn("template", ended).drop("_parts", "open", "below"))
+        closed = done if closed is None else closed.unionByName(done)
+        if nodes.where("open").isEmpty():
+            return closed
         seg = F.coalesce(F.get("_parts", F.lit(level)), F.lit(END))
-        rows = rows.withColumn("_seg", F.when(seg.rlike(VARIABLE), F.lit(WILDCARD)).otherwise(seg))
-        kids = durable(
-            rows.groupBy("host", "template", "_seg").agg(
-                F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"), F.count("bad").alias("m")
-            )
+        rows = marked.where("open").drop("open", "below").withColumn("_seg", F.when(seg.rlike(VARIABLE), F.lit(WILDCARD)).otherwise(seg))
+        kids = rows.groupBy("host", "template", "_seg").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"), F.count("bad").alias("m")
         )
-        nodes = kids.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"), F.sum("m").alias("all_m"))
-        literal = (F.col("_seg") != WILDCARD) & (F.col("n") >= support) & (F.col("n") >= share * F.col("all_n"))
-        named = kids.join(nodes, ["host", "template"]).where(literal)
+        named = kids.where((F.col("_seg") != WILDCARD) & (F.col("n") >= support)).join(nodes, ["host", "template"])
         others = F.nullif(F.col("all_m") - F.col("m"), F.lit(0))
         own = F.nullif(F.col("m"), F.lit(0))
         p = F.col("all_b") / F.nullif(F.col("all_m"), F.lit(0))
@@ -83,8 +96,7 @@ def templates(pages: DataFrame, depth: int = 4, support: int = 5, share: float =
         rows = durable(
             rows.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_as", F.lit(WILDCARD)))).drop("_seg", "_as")
         )
-    deeper = F.size("_parts") > depth
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_parts")
+        level += 1
 
 
 def purity(rows: DataFrame, strength: float = 8.0) -> DataFrame:

@@ -123,6 +123,18 @@ def test_templates_learn_bad_branches(spark):
     assert len({r.template for r in got}) == 2
 
 
+def test_small_and_deep_bad_sections(spark):
+    """A bad section of 0.4% of its host, and one that parts from a good one at the fifth and the eighth segment."""
+    paths = [(f"/s{i % 250}/{i}.html", 0) for i in range(2988)] + [(f"/spam/{i}.html", 1) for i in range(12)]
+    rows = [("big.org", p, b) for p, b in paths]
+    for host, above in (("five.org", "/a/b/c/d"), ("eight.org", "/a/b/c/d/e/f/g")):
+        rows += [(host, f"{above}/{'spam' if i % 2 else 'news'}/{i}.html", i % 2) for i in range(80)]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, _, b) in enumerate(rows)], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, labels).collect()}
+    assert got == {i: "block" if b else "allow" for i, (_, _, b) in enumerate(rows)}
+
+
 def test_secret_scan(spark):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [(0, f'it said token = "{key}" and on'), (1, f"see commit {key} for more"), (2, None), (3, ""), (4, f'a token = "{key}" b token = "{key}"'), (5, "plain words only")]
