@@ -112,14 +112,7 @@ def retention(spark, sf_dir):
     return store.retained(invoices(spark, sf_dir), "1998-01-01", "date").select("id", "date")
 
 
-@register(
-    """SELECT CAST(o_orderkey AS VARCHAR) AS "recordId", l_linenumber AS line, '*' || p_brand || '*' || p_name AS xmmc, p_brand AS "classificationCode",
-       l_quantity AS quantity, l_extendedprice AS "lineAmount" FROM orders LEFT JOIN (lineitem JOIN part ON p_partkey = l_partkey) ON l_orderkey = o_orderkey
-       WHERE o_orderkey % 5 = 0"""
-)
-def export_rows(spark, sf_dir):
-    """The filter picks the exported invoices, as a file selection would."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey"))
+def _exported(spark, sf_dir, orders):
     part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("*"), "p_brand", F.lit("*"), "p_name").alias("xmmc"))
     lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     items = lines.groupBy("l_orderkey").agg(
@@ -130,13 +123,31 @@ def export_rows(spark, sf_dir):
             )
         ).alias("line_items")
     )
-    rows = export.flatten(orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
+    rows = export.flatten(orders.select("o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
     return rows.select(
         F.col("o_orderkey").cast("string").alias("recordId"), F.col("taxRate").alias("line"), "xmmc",
         F.when(F.col("xmmc").isNotNull(), F.col("classificationCode")).alias("classificationCode"), "quantity", "lineAmount",
     )
 
 
+@register(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS "recordId", l_linenumber AS line, '*' || p_brand || '*' || p_name AS xmmc, p_brand AS "classificationCode",
+       l_quantity AS quantity, l_extendedprice AS "lineAmount" FROM orders LEFT JOIN (lineitem JOIN part ON p_partkey = l_partkey) ON l_orderkey = o_orderkey
+       WHERE o_orderkey % 5 = 0"""
+)
+def export_rows(spark, sf_dir):
+    """The filter picks the exported invoices, as a file selection would; export_all_rows has none."""
+    return _exported(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"))
+
+
+@register(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS "recordId", l_linenumber AS line, '*' || p_brand || '*' || p_name AS xmmc, p_brand AS "classificationCode",
+       l_quantity AS quantity, l_extendedprice AS "lineAmount" FROM orders LEFT JOIN (lineitem JOIN part ON p_partkey = l_partkey) ON l_orderkey = o_orderkey"""
+)
+def export_all_rows(spark, sf_dir):
+    return _exported(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
 @register(
     """WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders), l AS (SELECT l_orderkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS e FROM lineitem)
        SELECT count(DISTINCT l_orderkey) AS n_invoices, CAST((SELECT sum(t) FROM o WHERE o_orderkey IN (SELECT l_orderkey FROM l)) AS DOUBLE) AS total,

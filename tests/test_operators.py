@@ -104,3 +104,10 @@ def test_export(spark, tmp_path):
         export.checked_path("/a/../b.csv", "csv")
     export.write_csv(spark.createDataFrame([("=x", 1.0)], "xmmc string, quantity double"), str(tmp_path / "o"), ["xmmc", "quantity"])
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "o"), header=True).collect()] == [("'=x", "1.0")]
+
+
+def test_all_orders_are_exported(spark):
+    from ledgerweave.plans.invoice_queries import export_all_rows
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert export_all_rows(spark, "/root/testdata/sf0.001").select("recordId").distinct().count() == orders
