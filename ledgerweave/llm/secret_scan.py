@@ -1,7 +1,8 @@
 """Secret scans: pattern candidates, then a random forest that removes false positives (native only).
 
-A candidate is a run of at least 16 key characters with a digit, or a run in a known key format. Its features are
-length, changes of character class, digit and distinct-character shares, the share of its characters in letter
+A candidate is a run of at least 16 key characters with a digit, a run in a known key format (with or without a digit), or
+the value, of four characters at least, that a secret-like name is given by ``=`` or ``:``. Its features are
+length, known format, changes of character class, digit and distinct-character shares, the share of its characters in letter
 runs that are words of the corpus, path marks, and the words beside it. The forest is Spark's own and is trained from labelled findings:
 a table of texts with one finding each and its label. ``sample_findings`` makes such a table from
 rules for callers without one; it has a fixed, documented number of rows.
@@ -21,12 +22,24 @@ from pyspark.sql import functions as F
 
 from ledgerweave.session import durable
 
-CANDIDATE = r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z_/+=.-]*[0-9])[A-Za-z0-9_/+=.-]{16,}"
+#: Key formats that are told by their begin.
+FORMAT = (
+    r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}"
+    r"|sk-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]*)?|-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----)"
+)
+#: A secret-like name and its sign of assignment; bounded, as it is looked back for.
+GIVEN = r"(?i:token|secret|password|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[\"']?\s{0,3}(?::=|[=:])\s{0,3}[\"']?"
+#: A run that is a name and its value is left to the last form, which takes the value only. In every form the cheapest test comes first.
+CANDIDATE = (
+    rf"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z_/+=.-]*[0-9])(?![A-Za-z_.-]{{0,30}}{GIVEN}[^\s\"'=:]{{4}})[A-Za-z0-9_/+=.-]{{16,}}"
+    rf"|(?=[-Agxse])(?<![A-Za-z0-9]){FORMAT}"
+    rf"|(?<=[\s\"'=:])(?=[^\s\"'=:][^\s\"']{{3}})(?<=[=:]\s{{0,3}}[\"']?)(?<={GIVEN})[^\s\"']{{4,}}"
+)
 CONTEXT = 40
 #: Words that stand beside real keys, and words that stand beside look-alikes.
 NAMING = r"(?i)(token|secret|passw|api.?key|access.?key|private.?key|credential|bearer|auth)"
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|commit|sha\d*|digest|checksum|uuid|guid|revision|build|version|etag|https?:|href|src|path|file)"
-FEATURES = ("length", "changes", "digits", "distinct", "known", "path_marks", "in_path", "named", "harmless", "assigned", "hex", "upper")
+FEATURES = ("length", "changes", "digits", "distinct", "known", "path_marks", "in_path", "named", "harmless", "assigned", "hex", "upper", "format")
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -93,13 +106,15 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
             "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
             "hex": c.rlike("^[0-9a-fA-F]+$").cast("double"),
             "upper": share("[A-Z]"),
+            "format": c.rlike("^" + FORMAT).cast("double"),
         }
     ).drop("_cover", "_key")
 
 
 def sample_findings(spark: SparkSession, rows: int = 2000) -> DataFrame:
-    """text, secret (1 or 0): ``rows`` findings in ten kinds, made from the digests of their numbers."""
+    """text, secret (1 or 0): ``rows`` findings in fourteen kinds, made from the digests of their numbers."""
     hex_ = F.sha2(F.col("id").cast("string"), 256)
+    letters = F.translate(hex_, "0123456789", "GHJKMNPQRS")
     b64 = F.regexp_replace(F.base64(F.unhex(hex_)), "[/+=]", "7")
     up = F.upper(F.regexp_replace(b64, "[^A-Za-z0-9]", "Q"))
     filler = F.element_at(F.array(*[F.lit(w) for w in ("it was the report", "see the notes on", "of them all", "and then in", "we had for the")]), (F.col("id") % 5 + 1).cast("int"))
@@ -109,6 +124,10 @@ def sample_findings(spark: SparkSession, rows: int = 2000) -> DataFrame:
         (1, F.concat(F.lit(" api_key: 4"), F.substring(b64, 1, 31), F.lit(" "))),
         (1, F.concat(F.lit(" secret=ghp_9"), F.substring(b64, 2, 35), F.lit(" "))),
         (1, F.concat(F.lit(' password: "z'), F.substring(b64, 3, 18), F.lit('3" '))),
+        (1, F.concat(F.lit(" AKIA"), F.upper(F.substring(letters, 1, 16)), F.lit(" "))),
+        (1, F.concat(F.lit(' password: "'), F.substring(b64, 5, 9), F.lit('" '))),
+        (1, F.concat(F.lit(" -----BEGIN "), F.element_at(F.array(F.lit("RSA "), F.lit("EC "), F.lit("")), (F.col("id") % 3 + 1).cast("int")), F.lit("PRIVATE KEY----- "))),
+        (0, F.concat(F.lit(" secret: "), F.element_at(F.array(*[F.lit(w) for w in ("report", "annual", "news", "none", "required", "string")]), (F.col("id") % 6 + 1).cast("int")), F.lit(" "))),
         (0, F.concat(F.lit(" commit "), F.substring(hex_, 1, 40), F.lit(" "))),
         (0, F.concat(F.lit(" https://www.example.com/news/"), (F.col("id") % 3000).cast("string"), F.lit("/annual-report.html "))),
         (0, F.concat(F.lit(" uuid "), F.regexp_replace(F.substring(hex_, 1, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(" "))),
