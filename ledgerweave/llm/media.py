@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.token_arrays import small_batches
+from ledgerweave.llm.token_arrays import in_pieces
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, CHANNELS = 64, 3
@@ -147,14 +147,13 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (binary PNG)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             made = [payload_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([write_png(p) for p, _ in made], pa.binary())],
                 names=["doc_id", "n_bytes", "media"],
             )
 
-    small_batches(docs.sparkSession, 256)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -162,7 +161,7 @@ def read_back(media: DataFrame) -> DataFrame:
     """Decode every image: doc_id, n_bytes, payload (binary), feature, media."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches, 2):
             files = batch.column(2).to_pylist()
             pictures = [read_png(f) for f in files]
             yield pa.RecordBatch.from_arrays(
@@ -176,7 +175,6 @@ def read_back(media: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "payload", "feature", "media"],
             )
 
-    small_batches(media.sparkSession, 256)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         run, "doc_id long, n_bytes long, payload binary, feature string, media binary"
     )

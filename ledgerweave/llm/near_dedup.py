@@ -3,9 +3,9 @@
 Every permutation of a document's shingle set gives two signature values, its minimum and
 its maximum, so half the hash evaluations fill the bands. Documents with equal sets become
 one class by a 128-bit digest before any pair is formed. In each band bucket all classes meet the
-smallest one; verified links give components; then only pairs of classes that
-still lie in different components are formed, after an exact bound has taken out those that cannot
-reach the threshold. Every link is confirmed on the full sets of 64-bit shingle hashes.
+smallest one, then the one that shares most; verified links give components; the classes that
+still lie in different components of one bucket are joined by an exact prefix filter on their rarest shingles.
+Every link is confirmed on the full sets of shingles, each shingle as its 64-bit hash.
 
 Recall: with 4 rows in 32 bands a pair of similarity 0.8 shares no bucket with probability
 (1 - 0.8**4)**32 = 5e-8.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.components import components
 from ledgerweave.llm.token_arrays import (
-    band_keys, minmax_signature, overlaps, permutations, shingle_sets, small_batches,
+    band_keys, in_pieces, minmax_signature, overlaps, permutations, shingle_sets,
 )
 from ledgerweave.session import durable
 
@@ -39,7 +39,7 @@ def features(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
 
     def run(batches):
         scale, shift = permutations(bands * rows // 2)
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             n, keys, found = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
@@ -52,7 +52,6 @@ def features(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
                 names=["doc_id", "n_shingles", "set_key", "bands"],
             )
 
-    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
@@ -61,7 +60,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches, 2, 3):
             left, right = shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k)
             ok = []
             for x, y in zip(left, right):
@@ -70,7 +69,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    small_batches(docs.sparkSession)
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     a = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -78,11 +76,14 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return full.mapInArrow(run, "a long, b long").distinct()
 
 
-def shared_counts(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """rep, v: how many shingles of a member some other member has too. Others cannot be shared by any pair."""
+def common_shingles(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """rep, order: a member's shingles that another member has too, as structs (c, s), rarest first; c members have s.
+
+    A shingle of one member only cannot be shared by any pair. The array of a member is as long as its own text.
+    """
 
     def explode(batches):
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             sets = shingle_sets(batch.column(1), k)
             ids = np.repeat(np.asarray(batch.column(0)), [len(s) for s in sets]) if sets else np.empty(0, np.int64)
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
@@ -90,8 +91,32 @@ def shared_counts(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     own = texts.select(F.col("doc_id").alias("rep"), "text").join(members, "rep", "left_semi")
     shingles = durable(own.mapInArrow(explode, "rep long, s long"))
-    shared = shingles.groupBy("s").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("s")
-    return shingles.join(shared, "s", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("v"))
+    common = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return shingles.join(common, "s").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))
+
+
+def residual_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components that can still reach the threshold, by prefixes of rare shingles.
+
+    ``live``: rep, n, comp, v, order. In one global order, rarest first, the sets x and y of a link share a shingle, their
+    first common one, at places i and j with at least m = percent * (nx + ny) / (100 + percent) shingles from there on in either set.
+    So only the first n - percent * n / 100 places of a set are looked up, only the first n - 2 * percent * n / (100 + percent)
+    in the smaller one of a pair, and a meeting counts only if both places leave room for m. Shingles of one member come first
+    and meet nothing, so common passages and the shared stock of a large group are never reached.
+    """
+    n, at = F.col("n"), F.col("n") - F.col("v") + F.col("_at")
+    places = live.select("rep", "n", "comp", (n - F.floor((percent * n + 99) / 100) + 1 - (n - F.col("v"))).alias("_take"), "v", "order").where("_take > 0")
+    places = places.select("rep", "n", "comp", "v", F.posexplode(F.slice("order", F.lit(1), F.col("_take").cast("int"))).alias("_at", "_cs"))
+    places = durable(places.select("rep", "n", "comp", F.col("_cs.s").alias("s"), (n - at).alias("room")))
+    small = places.where((100 + percent) * F.col("room") >= 2 * percent * n)
+    x = small.select("s", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "comp", "room")])
+    y = places.select("s", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "room")])
+    meet = (
+        (F.struct("n1", "rep1") < F.struct("n2", "rep2"))
+        & (F.col("comp1") != F.col("comp2"))
+        & ((100 + percent) * F.least("room1", "room2") >= percent * (F.col("n1") + F.col("n2")))
+    )
+    return x.join(y, (x["s"] == y["s"]) & meet).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def several(entries: DataFrame) -> DataFrame:
@@ -110,8 +135,9 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """node, component for all linked nodes. ``entries``: rep, n (set size), band; ``texts``: doc_id, text of the reps.
 
     1. In every bucket all members meet the smallest one. 2. In buckets that still hold several components, members
-    meet the one with most shared shingles, which is nearest to the others. 3. There all remaining pairs of different
-    components are formed that can reach the threshold, each in the first bucket it shares. The bound is exact: with at most
+    meet the one with most shared shingles, which is nearest to the others. 3. The members of buckets that even then hold
+    several components are joined by prefixes of their rare shingles (``residual_pairs``), which forms the pairs of different
+    components that can reach the threshold, and no others. All bounds are exact: with at most
     v shared shingles, sizes n1 and n2 need 100 * m >= percent * (n1 + n2 - m) for m = min(v1, v2).
     Only texts of members of common buckets are kept for the checks.
     """
@@ -126,8 +152,13 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     labels = durable(components(links))
 
     rest = several(regrouped(met.select("rep", "n", "band"), labels))
-    v = shared_counts(rest.select("rep").distinct(), texts, k)
-    live = several(rest.join(v, "rep").where(F.col("v") * 100 >= percent * F.col("n")))
+    known = durable(
+        common_shingles(rest.select("rep").distinct(), texts, k)
+        .withColumn("v", F.size("order").cast("long"))
+        .join(rest.select("rep", "n").distinct(), "rep")
+        .where(F.col("v") * 100 >= percent * F.col("n"))
+    )
+    live = several(rest.join(known.select("rep", "v"), "rep"))
     best = live.groupBy("band").agg(F.max(F.struct("v", (-F.col("rep")).alias("minus"), "n", "comp")).alias("top"))
     reach = lambda v1, n1, v2, n2: F.least(v1, v2) * 100 >= percent * (n1 + n2 - F.least(v1, v2))
     near = live.join(best, "band").where((F.col("comp") != F.col("top.comp")) & reach(F.col("v"), F.col("n"), F.col("top.v"), F.col("top.n")))
@@ -136,15 +167,8 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     labels = durable(components(star(labels).unionByName(verified(durable(pairs), texts, k, percent))))
 
     live = several(regrouped(live.drop("comp"), labels))
-    bands = live.groupBy("rep").agg(F.sort_array(F.collect_set("band")).alias("bands"))
-    live = durable(live.join(bands, "rep"))
-    names = ("rep", "n", "comp", "v", "bands")
-    x = live.select("band", *[F.col(c).alias(f"{c}1") for c in names])
-    y = live.select("band", *[F.col(c).alias(f"{c}2") for c in names])
-    can = reach(F.col("v1"), F.col("n1"), F.col("v2"), F.col("n2"))
-    once = F.get(F.array_intersect("bands1", "bands2"), F.lit(0)) == x["band"]
-    left = x.join(y, (x["band"] == y["band"]) & (F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & can & once)
-    more = verified(durable(left.select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))), texts, k, percent)
+    left = known.join(live.select("rep", "comp").distinct(), "rep")
+    more = verified(durable(residual_pairs(left, percent)), texts, k, percent)
     return durable(components(star(labels).unionByName(more)))
 
 

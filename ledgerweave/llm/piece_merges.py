@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.token_arrays import small_batches
+from ledgerweave.llm.token_arrays import in_pieces
 
 SPACE = "▁"
 MAX_PIECES = 2_000_000
@@ -182,12 +182,11 @@ def tokenize(docs: DataFrame, model: str, digests: bool = False, doc_id: str = "
     ``model`` is the path of a SentencePiece BPE model on the driver; an end id closes every text.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(read_vocabulary(model))
 
     def run(batches):
         merger = Merger(shared.value)
-        for batch in batches:
+        for batch in in_pieces(batches, 1):
             names, rows = batch.column(0), []
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 64):

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Blanks become spaces and A-Z become a-z; both are single bytes in UTF-8, so lengths stay.
@@ -160,8 +161,21 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def small_batches(spark, rows: int = 512) -> None:
-    """Bound Arrow batches by rows, as texts may be long; an already lower bound stays."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_pieces(batches, *texts: int, most: int = 2 << 20):
+    """The same rows in batches whose columns ``texts`` hold at most ``most`` bytes, or one row; Spark bounds its own by 64 MB.
+
+    Work arrays take some tens of bytes per byte of text, so this bounds a task's memory whatever the lengths of the texts.
+    """
+    for batch in batches:
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for at in texts:
+            size += np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64)
+        upto = np.cumsum(size)
+        first = 0
+        while first < batch.num_rows:
+            done = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, done + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+        if not batch.num_rows:
+            yield batch
