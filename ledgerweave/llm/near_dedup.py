@@ -132,22 +132,19 @@ def regrouped(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, component for all linked nodes. ``entries``: rep, n (set size), band; ``texts``: doc_id, text of the reps.
+    """node, component for all linked nodes. ``entries``: rep, n (set size), band; ``texts``: doc_id, text of the reps, no others.
 
     1. In every bucket all members meet the smallest one. 2. In buckets that still hold several components, members
-    meet the one with most shared shingles, which is nearest to the others. 3. The members of buckets that even then hold
+    meet the one with most shared shingles, which is nearest to the others. Who has met all others of a bucket leaves it. 3. The members of buckets that even then hold
     several components are joined by prefixes of their rare shingles (``residual_pairs``), which forms the pairs of different
     components that can reach the threshold, and no others. All bounds are exact: with at most
     v shared shingles, sizes n1 and n2 need 100 * m >= percent * (n1 + n2 - m) for m = min(v1, v2).
-    Only texts of members of common buckets are kept for the checks.
     """
     lead = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("hi"))
     lead = lead.where("lead.rep <> hi").drop("hi")
-    met = durable(entries.join(lead, "band"))
-    members = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = durable(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi"))
+    met = durable(entries.join(lead, "band").where(F.col("rep") != F.col("lead.rep")))
     fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    stars = met.where((F.col("rep") != F.col("lead.rep")) & fits)
+    stars = met.where(fits)
     links = verified(durable(stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()), texts, k, percent)
     labels = durable(components(links))
 
@@ -166,7 +163,8 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     star = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
     labels = durable(components(star(labels).unionByName(verified(durable(pairs), texts, k, percent))))
 
-    live = several(regrouped(live.drop("comp"), labels))
+    rest = live.join(best.select("band", (-F.col("top.minus")).alias("_top")), "band").where("rep <> _top")
+    live = several(regrouped(rest.drop("comp", "_top"), labels))
     left = known.join(live.select("rep", "comp").distinct(), "rep")
     more = verified(durable(residual_pairs(left, percent)), texts, k, percent)
     return durable(components(star(labels).unionByName(more)))
@@ -181,7 +179,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
     entries = reps.select("rep", "n", F.explode("bands").alias("band"))
-    labels = linked(entries, docs, k, percent)
+    full = entries.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("band")
+    entries = durable(entries.join(full, "band", "left_semi"))
+    members = entries.select(F.col("rep").alias("doc_id")).distinct()
+    texts = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi"))
+    labels = linked(entries, texts, k, percent)
     classes = reps.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("_component"))
     out = facts.drop("bands").join(classes, "set_key", "left")
