@@ -29,7 +29,7 @@ from ledgerweave.llm.components import components
 from ledgerweave.llm.token_arrays import (
     band_keys, in_pieces, minmax_signature, overlaps, permutations, shingle_sets,
 )
-from ledgerweave.session import durable
+from ledgerweave.session import durable, temporary
 
 BANDS, ROWS = 32, 4
 
@@ -140,34 +140,36 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     components that can reach the threshold, and no others. All bounds are exact: with at most
     v shared shingles, sizes n1 and n2 need 100 * m >= percent * (n1 + n2 - m) for m = min(v1, v2).
     """
-    lead = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("hi"))
-    lead = lead.where("lead.rep <> hi").drop("hi")
-    met = durable(entries.join(lead, "band").where(F.col("rep") != F.col("lead.rep")))
-    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    stars = met.where(fits)
-    links = verified(durable(stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()), texts, k, percent)
-    labels = durable(components(links))
-
-    rest = several(regrouped(met.select("rep", "n", "band"), labels))
-    known = durable(
-        common_shingles(rest.select("rep").distinct(), texts, k)
-        .withColumn("v", F.size("order").cast("long"))
-        .join(rest.select("rep", "n").distinct(), "rep")
-        .where(F.col("v") * 100 >= percent * F.col("n"))
-    )
-    live = several(rest.join(known.select("rep", "v"), "rep"))
-    best = live.groupBy("band").agg(F.max(F.struct("v", (-F.col("rep")).alias("minus"), "n", "comp")).alias("top"))
-    reach = lambda v1, n1, v2, n2: F.least(v1, v2) * 100 >= percent * (n1 + n2 - F.least(v1, v2))
-    near = live.join(best, "band").where((F.col("comp") != F.col("top.comp")) & reach(F.col("v"), F.col("n"), F.col("top.v"), F.col("top.n")))
-    pairs = near.select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).distinct()
-    star = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = durable(components(star(labels).unionByName(verified(durable(pairs), texts, k, percent))))
-
-    rest = live.join(best.select("band", (-F.col("top.minus")).alias("_top")), "band").where("rep <> _top")
-    live = several(regrouped(rest.drop("comp", "_top"), labels))
-    left = known.join(live.select("rep", "comp").distinct(), "rep")
-    more = verified(durable(residual_pairs(left, percent)), texts, k, percent)
-    return durable(components(star(labels).unionByName(more)))
+    with temporary():
+        lead = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("hi"))
+        lead = lead.where("lead.rep <> hi").drop("hi")
+        met = durable(entries.join(lead, "band").where(F.col("rep") != F.col("lead.rep")))
+        fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+        stars = met.where(fits)
+        links = verified(durable(stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()), texts, k, percent)
+        labels = durable(components(links))
+
+        rest = several(regrouped(met.select("rep", "n", "band"), labels))
+        texts = durable(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        known = durable(
+            common_shingles(rest.select("rep").distinct(), texts, k)
+            .withColumn("v", F.size("order").cast("long"))
+            .join(rest.select("rep", "n").distinct(), "rep")
+            .where(F.col("v") * 100 >= percent * F.col("n"))
+        )
+        live = several(rest.join(known.select("rep", "v"), "rep"))
+        best = live.groupBy("band").agg(F.max(F.struct("v", (-F.col("rep")).alias("minus"), "n", "comp")).alias("top"))
+        reach = lambda v1, n1, v2, n2: F.least(v1, v2) * 100 >= percent * (n1 + n2 - F.least(v1, v2))
+        near = live.join(best, "band").where((F.col("comp") != F.col("top.comp")) & reach(F.col("v"), F.col("n"), F.col("top.v"), F.col("top.n")))
+        pairs = near.select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).distinct()
+        star = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = durable(components(star(labels).unionByName(verified(durable(pairs), texts, k, percent))))
+
+        rest = live.join(best.select("band", (-F.col("top.minus")).alias("_top")), "band").where("rep <> _top")
+        live = several(regrouped(rest.drop("comp", "_top"), labels))
+        left = known.join(live.select("rep", "comp").distinct(), "rep")
+        more = verified(durable(residual_pairs(left, percent)), texts, k, percent)
+        return durable(components(star(labels).unionByName(more)), outer=True)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,12 +180,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reps = durable(
         named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
-    entries = reps.select("rep", "n", F.explode("bands").alias("band"))
-    full = entries.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("band")
-    entries = durable(entries.join(full, "band", "left_semi"))
-    members = entries.select(F.col("rep").alias("doc_id")).distinct()
-    texts = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi"))
-    labels = linked(entries, texts, k, percent)
+    with temporary():
+        entries = reps.select("rep", "n", F.explode("bands").alias("band"))
+        full = entries.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("band")
+        entries = durable(entries.join(full, "band", "left_semi"))
+        members = entries.select(F.col("rep").alias("doc_id")).distinct()
+        texts = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi"))
+        labels = durable(linked(entries, texts, k, percent), outer=True)
     classes = reps.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left")
     classes = classes.select("set_key", F.coalesce("component", "rep").alias("_component"))
     out = facts.drop("bands").join(classes, "set_key", "left")
