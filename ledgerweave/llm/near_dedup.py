@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.components import components
 from ledgerweave.llm.token_arrays import (
-    band_keys, in_pieces, minmax_signature, overlaps, permutations, shingle_sets,
+    band_keys, in_pieces, minmax_signature, numbered_sets, permutations, shingle_sets,
 )
 from ledgerweave.session import durable, temporary
 
@@ -61,12 +61,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def run(batches):
         for batch in in_pieces(batches, 2, 3):
-            left, right = shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k)
-            ok = []
-            for x, y in zip(left, right):
-                both = overlaps(x, y)
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
+            n, left, left_row = numbered_sets(batch.column(2), k)
+            m, right, _ = numbered_sets(batch.column(3), k)
+            both = np.bincount(left_row[np.isin(left, right, assume_unique=True)], minlength=batch.num_rows)
+            keep = pa.array((both > 0) & (100 * both >= percent * (n + m - both)), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

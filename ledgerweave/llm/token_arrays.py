@@ -97,34 +97,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: pa.Array, k: int, fold: bool = True) -> list[np.ndarray]:
-    """Per row the sorted distinct 64-bit hashes of its k-word shingles.
+def _shingles(texts: pa.Array, k: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles row after row, and the rows' offsets.
 
-    A row with fewer than k words has its whole sequence as one shingle, a row without
-    words an empty set.
+    A row with fewer than k words has its whole sequence as one shingle, a row without words none.
     """
     words = split_words(texts, fold)
     h = word_hashes(words)
-    n = len(h)
-    full = np.zeros(max(n - k + 1, 0), dtype=np.uint64)
+    full = np.zeros(max(len(h) - k + 1, 0), dtype=np.uint64)
     for j in range(k):
-        full += h[j : n - k + 1 + j] * _ODD[j]
+        full += h[j : len(h) - k + 1 + j] * _ODD[j]
     full = mix(full)
-    out = []
-    offsets = words.offsets
-    for i in range(len(texts)):
-        a, b = int(offsets[i]), int(offsets[i + 1])
-        if b - a >= k:
-            out.append(np.unique(full[a : b - k + 1]))
-        elif b > a:
-            short = np.uint64(b - a) * np.uint64(0x2545F4914F6CDD1D)
-            with np.errstate(over="ignore"):
-                for j in range(b - a):
-                    short = short + h[a + j] * _ODD[j]
-            out.append(mix(np.array([short], dtype=np.uint64)))
-        else:
-            out.append(np.empty(0, dtype=np.uint64))
-    return out
+    length = np.diff(words.offsets)
+    count = np.where(length >= k, length - k + 1, np.minimum(length, 1))
+    offsets = np.append(0, np.cumsum(count))
+    at = np.arange(offsets[-1]) + np.repeat(words.offsets[:-1] - offsets[:-1], count)
+    out = np.zeros(len(at), dtype=np.uint64)
+    whole = np.repeat(length >= k, count)
+    out[whole] = full[at[whole]]
+    for i in np.flatnonzero((length > 0) & (length < k)):
+        short = np.uint64(length[i]) * np.uint64(0x2545F4914F6CDD1D)
+        with np.errstate(over="ignore"):
+            for j in range(length[i]):
+                short = short + h[words.offsets[i] + j] * _ODD[j]
+        out[offsets[i]] = mix(np.array([short], dtype=np.uint64))[0]
+    return out, offsets
+
+
+def shingle_sets(texts: pa.Array, k: int, fold: bool = True) -> list[np.ndarray]:
+    """Per row the sorted distinct 64-bit hashes of its k-word shingles."""
+    full, offsets = _shingles(texts, k, fold)
+    return [np.unique(full[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def numbered_sets(texts: pa.Array, k: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set size of every row, 64-bit hashes of the distinct pairs of row and shingle, and the row of each pair."""
+    full, offsets = _shingles(texts, k, fold)
+    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    pairs, first = np.unique(mix(full + row.astype(np.uint64) * _ODD[4]), return_index=True)
+    return np.bincount(row[first], minlength=len(texts)), pairs, row[first]
 
 
 def minmax_signature(values: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
@@ -152,15 +163,6 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted distinct arrays."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1 if len(b) else 0
-    return int((b[at] == a).sum()) if len(b) else 0
-
-
 def in_pieces(batches, *texts: int, most: int = 2 << 20):
     """The same rows in batches whose columns ``texts`` hold at most ``most`` bytes, or one row; Spark bounds its own by 64 MB.
 
