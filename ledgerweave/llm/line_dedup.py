@@ -8,9 +8,9 @@ repeat are joined back, and texts move once, to be joined with their covered pos
 
 Cases: a null text stays null with 0 lines; a text of fewer than three lines has no window and
 stays whole; an empty text has one line; windows without a word are not compared, so blank
-stretches stay; the first occurrence among rows with one id is the lowest position; rows
-repeated with the same id and text are one document and keep or lose the same lines; a null
-id orders last; extra columns pass through, those named like an added column are replaced.
+stretches stay; rows repeated with the same id and text are one document and keep or lose the same
+lines; rows with one id (or none) and different texts are different documents, the first occurrence is that of the lower hash
+of the text; a null id orders last; extra columns pass through whatever their names, those named like an added column are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ LINES = 3
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (0-based first line), k1, k2: one row per window that has a word."""
+    """doc_id, mark (hash of the text), pos (0-based first line), k1, k2: one row per window that has a word."""
     lines = F.split("text", "\n")
     n = F.size("lines")
-    cut = docs.select("doc_id", lines.alias("lines")).where(F.size("lines") >= LINES)
+    cut = docs.select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("lines")).where(F.size("lines") >= LINES)
     row = F.transform(
         F.slice("lines", F.lit(1), n - (LINES - 1)),
         lambda x, i: F.struct(
@@ -37,39 +37,42 @@ def windows(docs: DataFrame) -> DataFrame:
             (x.rlike(WORD) | F.get("lines", i + 1).rlike(WORD) | F.get("lines", i + 2).rlike(WORD)).alias("has"),
         ),
     )
-    return cut.select("doc_id", F.inline(row)).where("has").drop("has")
+    return cut.select("doc_id", "mark", F.inline(row)).where("has").drop("has")
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, gone: sorted distinct positions of the lines to remove."""
-    at = windows(docs).withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos"))
+    """doc_id, mark, starts: first lines of the windows to remove."""
+    at = windows(docs).withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "pos"))
     repeated = at.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = at.join(repeated, ["k1", "k2"]).where(F.col("at") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("starts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` reduced to its kept lines, plus n_lines and n_removed."""
-    docs = docs.drop("n_lines", "n_removed")
-    gone = covered_lines(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "_gone_id")
-    df = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left").drop("_gone_id")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # The row travels as one column, so that no name of the caller's meets one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    gone = covered_lines(docs.select("doc_id", "text"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("mark"))
+    df = rows.join(gone, same, "left").select("row", "starts")
     # A line number is gone if a window starting there or one or two lines before is.
     spread = F.sort_array(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (LINES - 1))))))
-    df = df.withColumn("_spread", spread)
+    df = df.withColumn("spread", spread)
     # One 0 or 1 per line up to the last one gone, zipped with the lines: linear in both.
-    before = lambda i: F.coalesce(F.get("_spread", i - 1), F.lit(-1))
-    bits = F.array_join(F.transform("_spread", lambda p, i: F.concat(F.repeat(F.lit("0"), p - before(i) - 1), F.lit("1"))), "")
-    zipped = F.arrays_zip(F.split("text", "\n").alias("line"), F.split(bits, "").alias("gone"))
+    before = lambda i: F.coalesce(F.get("spread", i - 1), F.lit(-1))
+    bits = F.array_join(F.transform("spread", lambda p, i: F.concat(F.repeat(F.lit("0"), p - before(i) - 1), F.lit("1"))), "")
+    text = F.col("row.text")
+    zipped = F.arrays_zip(F.split(text, "\n").alias("line"), F.split(bits, "").alias("gone"))
     rest = F.filter(zipped, lambda x: x["line"].isNotNull() & (F.coalesce(x["gone"], F.lit("0")) != "1"))
-    kept = F.transform(rest, lambda x: x["line"])
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return df.withColumns(
-        {
-            "n_lines": n_lines.cast("long"),
-            "n_removed": F.coalesce(F.size("_spread"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        }
-    ).drop("starts", "_spread")
+    kept = F.array_join(F.transform(rest, lambda x: x["line"]), "\n")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
+    reduced = F.when(F.col("starts").isNull(), text).otherwise(kept)
+    return df.select(
+        *[(reduced if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names],
+        n_lines.cast("long").alias("n_lines"),
+        F.coalesce(F.size("spread"), F.lit(0)).cast("long").alias("n_removed"),
+    )
 
 
 ORACLE_SQL = r"""
