@@ -1,15 +1,15 @@
 """Mixing sources to target weights by hash-threshold histograms (native expressions only).
 
-Every source gets a token budget. A row's hash is a fixed function of its id, so rows with
-hashes up to a threshold form nested subsets: a larger budget keeps all that a smaller one
+Every source gets a token budget. A row's hash is a fixed function of its id, refined by one of its text where rows with
+one id lie on the boundary, so rows with hashes up to a threshold form nested subsets: a larger budget keeps all that a smaller one
 keeps. Sizes are summed by source and the hash's leading bits; a cumulative sum over at
 most ``2**BITS`` sums a source finds the boundary bucket, and only that bucket is refined by
 the next bits. Rows are then filtered by comparing hashes; nothing sorts rows.
 
 Cases: null text has size 0; a null source is a source of its own, ordered last; a source
-without tokens has target 0 and its rows are not taken; repeated rows with one id share their
-hash and are taken together, a null id hashes like an empty one; an empty table gives an
-empty result; extra columns are not carried unless named in ``keep``.
+without tokens has target 0 and its rows are not taken; rows with one id and different texts are told apart by
+their texts, rows with the same id and text are taken together; a null id hashes like an empty one; an empty table gives an
+empty result; extra columns are not carried unless named in ``keep``, where a name of the result's own means that one.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ def hash60(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def text60(text: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - BITS * LEVELS)
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
     """One row a source: source_size, weight, target. ``sized``: source, size.
 
@@ -65,15 +69,28 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame) -> DataFrame:
-    """One row a source: source, source_size, target, whole (copies of every row), threshold of the extra copy."""
+    """One row a source: source, source_size, target, whole (copies of every row), threshold of the extra copy.
+
+    Rows of the id hash ``edge`` get the extra copy up to ``edge_threshold`` of their text's hash.
+    """
     targets = source_targets(sized)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     plan = durable(
         targets.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
     )
-    found = thresholds(sized.select("source", "size", "_h"), plan.select("source", "budget"))
+    found = durable(thresholds(sized.select("source", "size", "_h"), plan.select("source", "budget")))
+    edge = found.where("edge is not null").select(F.col("source").alias("_s"), F.col("edge").alias("_e"), F.col("budget").alias("left"))
+    at_edge = durable(sized.select("source", "size", "_h", "_g").join(edge, sized["source"].eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_e"))))
+    several = at_edge.groupBy("source").agg(F.min("_g").alias("lo"), F.max("_g").alias("hi"), F.first("left").alias("budget")).where("lo <> hi")
+    several = durable(several.select("source", "budget"))
+    none = F.lit(None).cast("long")
+    found = found.select("source", "threshold", "edge", none.alias("edge_threshold"))
+    if not several.isEmpty():
+        inner = thresholds(at_edge.select("source", "size", F.col("_g").alias("_h")), several)
+        inner = inner.select(F.col("source").alias("_s"), F.col("threshold").alias("_t"))
+        found = found.join(inner, found["source"].eqNullSafe(inner["_s"]), "left").select("source", "threshold", "edge", F.col("_t").alias("edge_threshold"))
     joined = plan.join(found, plan["source"].eqNullSafe(found["source"]), "left").drop(found["source"])
-    return durable(joined.select(F.col("source").alias("_source"), "source_size", "target", "whole", "threshold"))
+    return durable(joined.select(F.col("source").alias("_source"), "source_size", "target", "whole", "threshold", "edge", "edge_threshold"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -83,22 +100,26 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     copies, so no row is taken more than twice. ``taken`` is size times copies. Histograms are made from a table
     of ids, sources, sizes and hashes; with ``keep`` the rows themselves are read once more to be joined with the plan.
     """
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash60(F.col(doc_id)).alias("_h"), *keep
-    )
-    sized = durable(rows.drop(*keep))
+    keep = tuple(c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
+    facts = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"),
+        hash60(F.col(doc_id)).alias("_h"), text60(F.col(text)).alias("_g"), F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"),
+    )
+    rows, sized = facts, durable(facts.drop("_keep"))
     plan = plan_mix(sized)
     base = rows if keep else sized
     out = base.join(plan, base["source"].eqNullSafe(plan["_source"]))
     copies = F.when(F.col("source_size") == 0, 0).otherwise(
-        F.col("whole") + F.coalesce(F.col("_h") <= F.col("threshold"), F.lit(False)).cast("int")
+        F.col("whole") + F.coalesce((F.col("_h") <= F.col("threshold")) | ((F.col("_h") == F.col("edge")) & (F.col("_g") <= F.col("edge_threshold"))), F.lit(False)).cast("int")
     )
     out = out.withColumn("copies", F.least(copies, F.lit(CAP))).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *keep)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *[F.col(f"_keep.{c}") for c in keep])
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Largest hash per source up to which the sizes sum to at most the budget; -1 if none.
+    """source, threshold, edge, budget: the largest hash up to which the sizes sum to at most the budget, -1 if none.
+
+    ``edge`` is the next hash, whose rows no longer fit together, and ``budget`` what is left for them.
 
     Each level sums a source's open bucket by the next BITS of the hash. The bucket where the sum
     passes the budget stays open for the next level; a source none of whose buckets passes
@@ -132,7 +153,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
                 F.greatest("_t", F.coalesce(upper, F.col("_t"))).alias("threshold"),
             )
         )
-        settled = step.where(F.col("_prefix").isNull() if level < LEVELS - 1 else F.lit(True)).select("source", "threshold")
+        settled = step.where(F.col("_prefix").isNull() if level < LEVELS - 1 else F.lit(True)).select("source", "threshold", F.col("_prefix").alias("edge"), "budget")
         done = settled if done is None else done.unionByName(settled)
         state = step.where(F.col("_prefix").isNotNull())
         edge = state.select(F.col("source").alias("_s"), F.col("_prefix").alias("_p"))

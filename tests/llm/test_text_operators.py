@@ -93,6 +93,16 @@ def test_mix(spark):
     assert mixing.mix(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_mix_without_ids(spark):
+    """Rows with one id or none are told apart by their texts, so the source's target is met."""
+    rng = random.Random(31)
+    rows = [(None, prose(rng, 100), "a") for _ in range(100)] + [(7, prose(rng, 50), "b") for _ in range(100)] + [(i, prose(rng, 20), "c") for i in range(100)]
+    got = mixing.mix(documents(spark, rows), keep=("size", "n_chars")).collect()
+    assert len(got) == 300 and all(r.taken <= 2 * r.size for r in got)
+    for s in "abc":
+        assert sum(r.taken for r in got if r.source == s) == pytest.approx(next(r.target for r in got if r.source == s), abs=100)
+
+
 def brute_lines(rows):
     seen, out = set(), {}
     for i, text in sorted(rows):
@@ -112,9 +122,18 @@ def test_line_dedup(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", "long line"]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "x\ny"), (103, "\n\n\n\n"), (104, "same\n" * 500)]
-    df = documents(spark, [(i, t, "s") for i, t in rows]).withColumns({"n_removed": F.lit("clash"), "starts": F.lit(0)}).drop("starts")
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(df).collect()}
-    assert got == brute_lines(rows)
+    df = documents(spark, [(i, t, "s") for i, t in rows]).withColumns({c: F.lit("clash") for c in ("n_removed", "starts", "mark", "spread", "_spread", "row", "a.b")})
+    done = line_dedup.dedup_lines(df).collect()
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in done} == brute_lines(rows)
+    assert {(r.starts, r.mark, r.spread, r["_spread"], r.row, r["a.b"]) for r in done} == {("clash",) * 6}
+
+
+def test_line_dedup_without_ids(spark):
+    """Rows that share an id or have none lose no line of their own to each other."""
+    a, b = "x 1\nx 2\nx 3", "y 1\ny 2\ny 3\ny 4"
+    rows = [(1, a), (None, a), (None, b), (5, b + "\nz"), (5, "q\nr\ns"), (5, "q\nr\ns")]
+    got = sorted((str(r.doc_id), r.n_removed, r.text) for r in line_dedup.dedup_lines(documents(spark, [(i, t, "s") for i, t in rows])).collect())
+    assert got == sorted([("1", 0, a), ("None", 3, ""), ("None", 4, ""), ("5", 0, b + "\nz"), ("5", 0, "q\nr\ns"), ("5", 0, "q\nr\ns")])
 
 
 def variants(rng, base, n, changes):
