@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm import line_dedup, mixing, near_dedup, piece_merges, quality_rules
 from ledgerweave.llm.queries import model_path
-from ledgerweave.session import durable
+from ledgerweave.session import durable, temporary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,9 +27,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    """One row of each group of near-duplicates: the one with the smallest id, null last.
+
+    Rows get a written key of their own, so repeated rows, rows with one id and rows without an id are compared like any others.
+    """
+    rows = durable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*COLUMNS).alias("doc")))
+    found = near_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"))
+    id_of = rows.select("row", F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row")).alias("rank"))
+    groups = found.select(F.col("doc_id").alias("row"), "component_id").join(id_of, "row")
+    stays = groups.groupBy("component_id").agg(F.min_by("row", "rank").alias("row")).select("row")
+    return rows.join(stays, "row", "left_semi").select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with temporary():
+            docs = durable(stage(spark, docs, sf_dir), outer=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
