@@ -1,12 +1,29 @@
 """The stages against their operators' contracts on the smallest tables."""
 
 import corpus_pipeline
-from helpers import near_components, text_metrics
+from helpers import documents, near_components, text_metrics
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_near_stage_by_rows(spark):
+    """Repeated rows, one id with two texts and rows without an id: one row of each group stays."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, a, "s"), (3, a, "s"), (3, b, "s"), (None, b, "s"), (None, a + " more", "s"), (1, a, "s"), (9, None, "s"), (8, "", None)]
+    got = corpus_pipeline.near(spark, documents(spark, rows), SF).collect()
+    assert {(r.doc_id, r.text) for r in got} == {(1, a), (3, b), (9, None), (8, "")} and len(got) == 4
+
+
+def test_run_equals_the_stages(spark):
+    """run() gives what the stages give one by one, each held against brute force below."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    want = sorted((r.doc_id, r.n_tokens, r.decoded) for r in docs.collect())
+    assert sorted((r.doc_id, r.n_tokens, r.decoded) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, SF)
