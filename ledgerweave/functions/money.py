@@ -16,7 +16,7 @@ MARKS = r"[¥￥,\s]"
 
 def safe_float(text: Column) -> Column:
     """Marks stripped; any minus sign makes the value negative; what is no number is 0."""
-    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?U)[¥￥,\s]", "")
+    t = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?U)[¥￥,*\s]", "")
     value = F.coalesce(F.regexp_replace(t, "-", "").try_cast("double"), F.lit(0.0))
     return F.when(F.contains(t, F.lit("-")), -value).otherwise(value)
 

@@ -105,10 +105,14 @@ def compare_key(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)[\s\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", ""))
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Binary order of the key is natural order: digit runs are padded with zeros."""
+def natural_key(name: Column) -> Column:
+    """Binary order of the key is natural order: digit runs of any length are led by their length without leading zeros."""
     runs = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, width, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), _counted(F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(r)), "")
+
+
+def _counted(digits: Column) -> Column:
+    return F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
 
 
 def search_text(*fields: Column) -> Column:

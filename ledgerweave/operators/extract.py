@@ -23,6 +23,14 @@ def first_match(text: Column, patterns, group: int = 1) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns], F.lit(""))
 
 
+def with_fields(texts: DataFrame, column: str, **fields) -> DataFrame:
+    """``texts`` with one column per field, each a function of ``column``, in place of ``column``.
+
+    The text is made once: the projection that makes it is not merged with the one that reads it many times.
+    """
+    return texts.select("*", *[of(F.col(column)).alias(name) for name, of in fields.items()]).drop(column)
+
+
 def invoice_number(text: Column) -> Column:
     """Labelled numbers, then a line of just 8 or 20 digits, then a 20-digit word."""
     return first_match(text, (*NUMBER_PATTERNS, r"(?m)^\s*(\d{8}|\d{20})\s*$", r"\b(\d{20})\b"))
@@ -41,12 +49,12 @@ def type_name(text: Column) -> Column:
 
 
 def resolve(candidates: DataFrame) -> DataFrame:
-    """Best candidate per document and field; of equal values in several fields the higher score stays.
+    """Best candidate per document and field; of equal values in several fields the higher score stays; empty values do not count.
 
     ``candidates``: doc_id, field, value, score, confidence, source_rank, distance. Two aggregations with max_by, no window.
     """
     order = F.struct("confidence", "score", "source_rank", (-F.col("distance")).alias("near"), "value")
-    best = candidates.groupBy("doc_id", "field").agg(F.max_by(F.struct("value", "score", "confidence"), order).alias("b"))
+    best = candidates.where(F.coalesce("value", F.lit("")) != "").groupBy("doc_id", "field").agg(F.max_by(F.struct("value", "score", "confidence"), order).alias("b"))
     best = best.select("doc_id", "field", "b.*")
     won = best.groupBy("doc_id", "value").agg(F.max_by(F.struct("field", "score", "confidence"), F.struct("score", F.col("field"))).alias("w"))
     return won.select("doc_id", "w.field", "value", "w.score", "w.confidence")

@@ -40,40 +40,45 @@ def rows_by_first_center(tokens: DataFrame, keys: list[str], share: float = 0.6,
 
 
 def rows_by_overlap(tokens: DataFrame, keys: list[str], share: float = 0.4) -> DataFrame:
-    """Add row: a token joins the first row whose growing band it overlaps by ``share`` of the smaller height."""
+    """Add row: a token, by center y, joins the current row if at least ``share`` of its height lies in the row's growing band.
 
-    def step(bands, top, bottom):
-        for i, (a, b) in enumerate(bands):
-            if min(b, bottom) - max(a, top) >= share * min(b - a, bottom - top):
-                bands[i] = (min(a, top), max(b, bottom))
-                return i
-        bands.append((top, bottom))
-        return len(bands) - 1
+    A token without height always joins.
+    """
+
+    def step(state, top, bottom):
+        height = bottom - top
+        if state and (height == 0 or max(0.0, min(state["b"], bottom) - max(state["a"], top)) / height >= share):
+            state["a"], state["b"] = min(state["a"], top), max(state["b"], bottom)
+        else:
+            state["row"] = state.get("row", -1) + 1
+            state["a"], state["b"] = top, bottom
+        return state["row"]
 
-    return number_rows(tokens, keys, ["y0", "pos"], ["y0", "y1"], "row", list, step)
+    df = tokens.withColumn("_center", (F.col("y0") + F.col("y1")) / 2)
+    return number_rows(df, keys, ["_center", "pos"], ["y0", "y1"], "row", dict, step).drop("_center")
 
 
 def regions_of(tokens: DataFrame, regions: DataFrame) -> DataFrame:
     """Add region: the first region (by rank) that holds the token's center y, else the one with the nearest edge.
 
-    ``regions``: doc_id, rank, region, top, bottom, a few rows per document; joined by document.
+    ``regions``: doc_id, rank, region, top, bottom, a few rows per document, which a document's tokens get as one array.
+    Equal tokens stay apart.
     """
     center = (F.col("y0") + F.col("y1")) / 2
-    pair = tokens.join(regions, "doc_id")
-    inside = center.between(F.col("top"), F.col("bottom"))
-    edge = F.when(inside, 0.0).otherwise(F.least(F.abs(center - F.col("top")), F.abs(center - F.col("bottom"))))
-    best = pair.groupBy(*tokens.columns).agg(F.min_by("region", F.struct(edge.alias("e"), F.col("rank"))).alias("region"))
-    return best
+    few = regions.groupBy("doc_id").agg(F.collect_list(F.struct("rank", "region", "top", "bottom")).alias("_regions"))
+    far = lambda r: F.when(center.between(r["top"], r["bottom"]), 0.0).otherwise(F.least(F.abs(center - r["top"]), F.abs(center - r["bottom"])))
+    best = F.array_min(F.transform("_regions", lambda r: F.struct(far(r).alias("e"), r["rank"].alias("rank"), r["region"].alias("region"))))
+    return tokens.join(few, "doc_id").withColumn("region", best["region"]).drop("_regions")
 
 
 def columns_by_overlap(tokens: DataFrame, columns: DataFrame, share: float = 0.3) -> DataFrame:
     """Add col: the column (doc_id, col, left, right) that covers most of the token, if at least ``share``; else null."""
     width = F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-9))
-    cover = (F.least("x1", "right") - F.greatest("x0", "left")) / width
-    pair = tokens.join(columns, "doc_id", "left").withColumn("_cover", cover)
-    return pair.groupBy(*tokens.columns).agg(
-        F.max_by(F.when(F.col("_cover") >= share, F.col("col")), F.struct(F.coalesce("_cover", F.lit(-1.0)).alias("c"), (-F.col("col")).alias("k"))).alias("col")
-    )
+    cover = lambda c: (F.least(F.col("x1"), c["right"]) - F.greatest(F.col("x0"), c["left"])) / width
+    few = columns.groupBy("doc_id").agg(F.collect_list(F.struct("col", "left", "right")).alias("_columns"))
+    ranked = F.transform("_columns", lambda c: F.struct(cover(c).alias("cover"), (-c["col"]).alias("minus")))
+    best = F.array_max(ranked)
+    return tokens.join(few, "doc_id", "left").withColumn("col", F.when(best["cover"] >= share, -best["minus"])).drop("_columns")
 
 
 def grid(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -64,8 +64,11 @@ def row_pairs(amounts: DataFrame, tolerance: float = 8.0) -> DataFrame:
 
 
 def pair_at_anchor(pairs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The pair nearest to the document's total anchor (ax, ay): dy + 0.1 dx, times 0.8 right of the anchor."""
-    joined = pairs.join(anchors, "doc_id")
+    """The pair nearest to the document's total anchor (ax, ay): dy + 0.1 dx, times 0.8 right of the anchor.
+
+    A document without an anchor gives its first pair by gap.
+    """
+    joined = pairs.join(anchors, "doc_id", "left")
     cost = F.abs(F.col("y") - F.col("ay")) + 0.1 * F.abs(F.col("x") - F.col("ax"))
     cost = F.when(F.col("ax") < F.col("x"), cost * 0.8).otherwise(cost)
     return joined.groupBy("doc_id").agg(F.min_by(F.struct("net", "tax"), F.struct(cost.alias("c"), "gap", "net", "tax")).alias("p")).select("doc_id", "p.*")
@@ -87,14 +90,21 @@ def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def name_similarity(a: Column, b: Column, suffixes: str = "有限责任公司|股份有限公司|有限公司|公司") -> Column:
-    """Half Jaccard of characters without company suffixes, half common subsequence over the longer length."""
-    chars = lambda x: F.array_distinct(F.split(F.regexp_replace(x, suffixes, ""), ""))
+    """Half Jaccard of characters without company suffixes, half common subsequence over the longer length.
+
+    Only letters and digits count, for the characters brackets too; 0 where nothing is left of a name.
+    """
+    chars = lambda x: F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.regexp_replace(x, suffixes, ""), r"[^\p{L}\p{N}（）()]", ""), "")), "")
+    plain = lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
     shared = F.size(F.array_intersect(chars(a), chars(b))) / F.greatest(F.size(F.array_union(chars(a), chars(b))), F.lit(1))
-    return 0.5 * shared + 0.5 * common_subsequence(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    score = 0.5 * shared + 0.5 * common_subsequence(plain(a), plain(b)) / F.greatest(F.length(plain(a)), F.length(plain(b)), F.lit(1))
+    return F.when((F.size(chars(a)) > 0) & (F.size(chars(b)) > 0), score).otherwise(0.0)
 
 
 def tax_id_similarity(a: Column, b: Column) -> Column:
-    """Share of equal characters if lengths and the first six characters agree, else 0."""
-    same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, v: acc + v)
-    fits = (F.length(a) == F.length(b)) & (F.left(a, F.lit(6)) == F.left(b, F.lit(6))) & (F.length(a) > 0)
-    return F.when(fits, same / F.length(a)).otherwise(0.0)
+    """Share of equal characters after the first six, if those and the lengths agree, else 0; blanks, dashes and case do not count."""
+    a, b = (F.upper(F.regexp_replace(x, "[ -]", "")) for x in (a, b))
+    rest = lambda x: F.split(F.substring(x, 7, 1000), "")
+    same = F.aggregate(F.zip_with(rest(a), rest(b), lambda x, y: ((x == y) & (x != "")).cast("int")), F.lit(0), lambda acc, v: acc + v)
+    fits = (F.length(a) == F.length(b)) & (F.left(a, F.lit(6)) == F.left(b, F.lit(6))) & (F.length(a) > 6)
+    return F.when(fits, same / (F.length(a) - 6)).otherwise(0.0)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The three forms of a page marker; total and page, page and total, page and total.
+MARKER = r"共\s*(\d+)\s*页\s*第\s*(\d+)\s*页|第\s*(\d+)\s*页\s*/\s*(\d+)|第\s*(\d+)\s*页\s*共\s*(\d+)\s*页"
+
 
 def group_pages(pages: DataFrame, doc: str, order: str, value: str) -> DataFrame:
     """Add group_id (0-based in a document): consecutive equal values form a group, a null is one of its own."""
@@ -25,11 +28,8 @@ def merge_pages(pages: DataFrame, keys: list[str], order: str, first: list[str],
 
 
 def page_marker(text: Column) -> tuple[Column, Column]:
-    """Page and total from 第1页/共3页, 共3页 第1页 or 1/3."""
-    a = r"第\s*(\d+)\s*页\s*[/，,]?\s*共\s*(\d+)\s*页"
-    b = r"共\s*(\d+)\s*页\s*[/，,]?\s*第\s*(\d+)\s*页"
-    c = r"(?<!\d)(\d{1,2})\s*/\s*(\d{1,2})(?!\d)"
-    get = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
-    page = F.coalesce(get(a, 1), get(b, 2), get(c, 1)).try_cast("int")
-    total = F.coalesce(get(a, 2), get(b, 1), get(c, 2)).try_cast("int")
+    """Page and total of the first marker in the text, null without one; a bare 1/3 is none, as it may be a date."""
+    get = lambda i: F.nullif(F.regexp_extract(text, MARKER, i), F.lit(""))
+    page = F.coalesce(get(2), get(3), get(5)).try_cast("int")
+    total = F.coalesce(get(1), get(4), get(6)).try_cast("int")
     return page, total

@@ -56,9 +56,12 @@ def serial_numbers(rows: DataFrame, key: str = "identity", pos: str = "pos") ->
 
 
 def document_view(pages: DataFrame) -> DataFrame:
-    """Pages (doc, instance, page_num, amount, failed, previous_year) to documents, then one summary row."""
+    """Pages (doc, instance, page_num, amount, failed, previous_year) to documents, then one summary row.
+
+    A document's amount is that of its lowest page; of equal page numbers the lower amount counts, null last.
+    """
     docs = pages.groupBy("doc", "instance").agg(
-        F.min_by("amount", F.coalesce("page_num", F.lit(1))).alias("amount"), F.max("failed").alias("failed"), F.max("previous_year").alias("previous_year")
+        F.min_by("amount", F.struct(F.coalesce("page_num", F.lit(1)), F.col("amount").isNull(), F.col("amount"))).alias("amount"), F.max("failed").alias("failed"), F.max("previous_year").alias("previous_year")
     )
     return docs.agg(
         F.count(F.lit(1)).alias("documents"),

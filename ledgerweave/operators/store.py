@@ -12,8 +12,9 @@ FOLDED = "id string, data map<string,string>, deleted_at string, hard_deleted bo
 
 
 def read_oplog(spark, path: str) -> DataFrame:
-    """op, id, ts, data, pos from JSON lines; damaged lines are dropped, file order is kept in pos."""
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    """op, id, ts, data, pos from JSON lines; damaged lines are dropped. pos orders by file name, place in the file and line."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("pos"))
     entry = F.from_json("value", "op string, id string, ts string, data map<string,string>", {"mode": "PERMISSIVE"})
     return lines.select(entry.alias("e"), "pos").where("e.op is not null").select("e.*", "pos")
 

@@ -36,6 +36,7 @@ def test_money(spark):
     assert one(spark, "¥1,234.5", money.safe_float) == 1234.5
     assert one(spark, "1-2", money.safe_float) == -12
     assert one(spark, "abc", money.safe_float) == 0
+    assert one(spark, "*5", money.safe_float) == 5
     assert one(spark, "1,000", money.amount_text) == "1000.00"
     assert one(spark, "未知金额", money.amount_text) is None
     assert one(spark, 1.005, money.round_money, "double") == 1.01

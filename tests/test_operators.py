@@ -79,6 +79,9 @@ def test_pages(spark):
     assert [r.instance for r in inst.orderBy("pos").collect()] == [1, 1, 2, 2]
     m = spark.createDataFrame([("共3页 第2页",)], "x string").select(*pages.page_marker(F.col("x"))).first()
     assert tuple(m) == (2, 3)
+    for x, want in (("第2页/3", (2, 3)), ("第 1 页 共 4 页", (1, 4)), ("2024/1/3", (None, None)), (None, (None, None))):
+        m = spark.createDataFrame([(x,)], "x string").select(*pages.page_marker(F.col("x"))).first()
+        assert tuple(m) == want
 
 
 def test_layout(spark):
@@ -86,6 +89,13 @@ def test_layout(spark):
     t = spark.createDataFrame(rows, "doc_id string, pos long, x0 double, y0 double, x1 double, y1 double")
     assert [r.row for r in layout.rows_by_first_center(t, ["doc_id"]).orderBy("pos").collect()] == [0, 0, 1, 2]
     assert [r.row for r in layout.rows_by_overlap(t, ["doc_id"]).orderBy("pos").collect()] == [0, 0, 0, 1]
+    boxes = spark.createDataFrame([("d", 0, 0.0, 0.0, 1.0, 10.0), ("d", 1, 0.0, 2.0, 1.0, 30.0), ("d", 2, 0.0, 16.0, 1.0, 16.0)], t.schema)
+    assert [r.row for r in layout.rows_by_overlap(boxes, ["doc_id"]).orderBy("pos").collect()] == [0, 1, 1]
+    twice = spark.createDataFrame([("d", 0, 0.0, 0.0, 10.0, 4.0)] * 2, t.schema)
+    regions = spark.createDataFrame([("d", 0, "head", 5.0, 9.0), ("d", 1, "body", 1.0, 3.0)], "doc_id string, rank int, region string, top double, bottom double")
+    assert [r.region for r in layout.regions_of(twice, regions).collect()] == ["body"] * 2
+    columns = spark.createDataFrame([("d", 0, 0.0, 4.0), ("d", 1, 4.0, 20.0)], "doc_id string, col int, left double, right double")
+    assert [r.col for r in layout.columns_by_overlap(twice, columns).collect()] == [1, 1]
     items = spark.createDataFrame([("d", 0, "*a*x"), ("d", 1, "y"), ("d", 2, "*b*z")], "doc string, i long, t string")
     assert [r.t for r in layout.merge_continuations(items, "doc", "i", "t").orderBy("item").collect()] == ["*a*xy", "*b*z"]
 
@@ -111,3 +121,35 @@ def test_all_orders_are_exported(spark):
 
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert export_all_rows(spark, "/root/testdata/sf0.001").select("recordId").distinct().count() == orders
+
+
+def test_long_digit_runs_sort_by_number(spark):
+    from ledgerweave.functions.text import natural_key
+
+    names = ["a" + "9" * 25, "a1" + "0" * 25, "a007", "a8", "b"]
+    df = spark.createDataFrame([(n,) for n in names], "x string")
+    assert [r.x for r in df.orderBy(natural_key(F.col("x"))).collect()] == ["a007", "a8", "a" + "9" * 25, "a1" + "0" * 25, "b"]
+
+
+def test_log_order_over_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"op":"upsert","id":"1","ts":"t","data":{"k":"old"}}\nbroken\n')
+    (tmp_path / "b.json").write_text('{"op":"update","id":"1","ts":"t","data":{"k":"' + "new" * 400 + '"}}\n')
+    got = store.fold_oplog(store.read_oplog(spark, str(tmp_path))).collect()
+    assert [r.data["k"] for r in got] == ["new" * 400]
+
+
+def test_job_and_record_operators(spark):
+    from ledgerweave.operators import jobs, records
+
+    moves = [("f", i, s) for i, s in enumerate(["parsed", "ready", "parsed", "parsing", "cancelled", "parsed"])] + [("g", 0, "unknown")]
+    got = {r.file: r.status for r in jobs.file_states(spark.createDataFrame(moves, "file string, pos int, status string")).collect()}
+    assert got == {"f": "parsed", "g": "uploading"}
+    late = spark.createDataFrame([("t", "cancelled"), ("t", "completed"), ("u", "failed"), ("u", "completed"), ("v", None)], "task string, status string")
+    assert {r.task: r.status for r in jobs.task_state(late).collect()} == {"t": "cancelled", "u": "failed", "v": "running"}
+    row = spark.createDataFrame([("其他", "12345678", "¥1,000")], "k string, n string, a string")
+    assert row.select(records.is_structured(F.col("k"), F.col("n"), F.col("a"))).first()[0]
+    assert not row.select(records.is_structured(F.col("k"), F.lit(None).cast("string"), F.col("a"))).first()[0]
+    assert row.select(records.overridden(F.lit("未知号码"), F.lit("1"), "number")).first()[0] == "1"
+    rows = spark.createDataFrame([("1", {"memo": "a"}, None), ("2", {"memo": "a"}, "2024")], "id string, data map<string,string>, deleted_at string")
+    new = spark.createDataFrame([(i, {"memo": "b", "hash_sha256": "x"}) for i in "12"], "id string, fields map<string,string>")
+    assert {r.id: r.data for r in records.updated(rows, new).collect()} == {"1": {"memo": "b"}, "2": {"memo": "a"}}
