@@ -7,7 +7,7 @@ rate on a bounded sample and orders the rules by rejections per unit of work;
 that all earlier rules let pass. The order changes the cost, never the verdict.
 
 Cases: a null text counts as a text without words; an empty text likewise; an empty table
-gives an empty result; repeated rows are judged one by one; extra columns pass through, and
+gives an empty result; repeated rows are judged one by one; extra columns pass through whatever their names, and
 a column of the input that has the name of an added one is replaced by it.
 """
 
@@ -24,7 +24,7 @@ from ledgerweave.session import durable
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-#: Positions use the low 24 bits of a sort key; the other 40 hold a window's hash.
+#: Positions use the low 24 bits of a sort key; the other 40 hold a window's hash. Longer texts sort the windows themselves.
 POSITION_BITS = 24
 
 
@@ -73,6 +73,22 @@ def _same_window(words: Column, a: Column, b: Column) -> Column:
     )
 
 
+_OWN = ("_pieces", "_lines", "_words", "_hashes", "_keys", "_some", "_exact", "_starts")
+
+
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named like one of ``names`` renamed, and the names to give back."""
+    used, back = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in names:
+            fresh = c
+            while fresh.lower() in used or fresh.lower() in names:
+                fresh += "_"
+            used.add(fresh.lower())
+            back[fresh] = c
+    return docs.withColumnsRenamed({c: fresh for fresh, c in back.items()}), back
+
+
 def with_text_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
 
@@ -81,6 +97,7 @@ def with_text_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     the row, and equal neighbours are compared word by word; where a hash hits different
     windows, the row falls back to sorting the windows themselves, so the count is exact.
     """
+    docs, back = set_aside(docs, _OWN)
     mask = F.lit((1 << POSITION_BITS) - 1)
     pos = lambda k: k.bitwiseAND(mask).cast("int")
     blob = F.col(text)
@@ -117,7 +134,8 @@ def with_text_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda w, i: F.struct(w.alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("p")),
         )
     )
-    df = df.withColumn("_exact", F.when(clash, text_windows))
+    long = F.size(words) > F.lit(1 << POSITION_BITS)
+    df = df.withColumn("_exact", F.when(long | F.coalesce(clash, F.lit(False)), text_windows))
     ex = F.col("_exact")
     alike = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
     exact = F.transform(
@@ -142,7 +160,7 @@ def with_text_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
         }
-    ).drop("_pieces", "_words", "_lines", "_hashes", "_keys", "_some", "_exact", "_starts")
+    ).drop(*_OWN).withColumnsRenamed(back)
 
 
 def metric_rules() -> list[Rule]:

@@ -30,6 +30,16 @@ def test_metrics(spark, odd_texts):
     assert got == {i: text_metrics(t) for i, t in enumerate(odd_texts)}
 
 
+def test_metrics_without_position_bits(spark, odd_texts, monkeypatch):
+    """Texts with more words than positions have bits for are counted exactly; columns named like temporaries stay."""
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", 3)
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(odd_texts)]).withColumns({"_words": F.lit("mine"), "_Keys": F.lit(7)})
+    out = quality_rules.with_text_metrics(df)
+    assert out.columns[:7] == df.columns
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r["_words"], r["_Keys"]) for r in out.drop("text").collect()}
+    assert got == {i: (*text_metrics(t), "mine", 7) for i, t in enumerate(odd_texts)}
+
+
 def test_judge(spark):
     rng = random.Random(1)
     rows = [(0, prose(rng, 200), "s"), (1, " ".join(w + "###" for w in prose(rng, 200).split()), "s"), (2, "short", "s"), (3, None, "s"), (4, "a b c " * 100, "s"), (0, prose(rng, 100), None)]
