@@ -143,8 +143,9 @@ def sample_findings(spark: SparkSession, rows: int = 2000) -> DataFrame:
 
 
 def train(findings: DataFrame, words: DataFrame, seed: int = 11) -> RandomForestClassificationModel:
-    """Fit the forest on the first candidate of each labelled text (text, secret)."""
-    rows = with_features(candidates(findings.withColumn("doc_id", F.col("id")), keep=("secret",)).where("nth = 0"), words)
+    """Fit the forest on the first candidate of each labelled text (text, secret; other columns are not used)."""
+    numbered = findings.select(F.monotonically_increasing_id().alias("doc_id"), "text", "secret")
+    rows = with_features(candidates(numbered, keep=("secret",)).where("nth = 0"), words)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.withColumn("label", F.col("secret").cast("double")))
     return RandomForestClassifier(numTrees=30, maxDepth=7, seed=seed).fit(rows.select("features", "label"))
 
