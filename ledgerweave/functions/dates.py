@@ -47,3 +47,24 @@ def first_date(text: Column) -> Column:
     flat = date_text(hit)
     real = flat.try_cast("date")
     return F.coalesce(F.when(real.isNotNull(), flat), F.lit(""))
+
+
+# The named date formats; what is not among them gives the last one.
+DATE_FORMATS = {
+    "YYYYMMDD": "$1$2$3", "YYYY年MM月DD日": "$1年$2月$3日", "YYYY年MM月DD": "$1年$2月$3", "YYYY-MM-DD": "$1-$2-$3", "YYYY.MM.DD": "$1.$2.$3",
+    "YYYY/MM/DD": "$1/$2/$3", "MM月DD日": "$2月$3日", "MM-DD": "$2-$3", "MMDD": "$2$3", "MM/DD": "$2/$3",
+}
+DEFAULT_FORMAT = "$1年$2月$3日"
+
+
+def date_in_format(text: Column, name: str) -> Column:
+    """A yyyy-MM-dd text in a named format, other texts as they are; '' for null and the unknown date."""
+    shaped = F.regexp_replace(text, r"^(\d{4})-(\d{2})-(\d{2})$", DATE_FORMATS.get(name, DEFAULT_FORMAT))
+    return F.coalesce(F.nullif(shaped, F.lit(UNKNOWN)), F.lit(""))
+
+
+def beijing_seconds(text: Column) -> Column:
+    """Seconds since 1970 of an ISO text: with Z in UTC, otherwise in Beijing time, whatever other offset it names."""
+    local = F.concat(F.regexp_replace(text, r"[+-]\d{2}(:?\d{2})*$", ""), F.lit("+08:00"))
+    instant = F.when(text.endswith("Z"), F.regexp_replace(text, "Z$", "+00:00")).otherwise(F.when(F.contains(text, F.lit(":")), local).otherwise(F.concat(text, F.lit("T00:00:00+08:00"))))
+    return instant.try_cast("timestamp").cast("double")

@@ -65,12 +65,13 @@ def listed(records: DataFrame, limit: int | None = None, offset: int = 0) -> Dat
     return rows.offset(offset).limit(limit) if limit and limit > 0 else rows
 
 
+def is_incomplete(failed_fields: Column, method: Column) -> Column:
+    """What bulk removal takes: as ``is_failed``, whatever the status."""
+    return F.coalesce(F.size(failed_fields) > 0, F.lit(False)) | F.coalesce(F.contains(method, F.lit("缺失")), F.lit(False))
+
+
 def is_failed(status: Column, failed_fields: Column, method: Column) -> Column:
-    return (
-        F.coalesce(status == "error", F.lit(False))
-        | F.coalesce(F.size(failed_fields) > 0, F.lit(False))
-        | F.coalesce(F.contains(method, F.lit("缺失")), F.lit(False))
-    )
+    return F.coalesce(status == "error", F.lit(False)) | is_incomplete(failed_fields, method)
 
 
 def partition_of(failed: Column, duplicate_group: Column, previous_year: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.session import durable
+
 
 def exact(x: Column) -> Column:
     return F.coalesce(x.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
@@ -21,6 +23,18 @@ def statistics(records: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """Add 1, 2, 3 and so on by ``order``, whose values differ: ranges are numbered on their own and start after the rows before them.
+
+    The ranges are written, so that their bounds stay if an executor is lost. Only the window over one row per range is in one task.
+    """
+    ranges = durable(rows.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")
+    starts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", before.alias("_before"))
+    own = ranges.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    return own.join(starts, "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_before")
+
+
 def duplicate_groups(files: DataFrame) -> DataFrame:
     """Parsed files that share a non-empty number: group_index (by first appearance), is_first, total.
 
@@ -28,7 +42,7 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     """
     parsed = files.where((F.col("status") == "parsed") & (F.coalesce("number", F.lit("")) != ""))
     groups = parsed.groupBy("number").agg(F.count(F.lit(1)).alias("total"), F.min("pos").alias("first_pos")).where("total > 1")
-    groups = groups.withColumn("group_index", F.row_number().over(Window.orderBy("first_pos")))
+    groups = numbered(groups, "first_pos", "group_index")
     return parsed.join(groups, "number").withColumn("is_first", F.col("pos") == F.col("first_pos"))
 
 
@@ -51,7 +65,7 @@ def export_totals(rows: DataFrame, header: dict[str, str], line: dict[str, str],
 def serial_numbers(rows: DataFrame, key: str = "identity", pos: str = "pos") -> DataFrame:
     """Number the identities by first appearance; lines share their invoice's number."""
     first = rows.groupBy(key).agg(F.min(pos).alias("_first"))
-    first = first.withColumn("serial", F.row_number().over(Window.orderBy("_first"))).drop("_first")
+    first = numbered(first, "_first", "serial").drop("_first")
     return rows.join(first, key)
 
 
