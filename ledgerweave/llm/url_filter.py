@@ -3,7 +3,8 @@
 Walking down the path segments, a segment value stays a literal branch if it looks fixed and has
 enough pages; all others fall into the wildcard branch. Literal
 branches whose labelled share of bad pages does not differ significantly from their siblings' are merged into
-one. Each final template is scored by its bad share, smoothed towards the overall share, and
+one; of those that differ, branches of similar shares, which do not differ significantly from each other's sum, are merged
+again, a group for each range of shares. Each final template is scored by its bad share, smoothed towards the overall share, and
 rejected from a limit on. Explicit allow and block rules go first, the longest fitting rule wins.
 
 Everything is sums per (host, template, segment), partially aggregated before the shuffle; a host with a third of all pages
@@ -32,6 +33,8 @@ RULES = (
 #: A segment that varies from page to page: a number, with or without an ending, or a long hex or mixed id.
 VARIABLE = r"^(\d+(\.\w+)?|[0-9a-fA-F-]{16,}|.*\d{4,}.*|.{41,})$"
 WILDCARD, MERGED, END = "*", "~", "$"
+#: Branches that differ from their siblings may merge within ranges of this width of asin(sqrt(share)), which has the same spread for all shares.
+RANGE = 0.2
 
 
 def host_of(url: Column) -> Column:
@@ -57,6 +60,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if text is None else (text, verdict)
 
 
+def alike(b: Column, m: Column, all_b: Column, all_m: Column, z: float) -> Column:
+    """Two shares b / m and that of the rest of all are at most z standard errors apart; null where one has no labels."""
+    own, others = F.nullif(m, F.lit(0)), F.nullif(all_m - m, F.lit(0))
+    p = all_b / F.nullif(all_m, F.lit(0))
+    return F.abs(b / own - (all_b - b) / others) <= z * F.sqrt(p * (1 - p) * (1 / own + 1 / others))
+
+
 def templates(pages: DataFrame, support: int = 5, z: float = 1.96) -> DataFrame:
     """Add ``template`` to (page_id, host, path, bad).
 
@@ -85,13 +95,15 @@ def templates(pages: DataFrame, support: int = 5, z: float = 1.96) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"), F.count("bad").alias("m")
         )
         named = kids.where((F.col("_seg") != WILDCARD) & (F.col("n") >= support)).join(nodes, ["host", "template"])
-        others = F.nullif(F.col("all_m") - F.col("m"), F.lit(0))
-        own = F.nullif(F.col("m"), F.lit(0))
-        p = F.col("all_b") / F.nullif(F.col("all_m"), F.lit(0))
-        gap = F.abs(F.col("b") / own - (F.col("all_b") - F.col("b")) / others)
-        alike = gap <= z * F.sqrt(p * (1 - p) * (1 / own + 1 / others))
-        alike = F.coalesce(alike, F.lit(True)) & (F.col("_seg") != END)
-        named = named.select("host", "template", "_seg", F.when(alike, F.lit(MERGED)).otherwise(F.col("_seg")).alias("_as"))
+        counts = (F.coalesce("b", F.lit(0)), F.col("m"))
+        merges = F.coalesce(alike(*counts, F.col("all_b"), F.col("all_m"), z), F.lit(True)) & (F.col("_seg") != END)
+        share = F.floor(F.asin(F.sqrt(F.col("b") / F.nullif(F.col("m"), F.lit(0)))) / RANGE)
+        named = named.select("host", "template", "_seg", "b", "m", merges.alias("_merges"), F.when(~merges & (F.col("_seg") != END), share).alias("_range"))
+        pools = named.where("_range is not null").groupBy("host", "template", "_range").agg(F.sum("b").alias("pool_b"), F.sum("m").alias("pool_m"))
+        named = named.join(pools, ["host", "template", "_range"], "left")
+        again = F.coalesce(alike(*counts, F.col("pool_b"), F.col("pool_m"), z), F.lit(False))
+        group = F.when(F.col("_merges"), MERGED).when(again, F.concat(F.lit(MERGED), F.col("_range").cast("string"))).otherwise(F.col("_seg"))
+        named = named.select("host", "template", "_seg", group.alias("_as"))
         rows = rows.join(named, ["host", "template", "_seg"], "left")
         rows = durable(
             rows.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_as", F.lit(WILDCARD)))).drop("_seg", "_as")

@@ -1,7 +1,9 @@
 """Media, URL filters, SentencePiece, chat formatting and secret scans."""
 
 import hashlib
+import math
 import random
+import re
 import struct
 import zlib
 
@@ -181,3 +183,60 @@ def test_forest_held_out_accuracy(spark):
     held = secret_scan.with_features(secret_scan.candidates(found.where("id % 4 = 0").withColumn("doc_id", F.col("id")), keep=("secret",)).where("nth = 0"), words)
     scored = model.transform(VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(held))
     assert scored.agg(F.avg((F.col("prediction") == F.col("secret")).cast("int"))).first()[0] > 0.95
+
+
+def test_templates_as_a_plain_walk(spark):
+    rng = random.Random(8)
+    pages = []
+    for i in range(900):
+        host = rng.choice(["a.org", "a.org", "b.org"])
+        top = rng.choice(["news", "shop", "spam", "cheap", "blog", "x1", "rare%d" % (i % 300)])
+        path = "/" + "/".join([top, *[rng.choice(["in", "out", "20%02d" % (i % 40), ""]) for _ in range(rng.randrange(3))]])
+        bad = None if rng.random() < 0.3 else int(rng.random() < {"spam": 0.97, "cheap": 0.95, "shop": 0.5}.get(top, 0.05))
+        pages.append((i, host, rng.choice([path, path + "/", ""]), bad))
+
+    def alike(b, m, all_b, all_m):
+        if not m or all_m == m:
+            return None
+        p, rest = all_b / all_m, all_m - m
+        return abs(b / m - (all_b - b) / rest) <= 1.96 * math.sqrt(p * (1 - p) * (1 / m + 1 / rest))
+
+    def tally(rows):
+        known = [r[1] for r in rows if r[1] is not None]
+        return sum(known), len(known)
+
+    want = {}
+
+    def walk(host, template, rows, level):
+        ahead = ["/" + "/".join(parts[level:]) if len(parts) > level else "" for parts, _, _ in rows]
+        if len(set(ahead)) == 1 or len(rows) < 5:
+            for _, _, i in rows:
+                want[i] = template + ("/**" if max(ahead) else "")
+            return
+        kids = {}
+        for row in rows:
+            seg = row[0][level] if len(row[0]) > level else "$"
+            kids.setdefault("*" if re.search(url_filter.VARIABLE, seg) else seg, []).append(row)
+        whole, names, ranges = tally(rows), {}, {}
+        for seg, own in kids.items():
+            b, m = tally(own)
+            if seg == "*" or len(own) < 5:
+                names[seg] = "*"
+            elif seg != "$" and alike(b, m, *whole) is not False:
+                names[seg] = "~"
+            elif seg != "$":
+                ranges.setdefault(math.floor(math.asin(math.sqrt(b / m)) / 0.2), []).append((seg, b, m))
+        for at, of in ranges.items():
+            pool = sum(x[1] for x in of), sum(x[2] for x in of)
+            names |= {seg: f"~{at}" if alike(b, m, *pool) else seg for seg, b, m in of}
+        merged = {}
+        for seg, own in kids.items():
+            merged.setdefault(names.get(seg, seg), []).extend(own)
+        for name, own in merged.items():
+            walk(host, f"{template}/{name}", own, level + 1)
+
+    for host in ("a.org", "b.org"):
+        walk(host, "", [(re.sub("^/|/$", "", p).split("/"), bad, i) for i, h, p, bad in pages if h == host], 0)
+    df = spark.createDataFrame(pages, "page_id long, host string, path string, bad int")
+    assert {r.page_id: r.template for r in url_filter.templates(df).collect()} == want
+    assert any("/~" in t and t[2:3].isdigit() for t in want.values())
