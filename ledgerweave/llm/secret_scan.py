@@ -2,10 +2,11 @@
 
 A candidate is a run of at least 16 key characters with a digit, a run in a known key format (with or without a digit), or
 the value, of four characters at least, that a secret-like name is given by ``=`` or ``:``. Its features are
-length, known format, changes of character class, digit and distinct-character shares, the share of its characters in letter
-runs that are words of the corpus, path marks, and the words beside it. The forest is Spark's own and is trained from labelled findings:
-a table of texts with one finding each and its label. ``sample_findings`` makes such a table from
-rules for callers without one; it has a fixed, documented number of rows.
+length, known format, changes of character class, the mean log-probability of its letter pairs under the pair statistics of the
+corpus's words, digit and distinct-character shares, the share of its characters in letter runs that are words of the corpus, path marks,
+and the words beside it: fixed cues, and the log-odds of each neighbouring word as learned from the labelled findings. The forest is
+Spark's own and is trained from labelled findings: a table of texts with one finding each and its label. ``sample_findings`` makes
+such a table from rules for callers without one; it has a fixed, documented number of rows.
 
 Cases: a null or empty text has no candidate; all candidates of a text are kept, repeated ones too; repeated rows
 give repeated findings; an empty table gives an empty result; extra columns are not carried. Positions are in
@@ -14,6 +15,8 @@ code points. The key itself is not returned, only its digest.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -39,7 +42,11 @@ CONTEXT = 40
 #: Words that stand beside real keys, and words that stand beside look-alikes.
 NAMING = r"(?i)(token|secret|passw|api.?key|access.?key|private.?key|credential|bearer|auth)"
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|commit|sha\d*|digest|checksum|uuid|guid|revision|build|version|etag|https?:|href|src|path|file)"
-FEATURES = ("length", "changes", "digits", "distinct", "known", "path_marks", "in_path", "named", "harmless", "assigned", "hex", "upper", "format")
+FEATURES = (
+    "length", "changes", "pairs", "digits", "distinct", "known", "path_marks", "in_path", "named", "harmless", "beside", "assigned", "hex", "upper", "format",
+)
+#: Log-probability of a letter pair where all 676 are alike.
+EVEN = -math.log(26 * 26)
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,15 +85,72 @@ def letter_runs(candidate: Column) -> Column:
     return F.transform(F.regexp_extract_all(candidate, F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.lower(w))
 
 
-def dictionary(docs: DataFrame, min_count: int = 20, text: str = "text") -> DataFrame:
-    """Lower-case words of at least three letters that occur ``min_count`` times in all texts."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("(?<![^ \\n\\t])[a-z]{3,}(?![a-z0-9_/+=-])"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("word")
-
+def dictionary(docs: DataFrame, min_count: int = 20, text: str = "text", share: float = 1e-5) -> DataFrame:
+    """word, n: lower-case words of at least three letters that occur ``min_count`` times in all texts and are ``share`` of all words.
 
-def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Add FEATURES (double). Dictionary coverage joins the candidates' letter runs with ``words``."""
-    found = durable(found.withColumn("_key", F.sha2("candidate", 256)))
+    There are at most 1 / ``share`` of them, however large the corpus.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("(?<![^ \\n\\t])[a-z]{3,}(?![a-z0-9_/+=-])"), F.lit(0))).alias("word"))
+    counts = durable(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(min_count, share * total))
+
+
+def letter_pairs(words: DataFrame) -> list[float]:
+    """Log-probabilities of the 676 letter pairs inside ``words`` (word, and n if there), each pair counted once more than seen."""
+    weight = F.col("n") if "n" in words.columns else F.lit(1)
+    pairs = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, 2))
+    seen = words.where("length(word) > 1").select(F.explode(pairs).alias("pair"), weight.alias("n")).where(F.col("pair").rlike("^[a-z]{2}$"))
+    counts = {r.pair: r.n for r in seen.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    total = sum(counts.values()) + 26 * 26
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return [math.log((counts.get(a + b, 0) + 1) / total) for a in letters for b in letters]
+
+
+def pair_score(candidate: Column, pairs: list[float]) -> Column:
+    """Mean log-probability of the neighbouring letters of ``candidate``; EVEN where no two letters are neighbours."""
+    codes = F.transform(F.split(F.lower(candidate), ""), lambda c: F.when(c.rlike("^[a-z]$"), F.ascii(c) - 97))
+    table = F.lit(pairs)
+    scores = F.transform(codes, lambda c, i: F.get(table, F.get(codes, i - 1) * 26 + c))
+    total = F.aggregate(
+        scores, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda acc, x: F.struct((acc["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (acc["n"] + x.isNotNull().cast("int")).alias("n")),
+    )
+    return F.when(total["n"] > 0, total["s"] / total["n"]).otherwise(EVEN)
+
+
+def neighbours(before: Column, after: Column) -> Column:
+    """The last four words before and the first three after a candidate, marked by their side, each once."""
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z]{2,}"), F.lit(0))
+    left = F.transform(F.slice(F.reverse(words(before)), 1, 4), lambda w: F.concat(F.lit("<"), w))
+    right = F.transform(F.slice(words(after), 1, 3), lambda w: F.concat(F.lit(">"), w))
+    return F.array_distinct(F.concat(left, right))
+
+
+def neighbour_odds(found: DataFrame, least: int = 5) -> DataFrame:
+    """word, odds: log-odds of a secret where ``word`` stands beside it, from candidates with a label ``secret``; words seen ``least`` times."""
+    words = found.select("secret", F.explode(neighbours(F.col("before"), F.col("after"))).alias("word"))
+    good, bad = F.sum(F.col("secret").cast("long")), F.sum(1 - F.col("secret").cast("long"))
+    totals = found.agg(good.alias("g"), bad.alias("b")).first()
+    even = math.log(((totals["g"] or 0) + 1) / ((totals["b"] or 0) + 1))
+    counts = words.groupBy("word").agg(good.alias("g"), bad.alias("b")).where(F.col("g") + F.col("b") >= least)
+    return counts.select("word", (F.log((F.col("g") + 0.5) / (F.col("b") + 0.5)) - even).alias("odds"))
+
+
+def with_features(found: DataFrame, words: DataFrame, odds: DataFrame | None = None, pairs: list[float] | None = None) -> DataFrame:
+    """Add FEATURES (double). Dictionary coverage joins the candidates' letter runs with ``words``, their neighbours with ``odds``.
+
+    Without ``odds`` every neighbouring word counts 0; ``pairs`` are the words' letter_pairs where these are known already.
+    """
+    pairs = letter_pairs(words) if pairs is None else pairs
+    near = neighbours(F.col("before"), F.col("after"))
+    found = durable(found.withColumns({"_key": F.sha2("candidate", 256), "_near": F.sha2(F.concat_ws(" ", F.sort_array(near)), 256)}))
+    if odds is None:
+        found = found.withColumn("_beside", F.lit(0.0))
+    else:
+        sides = found.groupBy("_near").agg(F.any_value(near).alias("words")).select("_near", F.explode("words").alias("word"))
+        beside = sides.join(odds, "word").groupBy("_near").agg(F.round(F.sum("odds"), 9).alias("_beside"))
+        found = found.join(beside, "_near", "left")
     runs = found.select("_key", F.explode(letter_runs(F.col("candidate"))).alias("word"))
     runs = runs.distinct().join(words, "word", "left_semi")
     cover = runs.groupBy("_key").agg(F.sum(F.length("word")).alias("_cover"))
@@ -96,6 +160,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         {
             "length": n,
             "changes": share(r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
+            "pairs": pair_score(c, pairs),
             "digits": share("[0-9]"),
             "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
             "known": F.least(F.coalesce(F.col("_cover"), F.lit(0)) / n, F.lit(1.0)),
@@ -103,12 +168,13 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
             "in_path": F.col("before").rlike(r"(://|[/\\])\S*$").cast("double"),
             "named": F.col("before").rlike(NAMING + r"\W{0,6}\w{0,8}\W{0,4}$").cast("double"),
             "harmless": (F.col("before").rlike(HARMLESS + r"\W{0,6}$") | c.rlike(r"(?i)(example|sample|placeholder|x{6,})")).cast("double"),
+            "beside": F.coalesce("_beside", F.lit(0.0)),
             "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double"),
             "hex": c.rlike("^[0-9a-fA-F]+$").cast("double"),
             "upper": share("[A-Z]"),
             "format": c.rlike("^" + FORMAT).cast("double"),
         }
-    ).drop("_cover", "_key")
+    ).drop("_cover", "_key", "_near", "_beside")
 
 
 def sample_findings(spark: SparkSession, rows: int = 2000) -> DataFrame:
@@ -142,19 +208,22 @@ def sample_findings(spark: SparkSession, rows: int = 2000) -> DataFrame:
     return spark.range(rows).select("id", F.concat(filler, body, filler).alias("text"), label.alias("secret"))
 
 
-def train(findings: DataFrame, words: DataFrame, seed: int = 11) -> RandomForestClassificationModel:
-    """Fit the forest on the first candidate of each labelled text (text, secret; other columns are not used)."""
+def train(findings: DataFrame, words: DataFrame, seed: int = 11, pairs: list[float] | None = None) -> tuple[RandomForestClassificationModel, DataFrame]:
+    """Fit the forest on the first candidate of each labelled text (text, secret; other columns are not used); with it the neighbours' odds."""
     numbered = findings.select(F.monotonically_increasing_id().alias("doc_id"), "text", "secret")
-    rows = with_features(candidates(numbered, keep=("secret",)).where("nth = 0"), words)
+    found = durable(candidates(numbered, keep=("secret",)).where("nth = 0"))
+    odds = durable(neighbour_odds(found))
+    rows = with_features(found, words, odds, pairs)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.withColumn("label", F.col("secret").cast("double")))
-    return RandomForestClassifier(numTrees=30, maxDepth=7, seed=seed).fit(rows.select("features", "label"))
+    return RandomForestClassifier(numTrees=30, maxDepth=7, seed=seed).fit(rows.select("features", "label")), odds
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, limit: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, nth, start, length, key_sha256, the features, probability, is_secret."""
     words = durable(dictionary(docs))
-    model = train(sample_findings(docs.sparkSession) if findings is None else findings, words)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(candidates(docs), words))
+    pairs = letter_pairs(words)
+    model, odds = train(sample_findings(docs.sparkSession) if findings is None else findings, words, pairs=pairs)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(candidates(docs), words, odds, pairs))
     scored = model.transform(rows).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return scored.select(
         "doc_id", "nth", "start", F.col("length").cast("int").alias("length"), F.sha2("candidate", 256).alias("key_sha256"),

@@ -1,5 +1,6 @@
 """Media, URL filters, SentencePiece, chat formatting and secret scans."""
 
+import base64
 import hashlib
 import math
 import random
@@ -177,14 +178,39 @@ def test_keys_without_digits_and_short_ones(spark):
 def test_forest_held_out_accuracy(spark):
     words = spark.createDataFrame([("report",), ("annual",), ("news",)], "word string")
     found = secret_scan.sample_findings(spark, 1200)
-    model = secret_scan.train(found.where("id % 4 <> 0"), words)
+    model, odds = secret_scan.train(found.where("id % 4 <> 0"), words)
     from pyspark.ml.feature import VectorAssembler
 
-    held = secret_scan.with_features(secret_scan.candidates(found.where("id % 4 = 0").withColumn("doc_id", F.col("id")), keep=("secret",)).where("nth = 0"), words)
+    held = secret_scan.with_features(secret_scan.candidates(found.where("id % 4 = 0").withColumn("doc_id", F.col("id")), keep=("secret",)).where("nth = 0"), words, odds)
     scored = model.transform(VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(held))
     assert scored.agg(F.avg((F.col("prediction") == F.col("secret")).cast("int"))).first()[0] > 0.95
 
 
+def test_forest_on_findings_of_another_form(spark):
+    """Texts that no template of the training findings makes: other names, other neighbours, other key lengths."""
+    key = lambda i, n: hashlib.md5(str(i).encode()).hexdigest()[:n]
+    mixed = lambda i, n: base64.b64encode(hashlib.sha512(str(i).encode()).digest()).decode().translate(str.maketrans("+/=", "x7q"))[:n]
+    secrets = [f"export ACCESS_KEY={mixed(i, 36)}" for i in range(20)] + [f"the credentials: '{mixed(i, 22)}' go here" for i in range(20)] + [f"client_secret = {key(i, 30)}" for i in range(20)]
+    plain = [f"fixed in revision {key(i, 40)} of it" for i in range(20)] + [f"see http://data.example.org/files/{i + 100}/summary-of-year.txt" for i in range(20)] + [f"checksum {key(i, 32)} matches" for i in range(20)]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(secrets + plain)])
+    got = {r.doc_id: r.is_secret for r in secret_scan.scan(df).where("nth = 0").collect()}
+    right = sum(got.get(i, False) == (i < 60) for i in range(120))
+    assert right >= 114
+
+
+def test_neighbour_odds_and_letter_pairs(spark):
+    rows = [("my token ", " here", 1)] * 6 + [("the commit ", " there", 0)] * 6 + [("the token ", "", 0)] * 2
+    odds = {r.word: r.odds for r in secret_scan.neighbour_odds(spark.createDataFrame(rows, "before string, after string, secret int")).collect()}
+    even = math.log(7 / 9)
+    assert set(odds) == {"<my", "<token", ">here", "<the", "<commit", ">there"}
+    assert abs(odds["<token"] - (math.log(6.5 / 2.5) - even)) < 1e-9 and abs(odds["<the"] - (math.log(0.5 / 8.5) - even)) < 1e-9
+    pairs = secret_scan.letter_pairs(spark.createDataFrame([("abab", 3), ("c", 5)], "word string, n long"))
+    assert len(pairs) == 676 and abs(pairs[1] - math.log(7 / (9 + 676))) < 1e-9 and abs(pairs[26] - math.log(4 / (9 + 676))) < 1e-9
+    df = spark.createDataFrame([("ab1aBz",), ("a1",), ("",)], "c string")
+    got = [r[0] for r in df.select(secret_scan.pair_score(F.col("c"), pairs)).collect()]
+    assert abs(got[0] - (2 * pairs[1] + pairs[51]) / 3) < 1e-9 and got[1:] == [secret_scan.EVEN] * 2
+
+
 def test_templates_as_a_plain_walk(spark):
     rng = random.Random(8)
     pages = []
