@@ -1,10 +1,9 @@
 """Quality rules as a short-circuit cascade (native expressions only).
 
-Each rule is a boolean rejection test over a text column plus the work it does per
-character and per word. ``plan_cascade`` measures text sizes and every rule's rejection
-rate on a bounded sample and orders the rules by rejections per unit of work;
+Each rule is a boolean rejection test over a text column. ``plan_cascade`` takes every rule's
+rejection rate and its time from a bounded sample and orders the rules by rejections per second;
 ``cascade`` nests them in one CASE, whose later branches are evaluated only for rows
-that all earlier rules let pass. The order changes the cost, never the verdict.
+that all earlier rules let pass. The order changes the cost and the name of the rule that is met first, never the verdict.
 
 Cases: a null text counts as a text without words; an empty text likewise; an empty table
 gives an empty result; repeated rows are judged one by one; extra columns pass through whatever their names, and
@@ -13,6 +12,8 @@ a column of the input that has the name of an added one is replaced by it.
 
 from __future__ import annotations
 
+import math
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,12 +31,10 @@ POSITION_BITS = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` is true for bad rows; the costs are work units per character and per word."""
+    """``reject`` is true for bad rows."""
 
     name: str
     reject: Column
-    per_char: float = 0.0
-    per_word: float = 0.0
 
 
 def pieces_of(text: Column) -> Column:
@@ -173,11 +172,11 @@ def metric_rules() -> list[Rule]:
     n = F.col("n_words")
     count = lambda pattern: F.coalesce(F.regexp_count(F.col("text"), F.lit(pattern)), F.lit(0))
     return [
-        Rule("symbols", F.col("n_symbols") * 10 > n, per_word=0.01),
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n), per_word=0.01),
-        Rule("dup_lines", (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 10 > 3 * (count("\n") + 1)), per_char=0.2),
-        Rule("letters", count(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-zA-Z\x{80}-\x{10FFFF}]+(?![^\x20\x09-\x0D])") * 10 > 4 * n, per_char=1.0, per_word=0.5),
-        Rule("shouting", count(r"!!(?![^\x20\x09-\x0D])") * 10 > 3 * n, per_char=0.5),
+        Rule("symbols", F.col("n_symbols") * 10 > n),
+        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
+        Rule("dup_lines", (F.col("n_dup_lines") >= 3) & (F.col("n_dup_lines") * 10 > 3 * (count("\n") + 1))),
+        Rule("letters", count(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-zA-Z\x{80}-\x{10FFFF}]+(?![^\x20\x09-\x0D])") * 10 > 4 * n),
+        Rule("shouting", count(r"!!(?![^\x20\x09-\x0D])") * 10 > 3 * n),
     ]
 
 
@@ -186,24 +185,37 @@ def base_rule() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def measured_costs(sample: DataFrame, rules: list[Rule], text: str = "text", rows: int = 20_000, runs: int = 2, step: float = 0.05) -> list[float]:
+    """Seconds that each rule takes on ``sample``, repeated to about ``rows`` rows, beyond a pass that only reads it.
+
+    The shortest of ``runs`` passes counts (the first one compiles), in whole steps of ``step`` seconds, one at least:
+    differences below a step are noise.
+    """
+    repeats = max(1, rows // max(1, sample.count()))
+    many = sample.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("_repeat"))
+
+    def seconds(what: Column) -> float:
+        taken = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            many.agg(F.sum(what)).collect()
+            taken.append(time.perf_counter() - began)
+        return min(taken)
+
+    reading = seconds(F.coalesce(F.length(text), F.lit(0)) + F.col("n_words"))
+    return [max(1, math.ceil((seconds(F.coalesce(r.reject, F.lit(False)).cast("int")) - reading) / step)) * step for r in rules]
+
+
 def plan_cascade(sample: DataFrame, rules: list[Rule], text: str = "text") -> list[Rule]:
-    """Order ``rules`` by rejections per unit of work as seen on ``sample``; ties by name.
+    """Order ``rules`` by rejections per second as seen on ``sample``; ties by cost, then as given.
 
-    One aggregate row comes back: a rejection rate per rule and the mean sizes.
-    An empty sample leaves the rules in order of cost.
+    Of the sample come back one row of rejection rates and the seconds of each rule. An empty sample leaves the rules as given.
     """
-    size = F.coalesce(F.length(text), F.lit(0))
-    row = sample.agg(
-        F.avg(size).alias("chars"),
-        F.avg(F.col("n_words")).alias("words"),
-        *[F.avg(F.coalesce(r.reject, F.lit(False)).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)],
-    ).first()
-    chars, words = row["chars"] or 0.0, row["words"] or 0.0
-    rated = []
-    for i, r in enumerate(rules):
-        cost = 1.0 + r.per_char * chars + r.per_word * words
-        rated.append((-(row[f"r{i}"] or 0.0) / cost, cost, r.name, r))
-    return [x[-1] for x in sorted(rated, key=lambda x: x[:3])]
+    rates = sample.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.coalesce(r.reject, F.lit(False)).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+    if rates["n"] == 0:
+        return list(rules)
+    costs = measured_costs(sample, rules, text)
+    return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-rates[f"r{i}"] / costs[i], costs[i], i))]
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -224,6 +236,8 @@ def bounded_sample(docs: DataFrame, rows: int, seed: int = 17) -> DataFrame:
 def judge(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """Add the metrics, base_failed, rejected_by and kept. ``sample_rows`` bounds the planning sample.
 
+    ``rejected_by`` is the first rule met in the planned order; where several reject a row, it may differ between runs.
+
     The row number in ``kept`` (always true) makes the column nondeterministic, so a filter on
     it is not pushed below the metric columns, which would copy their expressions many times.
     """

@@ -58,6 +58,18 @@ def test_cascade_order_changes_cost_only(spark):
         assert measured.where(quality_rules.cascade(order).isNull()).count() == 0
 
 
+def test_cascade_is_planned_by_measured_cost(spark):
+    """Of two rules that reject alike the faster comes first; of two that cost alike the one that rejects more."""
+    df = documents(spark, [(i, f"w{i} " * 3000, "s") for i in range(20)])
+    measured = quality_rules.durable(quality_rules.with_text_metrics(df))
+    slow = quality_rules.Rule("slow", F.regexp_count("text", F.lit("(w[0-9]+ )+?w[0-9]+ w")) >= 0)
+    fast = quality_rules.Rule("fast", F.col("n_words") > 0)
+    half = quality_rules.Rule("half", F.col("doc_id") < 10)
+    never = quality_rules.Rule("never", F.lit(False))
+    assert [r.name for r in quality_rules.plan_cascade(measured, [never, slow, half, fast])][:2] == ["fast", "half"]
+    assert [r.name for r in quality_rules.plan_cascade(measured.limit(0), [slow, fast])] == ["slow", "fast"]
+
+
 def brute_mix(rows):
     """Water filling by rounds, then prefixes of the rows in hash order."""
     import hashlib
