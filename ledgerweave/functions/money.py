@@ -38,6 +38,19 @@ def leading_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(t, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0), F.lit("")).try_cast("double")
 
 
+def number_cell(text: Column) -> Column:
+    """Struct of number and text for a spreadsheet cell: the number without commas if it is one, else the text; both null where empty."""
+    number = F.regexp_replace(text, ",", "").try_cast("double")
+    return F.struct(number.alias("number"), F.when(number.isNull() & (text != ""), text).alias("text"))
+
+
+def quantity_cell(text: Column) -> Column:
+    """As number_cell, but whole numbers stay texts, so that leading zeros are kept."""
+    number = F.regexp_replace(text, ",", "").try_cast("double")
+    part = F.when(number != F.floor(number), number)
+    return F.struct(part.alias("number"), F.when(part.isNull() & (text != ""), text).alias("text"))
+
+
 def rate_of(text: Column) -> Column:
     """A rate from '13%', '0.13' or '13'; exempt words are 0."""
     t = F.regexp_replace(F.trim(text), "免税|不征税", "0")

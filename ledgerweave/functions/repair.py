@@ -17,6 +17,27 @@ def repaired_header(total: Column, net: Column, tax: Column) -> Column:
     return F.struct(t2.alias("total"), n2.alias("net"), x2.alias("tax"))
 
 
+def balanced_header(total: Column, net: Column, tax: Column) -> Column:
+    """Struct of total, net, tax after the arithmetic check; null stands for a missing part.
+
+    Sums within 0.02, or within 1% of the total, stay as they are, red invoices too. A tax of 0 is written out where net and total
+    agree; otherwise the tax gives way to the total, a missing tax is the rest of the total if that is over 0, and so is a missing net.
+    """
+    n, x = F.coalesce(net, F.lit(0.0)), F.coalesce(tax, F.lit(0.0))
+    off = F.abs(n + x - total)
+    close = (off <= 0.02) | (off / F.greatest(F.abs(total), F.lit(1.0)) <= 0.01)
+    rest, rest_net = F.round(total - n, 2), F.round(total - x, 2)
+    red = (total < 0) & (n < 0) & (x <= 0) & close
+    free = (x == 0) & ((n == total) | (~red & (F.abs(n - total) <= 0.02)))
+    none = total.isNull() | (net.isNull() & tax.isNull())
+    new_tax = (
+        F.when(none, tax).when(free, 0.0).when(close, tax).when(net.isNotNull() & tax.isNotNull(), rest)
+        .when(net.isNotNull() & (rest > 0), rest).otherwise(tax)
+    )
+    new_net = F.when(~none & ~close & net.isNull() & (rest_net > 0), rest_net).otherwise(net)
+    return F.struct(total.alias("total"), new_net.alias("net"), new_tax.alias("tax"))
+
+
 def repaired_line(net: Column, rate: Column, tax: Column) -> Column:
     """Struct of net, rate, tax: a missing tax from the rate, a missing rate from the tax (nearest legal one)."""
     return F.struct(

@@ -27,6 +27,32 @@ def document_kinds(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.when(share, "image").otherwise("text").alias("kind"))
 
 
+# Words whose presence shows a readable text layer, and words of an invoice's parts.
+SCORE_WORDS = ("发票", "号码", "日期", "购买方", "销售方", "金额", "合计")
+PART_WORDS = (
+    ("项目名称", "规格型号", "单位", "数量", "单价"), ("金额", "税额", "税率", "价税合计", "合计"), ("购买方", "销售方", "购方", "销方"),
+    ("统一社会信用代码", "纳税人识别号"), ("发票号码", "开票日期", "发票类型"), ("备注", "收款人", "复核人", "开票人"), ("机打代码", "机器编号"), ("大写",),
+)
+
+
+def text_score(text: Column) -> Column:
+    """How many of the seven SCORE_WORDS the text holds, blanks and line feeds left out; 0 for null."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), "[\n ]", "")
+    return sum((F.contains(flat, F.lit(w)).cast("int") for w in SCORE_WORDS), F.lit(0))
+
+
+def weak_layer(n_tokens: Column, n_rows: Column, text: Column) -> Column:
+    """True for a text layer that needs recognition: under 40 tokens, more than a row for two tokens, or words of fewer than two parts."""
+    held = lambda words: F.coalesce(text, F.lit("")).rlike("|".join(words)).cast("int")
+    parts = sum((held(words) for words in PART_WORDS), F.lit(0))
+    return (n_tokens < 40) | (n_rows > 0.5 * F.greatest(n_tokens, F.lit(1))) | (parts < 2)
+
+
+def referenced(documents: DataFrame, files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Documents that some file refers to; the others are dropped."""
+    return documents.join(files.select(key), key, "left_semi")
+
+
 def needs_ocr(text: Column) -> Column:
     """True under 20 characters, line feeds and blanks not counted."""
     return F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\n ]", ""))) < 20

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.text import cell_text
+from ledgerweave.operators.stats import serial_numbers
 
 #: Export columns in canonical order.
 COLUMNS = (
@@ -45,9 +46,19 @@ def checked_path(path: str, kind: str) -> str:
     return posixpath.normpath(path)
 
 
+def grouped(rows: DataFrame, key: str = "identity", pos: str = "pos") -> DataFrame:
+    """Rows with serialNo, one number per invoice in order of first appearance, the rows of an invoice together."""
+    return serial_numbers(rows, key, pos).withColumnRenamed("serial", "serialNo").orderBy("serialNo", pos)
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """CSV parts with a header, texts made safe for spreadsheets, numbers as they are."""
+    """CSV parts with a header, texts made safe for spreadsheets, numbers as they are.
+
+    Every part begins with a byte-order mark, so that spreadsheets read it as UTF-8.
+    """
     names = [c for c in chosen(columns) if c in rows.columns]
     kinds = dict(rows.dtypes)
     safe = [cell_text(F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in names]
-    rows.select(*safe).write.mode("errorifexists").option("header", True).option("encoding", "UTF-8").csv(path)
+    marked = rows.select(*safe)
+    marked = marked.withColumnRenamed(names[0], "\ufeff" + names[0])
+    marked.write.mode("errorifexists").option("header", True).option("encoding", "UTF-8").csv(path)

@@ -103,6 +103,19 @@ def file_states(updates: DataFrame, first: str = "uploading") -> DataFrame:
     return per.select("file", F.aggregate("moves", F.lit(first), lambda now, x: moved(now, x["status"])).alias("status"))
 
 
+def pending_items(items: DataFrame) -> DataFrame:
+    """Waiting items (key, pos, urgent, state) with their place in line as columns turn and place, both ascending.
+
+    Urgent ones come first, the latest of them at the head; the others in order of arrival. A key that is urgent leaves the common line; what is
+    processing or completed does not wait.
+    """
+    waits = items.where(~F.coalesce(F.col("state").isin("processing", "completed"), F.lit(False)))
+    urgent = F.coalesce(F.col("urgent"), F.lit(False))
+    rushed = waits.where(urgent).select("key").distinct().withColumn("_rushed", F.lit(True))
+    rows = waits.join(rushed, "key", "left").where(urgent | F.col("_rushed").isNull()).drop("_rushed")
+    return rows.withColumns({"turn": F.when(urgent, 0).otherwise(1), "place": F.when(urgent, -F.col("pos")).otherwise(F.col("pos"))})
+
+
 def latest_jobs(jobs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of jobs, newest first; Spark keeps the top rows of each task only."""
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).offset(max(offset, 0)).limit(max(limit, 0))

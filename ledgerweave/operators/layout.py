@@ -39,6 +39,38 @@ def rows_by_first_center(tokens: DataFrame, keys: list[str], share: float = 0.6,
     return out.drop("_center", "_tolerance")
 
 
+def rows_by_heights(tokens: DataFrame, keys: list[str], share: float = 0.6) -> DataFrame:
+    """Add row: a token, by center y, joins the current row if its center is nearer to the row's first one than ``share`` of the taller of the two."""
+
+    def step(state, center, height):
+        if not state or abs(center - state["first"]) >= max(state["height"], height) * share:
+            state["row"], state["first"], state["height"] = state.get("row", -1) + 1, center, height
+        return state["row"]
+
+    df = tokens.withColumns({"_center": (F.col("y0") + F.col("y1")) / 2, "_height": F.col("y1") - F.col("y0")})
+    return number_rows(df, keys, ["_center", "pos"], ["_center", "_height"], "row", dict, step).drop("_center", "_height")
+
+
+def line_region(line: Column, header: Column, summary: Column, remark: Column, footer: Column, table_start: Column | None = None) -> Column:
+    """Region of a line by the lines (from 0) that the anchors stand in; null for an anchor that is not there.
+
+    The last rule that fits wins: remark (ten lines at most, up to the footer), line_items (from the table's header to the summary, else the
+    footer), the header's own lines, summary (up to the next footer or remark), footer; everything else is header.
+    """
+    after = lambda stop, start: F.coalesce(F.when(stop > start, line < stop), F.lit(True))
+    inside = lambda test: F.coalesce(test, F.lit(False))
+    start = F.greatest(F.lit(0), header - 7) if table_start is None else table_start
+    items_end = F.coalesce(summary, footer)
+    return (
+        F.when(inside(line >= footer), "footer")
+        .when(inside((line >= summary) & after(footer, summary) & after(remark, summary)), "summary")
+        .when(inside((header >= 0) & line.between(start, header)), "header")
+        .when(inside((header >= 0) & (line > header) & F.coalesce(line < items_end, F.lit(True))), "line_items")
+        .when(inside((line >= remark) & (line < remark + 10) & after(footer, remark)), "remark")
+        .otherwise("header")
+    )
+
+
 def rows_by_overlap(tokens: DataFrame, keys: list[str], share: float = 0.4) -> DataFrame:
     """Add row: a token, by center y, joins the current row if at least ``share`` of its height lies in the row's growing band.
 

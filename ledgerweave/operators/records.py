@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.text import sheet_name
+from ledgerweave.functions.text import name_segment, sheet_name
 
 #: Fields that an update may set.
 UPDATABLE = (
@@ -66,6 +66,24 @@ def overridden(found: Column, before: Column, field: str) -> Column:
     return F.when((F.coalesce(found, F.lit("")) != "") & (found != NOT_FOUND[field]), found).otherwise(before)
 
 
+def response(fields: dict[str, Column], raw_text: Column, items: Column, boxes: Column, file_name: Column, batch: bool = False) -> Column:
+    """Struct of a parse result: number, amount, date and type of ``fields``, those missing as failed, a new name, and bounded extras.
+
+    At most 50 items, 200 boxes and 2000 characters of text are shown, as it is a view of one record; a batch shows no text.
+    """
+    number = F.when(F.coalesce(fields["number"], F.lit("")).isin("", "未知号码"), F.lit("")).otherwise(fields["number"])
+    amount, date, kind = (F.coalesce(fields[f], F.lit("")) for f in ("amount", "date", "type"))
+    failed = F.array_compact(F.array(F.when(number == "", "invoiceNumber"), F.when(amount == "", "amount"), F.when(date == "", "invoiceDate")))
+    ext = F.when(F.contains(file_name, F.lit(".")), F.concat(F.lit("."), F.substring_index(file_name, ".", -1))).otherwise(".pdf")
+    shown = lambda value, other: F.coalesce(F.nullif(value, F.lit("")), F.lit(other))
+    parts = [name_segment(c) for c in (kind, shown(number, "未知"), shown(amount, "0"))]
+    return F.struct(
+        kind.alias("invoice_type"), number.alias("invoice_number"), amount.alias("amount"), date.alias("invoice_date"), failed.alias("failed_fields"),
+        F.concat(F.concat_ws("_", *parts), ext).alias("new_name"), (F.lit("") if batch else F.left(F.coalesce(raw_text, F.lit("")), F.lit(2000))).alias("raw_text"),
+        F.slice(F.coalesce(items, F.array()), 1, 50).alias("line_items"), F.slice(F.coalesce(boxes, F.array()), 1, 200).alias("bbox_data"),
+    )
+
+
 def is_structured(kind: Column, number: Column, amount: Column) -> Column:
     """At least two of: a real type, a number of 8, 10, 12 or 20 digits, an amount over 0."""
     digits = F.length(F.regexp_replace(number, r"\D", ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.text import base_name, name_key, without_page_suffix
 from ledgerweave.operators.folds import fold_rows
+from ledgerweave.sources.records import latest_snapshot, write_snapshot
 
 FOLDED = "id string, data map<string,string>, deleted_at string, hard_deleted boolean, n_ops long"
 
@@ -53,6 +54,22 @@ def fold_oplog(log: DataFrame) -> DataFrame:
     return fold_rows(log, "id", ["pos"], ["op", "ts", "data"], FOLDED, step, finish)
 
 
+def load_records(snapshot: DataFrame, log: DataFrame) -> DataFrame:
+    """State of a snapshot (id, data) after the operations of ``log``; every record of the snapshot counts as an upsert before them."""
+    kind = log.schema["pos"].dataType
+    before = snapshot.select(F.lit("upsert").alias("op"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("ts"), "data", F.lit(None).cast(kind).alias("pos"))
+    return fold_oplog(before.unionByName(log.select("op", F.col("id").cast("string").alias("id"), "ts", "data", "pos")))
+
+
+def compact(spark, folder: str, log: DataFrame, version: int) -> None:
+    """Write the newest finished snapshot under ``folder`` with ``log`` applied as the next version; hard-deleted records leave.
+
+    The log may be emptied afterwards: a run that breaks leaves the version before in force.
+    """
+    state = load_records(latest_snapshot(spark, folder).select("id", "data"), log)
+    write_snapshot(state.where(~F.col("hard_deleted")).select("id", "data", "deleted_at"), folder, version)
+
+
 def last_state(log: DataFrame) -> DataFrame:
     """Deletion state per id without a fold: the last deleting or restoring entry decides. id, deleted_at, n_ops."""
     touches = F.col("op").isin("upsert", "soft_delete", "restore")

@@ -47,6 +47,18 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(max(done))
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A small JSON object of settings; empty where the file is missing or damaged."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return {}
+    try:
+        found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except (TypeError, ValueError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def read_queue(spark: SparkSession, folder: str, schema: str, status: str | None = None) -> DataFrame:
     """One JSON file per record, newest name first; unreadable files are dropped, status filters if given."""
     df = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder)

@@ -4,7 +4,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.operators import export, extract, layout, pages, search, stats, store
+from ledgerweave.functions import repair
+from ledgerweave.operators import export, extract, layout, matching, pages, search, stats, store
 from ledgerweave.streaming import oplog
 
 
@@ -153,3 +154,30 @@ def test_job_and_record_operators(spark):
     rows = spark.createDataFrame([("1", {"memo": "a"}, None), ("2", {"memo": "a"}, "2024")], "id string, data map<string,string>, deleted_at string")
     new = spark.createDataFrame([(i, {"memo": "b", "hash_sha256": "x"}) for i in "12"], "id string, fields map<string,string>")
     assert {r.id: r.data for r in records.updated(rows, new).collect()} == {"1": {"memo": "b"}, "2": {"memo": "a"}}
+
+
+def test_header_balance_by_rule(spark):
+    """Free of tax, red, zero tax, adjusted, derived either way, nothing to go by."""
+    rows = [
+        (100.0, 100.0, None, 100.0, 0.0), (-106.0, -100.0, -6.0, -100.0, -6.0), (100.0, 100.02, 0.0, 100.02, 0.0), (100.0, 90.0, 5.0, 90.0, 10.0),
+        (100.0, 90.0, None, 90.0, 10.0), (100.0, None, 6.0, 94.0, 6.0), (100.0, None, None, None, None), (None, 5.0, 1.0, 5.0, 1.0), (100.0, 120.0, None, 120.0, None),
+        (1000.0, 940.0, 55.0, 940.0, 55.0),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "total double, net double, tax double")
+    got = df.select(repair.balanced_header(F.col("total"), F.col("net"), F.col("tax")).alias("r")).select("r.net", "r.tax").collect()
+    assert [tuple(r) for r in got] == [r[3:] for r in rows]
+
+
+def test_pair_without_anchor_is_the_tightest_then_the_lowest(spark):
+    pairs = spark.createDataFrame([(1, 5.0, 1.0, 3.0, 10.0, 0.0), (1, 9.0, 2.0, 3.0, 40.0, 0.0), (1, 8.0, 2.0, 4.0, 90.0, 0.0)], "doc_id long, net double, tax double, gap double, y double, x double")
+    none = spark.createDataFrame([], "doc_id long, ax double, ay double")
+    assert [(r.net, r.tax) for r in matching.pair_at_anchor(pairs, none).collect()] == [(9.0, 2.0)]
+
+
+def test_grouped_csv_begins_with_a_mark(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "identity string, pos long, xmmc string")
+    out = export.grouped(rows)
+    assert [(r.serialNo, r.xmmc) for r in out.collect()] == [(1, "x"), (1, "z"), (2, "y")]
+    export.write_csv(out, str(tmp_path / "g"), ["serialNo", "xmmc"])
+    files = [p.read_bytes() for p in (tmp_path / "g").glob("part-*") if p.stat().st_size]
+    assert files and all(f.startswith("\ufeffserialNo,xmmc".encode()) for f in files)
