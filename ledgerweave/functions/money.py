@@ -133,22 +133,26 @@ def amount_in_words(style: str = "plain"):
     return words
 
 
+# Numerals and units that a running text may use; 万 and 亿 count the last digit only.
+_NUMERALS = {c: i for row in (_DIGITS, " 一二三四五六七八九") for i, c in enumerate(row)}
+_UNITS = {"拾": 10, "十": 10, "佰": 100, "百": 100, "仟": 1000, "千": 1000, "万": 10000, "亿": 100000000, "元": 1, "圆": 1, "角": 0.1, "分": 0.01}
+
+
 def running_text_amount(text: str | None) -> float | None:
-    """Words to an amount; an Arabic number in the text wins."""
+    """Words to an amount; the first Arabic number in the text wins, with or without commas. None where nothing over 0 is found."""
     import re
 
     if not text:
         return None
-    if m := re.search(r"\d+(?:\.\d+)?", text):
-        return float(m[0])
-    units = {"拾": 10, "佰": 100, "仟": 1000, "万": 10000, "亿": 100000000, "元": 1, "圆": 1, "角": 0.1, "分": 0.01}
-    total, digit, seen = 0.0, 0, False
+    if (m := re.search(r"[\d,，]+\.?\d*", text)) and (plain := re.sub("[,，]", "", m[0])) not in ("", "."):
+        return float(plain)
+    total, digit = 0.0, 0
     for ch in text:
-        if ch in _DIGITS:
-            digit, seen = _DIGITS.index(ch), True
-        elif ch in units:
-            total, digit, seen = total + digit * units[ch], 0, True
-    return round(total, 2) if seen else None
+        if ch != " " and ch in _NUMERALS:
+            digit = _NUMERALS[ch]
+        elif ch in _UNITS:
+            total, digit = total + digit * _UNITS[ch], 0
+    return round(total + digit, 2) or None
 
 
 @F.pandas_udf(T.DoubleType())

@@ -306,7 +306,12 @@ def oplog_last_state(spark, sf_dir):
     return store.last_state(_log(spark, sf_dir))
 
 
-@register()
+@register(
+    """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS id, epoch_us(ts) * 1000 + event_id % 1000 AS pos, event_id % 4 AS op, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(value AS VARCHAR) AS v FROM events),
+       b AS (SELECT id, min(pos) AS p0 FROM l WHERE op = 0 GROUP BY 1)
+       SELECT id, '{"value":"' || (arg_max(v, pos) FILTER (WHERE op < 2)) || '"}' AS data, (arg_max({'at': CASE WHEN op = 2 THEN ts END}, pos) FILTER (WHERE op <> 1)).at AS deleted_at,
+       false AS hard_deleted, count(*) AS n_ops FROM l JOIN b USING (id) WHERE pos >= p0 GROUP BY 1"""
+)
 def oplog_fold(spark, sf_dir):
     log = _log(spark, sf_dir).withColumn("pos", F.unix_micros(F.col("pos.ts").cast("timestamp")) * 1000 + F.col("pos.event_id") % 1000)
     return store.fold_oplog(log).select("id", F.to_json("data").alias("data"), "deleted_at", "hard_deleted", "n_ops")
@@ -355,14 +360,31 @@ def text_cleaning(spark, sf_dir):
     )
 
 
-@register()
+@register(
+    """WITH o AS (SELECT o_orderkey, translate(CAST(o_orderkey AS VARCHAR), '01', 'OI') AS n FROM orders),
+       c AS (SELECT *, 'O-' || n AS m, array_to_string(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN n[i] = 'O' AND (regexp_matches(n[i - 1], '[0-9]') OR regexp_matches(n[i + 1], '[0-9]')) THEN '0' ELSE n[i] END), '') AS fixed FROM o)
+       SELECT o_orderkey, CASE WHEN regexp_matches(n, '[0-9]') THEN CAST(o_orderkey AS VARCHAR) ELSE fixed END AS number, 'O-' || fixed AS mixed FROM c"""
+)
 def digit_fix(spark, sf_dir):
-    """Look-around has no form in the SQL twin's regular expressions."""
+    """The twin looks at every character's neighbours, as its regular expressions know no look-around."""
     number = F.translate(F.col("o_orderkey").cast("string"), "01", "OI")
     return table(spark, sf_dir, "orders").select("o_orderkey", text.digit_fix(number).alias("number"), text.digit_fix(F.concat(F.lit("O-"), number)).alias("mixed"))
 
 
-@register()
+_PLACES = " || ".join(
+    f"translate(s[{i}], '0123456789', '零壹贰叁肆伍陆柒捌玖') || CASE WHEN s[{i}] <> '0' THEN '{unit}' ELSE '' END" + (" || '万'" if i == 4 else "")
+    for i, unit in enumerate(("仟", "佰", "拾", "", "仟", "佰", "拾", ""), 1)
+)
+
+
+@register(
+    f"""WITH c AS (SELECT o_orderkey, o_totalprice, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders),
+        w AS (SELECT *, lpad(CAST(c // 100 AS VARCHAR), 8, '0') AS s, translate(CAST(c // 10 % 10 AS VARCHAR), '123456789', '壹贰叁肆伍陆柒捌玖') AS j, translate(CAST(c % 10 AS VARCHAR), '123456789', '壹贰叁肆伍陆柒捌玖') AS f FROM c),
+        t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PLACES}, '零+', '零', 'g'), '零万', '万'), '^万?零?', ''), '零$', '') AS t FROM w)
+        SELECT o_orderkey, t || '元' || CASE WHEN c % 100 = 0 THEN '整' ELSE CASE WHEN j = '0' THEN '零' ELSE j || '角' END || CASE WHEN f = '0' THEN '整' ELSE f || '分' END END AS words,
+        round(c % 100 / 100.0 + CAST(s[1] AS INT) * 1000 + CAST(s[2] AS INT) * 100 + CAST(s[3] AS INT) * 10 + CAST(s[4] AS INT) * 10000
+          + CAST(s[5] AS INT) * 1000 + CAST(s[6] AS INT) * 100 + CAST(s[7] AS INT) * 10 + CAST(s[8] AS INT), 2)::DOUBLE AS back FROM t"""
+)
 def amount_words(spark, sf_dir):
     a = F.col("o_totalprice").cast("decimal(18,2)")
     words = money.amount_in_words("closed")(a)

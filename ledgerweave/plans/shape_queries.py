@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import money, repair
+from ledgerweave.functions import money, repair, text
 from ledgerweave.operators import documents, jobs, layout, matching, records, store
 from ledgerweave.plans.catalog import register
+from ledgerweave.sources.records import detected_type
 from ledgerweave.sources.tables import table
 
 
@@ -184,3 +185,21 @@ def responses(spark, sf_dir):
         "o_orderkey", F.concat_ws(",", "r.failed_fields").alias("failed"), "r.new_name", F.length("r.raw_text").alias("n_text"),
         F.size("r.line_items").alias("n_items"), F.size("r.bbox_data").alias("n_boxes"),
     )
+
+
+@register(
+    """WITH f AS (SELECT o_orderkey AS k, CASE o_orderkey % 8 WHEN 0 THEN 'a.pdf' WHEN 1 THEN 'b.PNG' WHEN 2 THEN 'c.x.ofd' WHEN 3 THEN 'd' WHEN 4 THEN 'e.xml' WHEN 5 THEN 'f.jpeg' WHEN 6 THEN 'g.docx' ELSE '' END AS n,
+         CASE o_orderkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'ofd' WHEN 2 THEN 'image' ELSE '' END AS magic FROM orders),
+       e AS (SELECT *, CASE k % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'ofd' WHEN 4 THEN 'xml' WHEN 5 THEN 'jpeg' WHEN 6 THEN 'docx' ELSE '' END AS ext FROM f)
+       SELECT k AS o_orderkey, ext AS extension, CASE WHEN ext = 'ofd' THEN 'ofd' WHEN ext IN ('png', 'jpeg') THEN 'image' ELSE 'pdf' END AS format,
+       CASE ext WHEN 'ofd' THEN 'application/ofd' WHEN 'png' THEN 'image/png' WHEN 'jpeg' THEN 'image/jpeg' ELSE 'application/pdf' END AS media,
+       CASE WHEN magic <> '' THEN magic WHEN ext IN ('pdf', 'ofd', 'xml') THEN ext WHEN ext IN ('png', 'jpeg') THEN 'image' ELSE 'unknown' END AS kind FROM e"""
+)
+def file_kinds(spark, sf_dir):
+    k = F.col("o_orderkey")
+    name = _case(k, *[F.lit(n) for n in ("a.pdf", "b.PNG", "c.x.ofd", "d", "e.xml", "f.jpeg", "g.docx", "")])
+    body = F.unhex(_case(k, *[F.lit(h) for h in ("255044462D", "504B030414", "FFD8FFE0", "00", "2550")]))
+    ext = text.extension(name)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", ext.alias("extension"), text.file_format(name).alias("format"), text.media_type(ext).alias("media"), detected_type(body, name).alias("kind")
+    )

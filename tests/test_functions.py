@@ -54,6 +54,9 @@ def test_words(spark):
     got = one(spark, Decimal("100.10"), money.amount_in_words("closed"), "decimal(18,2)")
     assert got == "壹佰元壹角整"
     assert money.running_text_amount("壹佰元壹角") == 100.1
+    # 万 counts the last digit only; commas and plain numerals count too.
+    texts = {"壹拾贰万元": 20010.0, "三千五百元": 3500.0, "共 1,234.50 元": 1234.5, "零元整": None, "": None, "叁": 3.0, "（，）伍元": 5.0}
+    assert {t: money.running_text_amount(t) for t in texts} == texts
 
 
 def test_header_and_lines(spark):
