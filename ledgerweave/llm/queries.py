@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import (
-    chat_format, line_dedup, media, mixing, near_dedup, piece_merges, quality_rules, secret_scan, substring_dedup, url_filter,
+    chat_format, line_dedup, media, mixing, near_dedup, phrases, piece_merges, quality_rules, secret_scan, substring_dedup, url_filter,
     warc,
 )
 
@@ -75,13 +75,17 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op11_query(_read(spark, sf_dir, "pages"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (
         op1_quality_rules, op2_secret_scan, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_media,
-        op7_url_filter, op8_line_dedup, op9_sentencepiece, op10_chat_format, op11_warc,
+        op7_url_filter, op8_line_dedup, op9_sentencepiece, op10_chat_format, op11_warc, op13_phrases,
     )
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL}
+    return {"op3_mix_sources": mixing.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op13_phrases": phrases.ORACLE_SQL}
