@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import (
-    chat_format, line_dedup, media, mixing, near_dedup, phrases, piece_merges, quality_rules, secret_scan, substring_dedup, url_filter,
-    warc,
+    chat_format, line_dedup, media, mixing, near_dedup, phrases, piece_merges, quality_rules, secret_scan, substring_dedup, token_alignment,
+    url_filter, warc,
 )
 
 MODEL = "piece_bpe_32k.model"
@@ -75,6 +75,11 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op11_query(_read(spark, sf_dir, "pages"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = token_alignment.byte_level(model_path("byte_bpe_50k.json")), token_alignment.piece_level(model_path())
+    return token_alignment.align(_read(spark, sf_dir, "documents"), a, b)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(_read(spark, sf_dir, "documents"))
 
@@ -82,7 +87,8 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = (
         op1_quality_rules, op2_secret_scan, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_media,
-        op7_url_filter, op8_line_dedup, op9_sentencepiece, op10_chat_format, op11_warc, op13_phrases,
+        op7_url_filter, op8_line_dedup, op9_sentencepiece, op10_chat_format, op11_warc, op12_token_alignment,
+        op13_phrases,
     )
     return {f.__name__: f for f in fns}
 
