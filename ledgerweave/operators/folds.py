@@ -29,24 +29,3 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
             yield batch.assign(**{name: pd.Series(out, index=batch.index, dtype="int32")})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
-def fold_rows(df: DataFrame, key: str, order: list[str], inputs: list[str], schema: str, step: Callable, finish: Callable) -> DataFrame:
-    """One row per key: ``step(state, *inputs)`` returns the next state (from None), ``finish(key, state)`` a row or None."""
-
-    def run(batches):
-        names = [f.split()[0] for f in schema.split(", ")]
-        key_now, state, started = None, None, False
-        for batch in batches:
-            done = []
-            for now, values in zip(batch[key], zip(*[batch[c] for c in inputs])):
-                if not started or now != key_now:
-                    if started and (row := finish(key_now, state)) is not None:
-                        done.append(row)
-                    key_now, state, started = now, None, True
-                state = step(state, *values)
-            yield pd.DataFrame(done, columns=names)
-        if started and (row := finish(key_now, state)) is not None:
-            yield pd.DataFrame([row], columns=names)
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

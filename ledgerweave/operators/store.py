@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.text import base_name, name_key, without_page_suffix
-from ledgerweave.operators.folds import fold_rows
-from ledgerweave.sources.records import latest_snapshot, write_snapshot
-
-FOLDED = "id string, data map<string,string>, deleted_at string, hard_deleted boolean, n_ops long"
 
 
 def read_oplog(spark, path: str) -> DataFrame:
@@ -21,7 +17,10 @@ def read_oplog(spark, path: str) -> DataFrame:
 
 
 def fold_entries(state: dict | None, entries) -> dict | None:
-    """One id's state after (op, ts, data) in order; an update, delete or restore of an unknown id does nothing."""
+    """One id's state after (op, ts, data) in order; an update, delete or restore of an unknown id does nothing.
+
+    The rule of ``fold_oplog`` step by step, for the state of a stream.
+    """
     for op, ts, data in entries:
         if op == "upsert":
             state = {"data": dict(data or {}), "deleted_at": None, "hard": False, "n": (state["n"] if state else 0)}
@@ -40,34 +39,55 @@ def fold_entries(state: dict | None, entries) -> dict | None:
 
 
 def fold_oplog(log: DataFrame) -> DataFrame:
-    """Current state per id from (op, id, ts, data, pos): a sequential fold over the sorted entries of each id.
+    """Current state per id from (op, id, ts, data, pos), equal to ``fold_entries`` over the entries of each id in the order of pos.
 
-    Folding by id makes replay idempotent: a repeated upsert replaces the record.
+    Folding by id makes replay idempotent: a repeated upsert replaces the record. An entry counts if the last upsert or hard deletion before
+    it is an upsert. One sorted pass finds that, then sums per id and field; no entries of an id are gathered, so a hot id costs
+    time but no memory. An entry ``snapshot`` is a record as a snapshot has it: ts is its time of deletion, if any; it is no operation.
     """
-
-    def step(state, op, ts, data):
-        return fold_entries(state, [(op, ts, dict(data) if data is not None else {})])
-
-    def finish(key, state):
-        return None if state is None else (key, state["data"], state["deleted_at"], state["hard"], state["n"])
-
-    return fold_rows(log, "id", ["pos"], ["op", "ts", "data"], FOLDED, step, finish)
+    begins = F.col("op").isin("upsert", "snapshot")
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mark = F.when(begins, F.lit(True)).when(F.col("op") == "hard_delete", F.lit(False))
+    live = begins | F.coalesce(F.last(mark, True).over(before), F.lit(False))
+    # The number of the record's life: data of earlier ones is gone.
+    rows = log.select("id", "op", "ts", "data", "pos", live.alias("_live"), F.sum(begins.cast("int")).over(upto).alias("_life")).where("_live")
+    given = F.when(begins | (F.col("op") == "update"), F.map_entries("data"))
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    fields = F.concat(F.array(none), F.coalesce(given, F.array().cast("array<struct<key:string,value:string>>")))
+    rows = rows.withColumn("_field", F.explode(fields)).withColumn("_own", F.col("_field.key").isNull())
+    gone = F.when(F.col("op").isin("soft_delete", "hard_delete", "snapshot"), F.col("ts"))
+    per_field = rows.groupBy("id", F.col("_field.key").alias("key")).agg(
+        F.max_by(F.struct("_life", F.col("_field.value").alias("value")), "pos").alias("last"), F.max("_life").alias("life"),
+        F.max_by(F.struct(gone.alias("at")), F.when(F.col("op") != "update", F.col("pos"))).alias("gone"),
+        F.max_by("op", F.when(begins | (F.col("op") == "hard_delete"), F.col("pos"))).alias("mark"),
+        F.count_if(F.col("op") != "snapshot").alias("n"),
+    )
+    own = lambda c: F.max(F.when(F.col("key").isNull(), c))
+    fields = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "last")))
+    out = per_field.groupBy("id").agg(own(F.col("life")).alias("life"), own(F.struct("gone.at")).alias("gone"), own(F.col("mark")).alias("mark"), own(F.col("n")).alias("n"), fields.alias("fields"))
+    kept = F.filter("fields", lambda x: x["last"]["_life"] == F.col("life"))
+    data = F.map_from_entries(F.array_sort(F.transform(kept, lambda x: F.struct(x["key"].alias("key"), x["last"]["value"].alias("value")))))
+    return out.select(F.col("id").cast("string").alias("id"), data.alias("data"), F.col("gone.at").alias("deleted_at"), (F.col("mark") == "hard_delete").alias("hard_deleted"), F.col("n").alias("n_ops"))
 
 
 def load_records(snapshot: DataFrame, log: DataFrame) -> DataFrame:
-    """State of a snapshot (id, data) after the operations of ``log``; every record of the snapshot counts as an upsert before them."""
-    kind = log.schema["pos"].dataType
-    before = snapshot.select(F.lit("upsert").alias("op"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("ts"), "data", F.lit(None).cast(kind).alias("pos"))
-    return fold_oplog(before.unionByName(log.select("op", F.col("id").cast("string").alias("id"), "ts", "data", "pos")))
-
-
-def compact(spark, folder: str, log: DataFrame, version: int) -> None:
-    """Write the newest finished snapshot under ``folder`` with ``log`` applied as the next version; hard-deleted records leave.
+    """State of a snapshot (id, data, and deleted_at and n_ops if there) after the operations of ``log``.
 
-    The log may be emptied afterwards: a run that breaks leaves the version before in force.
+    Without n_ops every record of the snapshot counts as one operation before them.
     """
-    state = load_records(latest_snapshot(spark, folder).select("id", "data"), log)
-    write_snapshot(state.where(~F.col("hard_deleted")).select("id", "data", "deleted_at"), folder, version)
+    has = snapshot.columns
+    deleted = F.col("deleted_at").cast("string") if "deleted_at" in has else F.lit(None).cast("string")
+    known = F.col("n_ops").cast("long") if "n_ops" in has else F.lit(1).cast("long")
+    kind = log.schema["pos"].dataType
+    order = lambda first, pos: F.struct(F.lit(first).alias("from"), pos.alias("at"))  # noqa: E731  the snapshot's records come first
+    before = snapshot.select(
+        F.lit("snapshot").alias("op"), F.col("id").cast("string").alias("id"), deleted.alias("ts"), "data", order(0, F.lit(None).cast(kind)).alias("pos")
+    )
+    later = log.select("op", F.col("id").cast("string").alias("id"), "ts", "data", order(1, F.col("pos")).alias("pos"))
+    counts = snapshot.select(F.col("id").cast("string").alias("id"), known.alias("_known"))
+    state = fold_oplog(before.unionByName(later)).join(counts, "id", "left")
+    return state.withColumn("n_ops", F.col("n_ops") + F.coalesce("_known", F.lit(0))).drop("_known")
 
 
 def last_state(log: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ Where the tables lack a form (a missing part, a box, an anchor), every row gets
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import money, repair, text
-from ledgerweave.operators import documents, jobs, layout, matching, records, store
+from ledgerweave.operators import cutover, documents, jobs, layout, matching, records, store
 from ledgerweave.plans.catalog import register
+from ledgerweave.session import shared_dir
 from ledgerweave.sources.records import detected_type
 from ledgerweave.sources.tables import table
 
@@ -151,6 +154,34 @@ def store_load(spark, sf_dir):
     return store.load_records(snapshot, log).select("id", F.col("data")["name"].alias("name"), F.col("data")["value"].alias("value"), "deleted_at", "n_ops")
 
 
+_OPS = ("upsert", "upsert", "update", "update", "update", "update", "soft_delete", "soft_delete", "restore", "restore", "hard_delete", "update")
+
+
+@register(
+    f"""WITH l AS (SELECT CAST(user_id AS VARCHAR) AS id, epoch_us(ts) * 1000 + event_id % 1000 AS pos, {list(_OPS)}[event_id % 12 + 1] AS op, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(event_id AS VARCHAR) AS v FROM events),
+       m AS (SELECT *, CASE op WHEN 'upsert' THEN 1 WHEN 'hard_delete' THEN 0 END AS mark FROM l),
+       a AS (SELECT *, op = 'upsert' OR coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS live FROM m)
+       SELECT id, arg_max(v, pos) FILTER (WHERE op IN ('upsert', 'update')) AS value, (arg_max({{'at': CASE WHEN op = 'soft_delete' THEN ts END}}, pos) FILTER (WHERE op <> 'update')).at AS deleted_at
+       FROM a WHERE live GROUP BY 1 HAVING arg_max(op, pos) FILTER (WHERE mark IS NOT NULL) = 'upsert'"""
+)
+def store_cutover(spark, sf_dir):
+    """Log, compact, log, compact, log, load: the same as one fold of the whole log."""
+    pos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    log = table(spark, sf_dir, "events").select(
+        F.get(F.array(*map(F.lit, _OPS)), (F.col("event_id") % 12).cast("int")).alias("op"), F.col("user_id").cast("string").alias("id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.create_map(F.lit("value"), F.col("event_id").cast("string")).alias("data"), pos.alias("pos"),
+    )
+    first, second = log.approxQuantile("pos", [0.4, 0.7], 0.01)
+    folder = f"{shared_dir(spark)}/ledgerweave/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    bounds = (log.where(F.col("pos") <= first), log.where((F.col("pos") > first) & (F.col("pos") <= second)), log.where(F.col("pos") > second))
+    for batch, part in enumerate(bounds):
+        cutover.append(part, f"{folder}/log", batch)
+        if batch < 2:
+            cutover.compact(spark, f"{folder}/versions", f"{folder}/log")
+    state = cutover.load(spark, f"{folder}/versions", f"{folder}/log").where(~F.col("hard_deleted"))
+    return state.select("id", F.col("data")["value"].alias("value"), "deleted_at")
+
+
 @register("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def referenced_documents(spark, sf_dir):
     return documents.referenced(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"))

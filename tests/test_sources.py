@@ -64,19 +64,6 @@ def test_repair(spark):
     assert sorted(r.o for r in names) == ["a.pdf", "a_1.pdf", "b"]
 
 
-def test_compaction_applies_the_log_and_keeps_the_older_version(spark, tmp_path):
-    from ledgerweave.operators import store
-
-    folder = str(tmp_path / "snap")
-    first = spark.createDataFrame([("1", {"a": "x"}, None), ("2", {"a": "y"}, None), ("3", {"a": "z"}, None)], "id string, data map<string,string>, deleted_at string")
-    records.write_snapshot(first, folder, 1)
-    log = spark.createDataFrame([("update", 1, "t1", {"b": "n"}, 5), ("hard_delete", 2, "t2", None, 6), ("soft_delete", 3, "t3", None, 7), ("update", 9, "t4", {"a": "q"}, 8)], "op string, id int, ts string, data map<string,string>, pos long")
-    store.compact(spark, folder, log, 2)
-    got = {r.id: (r.data, r.deleted_at) for r in records.latest_snapshot(spark, folder).collect()}
-    assert got == {"1": ({"a": "x", "b": "n"}, None), "3": ({"a": "z"}, "t3")}
-    assert spark.read.parquet(folder + "/version=000000000001").count() == 3
-
-
 def test_config_of_a_missing_or_damaged_file_is_empty(spark, tmp_path):
     (tmp_path / "good.json").write_text('{"a": 1}')
     (tmp_path / "bad.json").write_text('{"a": ')
