@@ -6,6 +6,10 @@ with the new symbol can rank before it, all non-overlapping occurrences of the r
 at once, which gives the same result. The arrays are compacted until no pair remains. Words
 seen before come from a bounded cache. Spark deals out the texts; nothing is shuffled.
 
+Rounds grow with a word's length, so a word of over LONG characters (a text without blanks, such as Chinese or base64) is first cut wherever two neighbouring
+characters are neighbours in no piece, as no merge reaches over such a place. A stretch that is still longer merges its pairs one by one from a heap, in
+the same order (rank, then place), in time that is linear but for a logarithm.
+
 The vocabulary is read on the driver from the model file and sent as a broadcast of its own fixed
 size (checked against MAX_PIECES). Words may be cut before a space run because no piece has
 one after another character, and at line feeds because no piece has one; both are checked.
@@ -18,6 +22,7 @@ encoded exactly; repeated rows give repeated results; extra columns are not carr
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 
 import numpy as np
@@ -30,6 +35,7 @@ from ledgerweave.llm.token_arrays import in_pieces
 SPACE = "▁"
 MAX_PIECES = 2_000_000
 CACHE_WORDS = 200_000
+LONG = 400
 _NONE = np.int64(2**62)
 
 
@@ -88,12 +94,63 @@ class Merger:
         self.made = np.append(np.array(made, dtype=np.int64)[by], 0)
         self.ranks = np.append(np.array(ranks, dtype=np.int64)[by], _NONE)
         self.risky = risky
+        self.merges = dict(zip(keys, zip(ranks, made)))
+        inner = {ord(a) << 21 | ord(b) for p in ids for a, b in zip(p, p[1:])}
+        self.inner = np.append(np.array(sorted(inner), dtype=np.int64), _NONE)
         self.text = [str(i) for i in range(self.n)]
         self.raw = [
             bytes([int(p[3:5], 16)]) if r == "b" else b"" if r == "x" else p.replace(SPACE, " ").encode() for p, r in zip(pieces, roles)
         ]
         self.cache: dict[str, tuple[str, str]] = {}
 
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words in order, and the number of symbols of each; long words are cut where no merge can reach over."""
+        if max(map(len, words), default=0) <= LONG:
+            return self.rounds(words)
+        parts, owner = [], []
+        for i, word in enumerate(words):
+            cut = [word]
+            if len(word) > LONG:
+                at = np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+                pair = at[:-1] << 21 | at[1:]
+                ends = [*(np.flatnonzero(self.inner[np.searchsorted(self.inner, pair)] != pair) + 1).tolist(), len(word)]
+                cut = [word[a:b] for a, b in zip([0, *ends], ends)]
+            parts += cut
+            owner += [i] * len(cut)
+        short = [p for p in parts if len(p) <= LONG]
+        found, sizes = self.rounds(short)
+        pieces = iter(np.split(found, np.cumsum(sizes)[:-1]) if short else [])
+        out = [next(pieces) if len(p) <= LONG else self.heaped(p) for p in parts]
+        return np.concatenate(out), np.bincount(owner, weights=[len(x) for x in out], minlength=len(words)).astype(np.int64)
+
+    def heaped(self, word: str) -> np.ndarray:
+        """Symbols of one long word: the leftmost pair of the least rank merges, again and again."""
+        sym = self.char[np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)].tolist()
+        n, merges = len(sym), self.merges
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        # One number per waiting pair: its rank, then its place. It holds if the pair now at the place has that rank.
+        heap = [m[0] << 40 | i for i in range(n - 1) if (m := merges.get(sym[i] << 32 | sym[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFFFF
+            j = after[i]
+            if sym[i] < 0 or j < 0:
+                continue
+            m = merges.get(sym[i] << 32 | sym[j])
+            if m is None or m[0] != top >> 40:
+                continue
+            sym[i], sym[j] = m[1], -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if m := merges.get(sym[i] << 32 | sym[k]):
+                    heapq.heappush(heap, m[0] << 40 | i)
+            h = before[i]
+            if h >= 0 and (m := merges.get(sym[h] << 32 | sym[i])):
+                heapq.heappush(heap, m[0] << 40 | h)
+        return np.array([s for s in sym if s >= 0], dtype=np.int64)
+
     def rounds(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words in order, and the number of symbols of each."""
         sym = self.char[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
@@ -139,7 +196,7 @@ class Merger:
     def learn(self, keys: list[str]) -> None:
         """Fill the cache; a key that starts with a line feed has no space before it, any other has one."""
         words = [k[1:] if k[:1] == "\n" else SPACE + k.replace(" ", SPACE) for k in keys]
-        symbols, sizes = self.rounds(words)
+        symbols, sizes = self.symbols(words)
         at = 0
         for key, size in zip(keys, sizes.tolist()):
             ids = [self.byte[10]] if key[:1] == "\n" else []
