@@ -21,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ CACHE_WORDS = 300_000
 SLICE = 1 << 21
 BUCKETS = 256
 HEAD = 1 << 22
+#: Fixed value: how a byte-level tokenizer cuts a text into words.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text with one of these is encoded whole.
 _WHOLE = re.compile(r"\s \s|  | $|^ |▁")
 EVENTS = "row long, doc_id long, start long, side int, ids binary"
@@ -42,19 +46,44 @@ SWEPT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long,
 
 
 def byte_level(path: str) -> dict:
-    """A byte-level BPE vocabulary (tokenizers JSON): its text and the bytes of every id."""
-    text = open(path, encoding="utf-8").read()
-    found = json.loads(text)
+    """A byte-level BPE vocabulary (tokenizers JSON): the bytes of every id and the ids that are control strings.
+
+    Its merges are checked to be ordered by id, and each to be what the merges before it leave of its token. Then merging the neighbours whose joined bytes
+    have the lowest id, as the fast encoder does, gives what the merge list gives.
+    """
+    found = json.loads(open(path, encoding="utf-8").read())
     if found["model"]["type"] != "BPE" or found["pre_tokenizer"]["type"] != "ByteLevel" or found["pre_tokenizer"]["add_prefix_space"]:
         raise ValueError("not a byte-level BPE without a prefix space")
     # Printable bytes stand for themselves, the others for the characters from 256 on.
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-    vocab = found["model"]["vocab"]
-    raw = [b""] * (max(vocab.values()) + 1)
+    as_bytes = lambda token: bytes(byte_of[c] for c in token)
+    vocab, control = found["model"]["vocab"], {t["id"]: t["content"] for t in found["added_tokens"]}
+    raw = [b""] * (max(*vocab.values(), *control) + 1)
     for token, i in vocab.items():
-        raw[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-    return {"blob": text, "raw": raw}
+        if i not in control:
+            raw[i] = as_bytes(token)
+    ranks, last = {r: i for i, r in enumerate(raw) if r}, -1
+    for merge in found["model"]["merges"]:
+        x, y = map(as_bytes, merge.split(" ") if isinstance(merge, str) else merge)
+        rank = ranks.get(x + y, -1)
+        if rank <= last or _merged_below(x + y, ranks, rank) != [x, y]:
+            raise ValueError("the merges are not ordered by id")
+        last = rank
+    for i, text in control.items():
+        raw[i] = text.encode()
+    return {"raw": raw, "control": sorted(control)}
+
+
+def _merged_below(token: bytes, ranks: dict[bytes, int], limit: int) -> list[bytes]:
+    """The parts of a token after all merges of a lower rank than ``limit``."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], limit), i) for i in range(len(parts) - 1))
+        if rank >= limit:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
 
 
 def piece_level(path: str) -> dict:
@@ -73,52 +102,82 @@ def piece_level(path: str) -> dict:
             raise ValueError("a piece reaches over a word's end")
         else:
             raw.append(piece.replace("▁", " ").encode())
-    return {"blob": open(path, "rb").read(), "raw": raw}
+    return {"model": open(path, "rb").read(), "raw": raw}
 
 
-class Encoder:
-    """Packed ids (16 bits each) of both tokenizers, word by word through a cache."""
+class _Numbers(dict):
+    """Word numbers; a word not seen before gets the next one and waits in ``new``."""
 
-    def __init__(self, a: dict, b: dict):
-        import os
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
-        import sentencepiece
-        from tokenizers import Tokenizer
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
-        self.a = Tokenizer.from_str(a["blob"])
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b["blob"])
-        self.raw_a, self.raw_b = a["raw"], b["raw"]
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        spaced = [" " + t for t in texts]
-        out = []
-        for text, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            a, data = a.ids, text.encode()
-            same = b"".join([self.raw_a[i] for i in a]) == data and b"".join([self.raw_b[i] for i in b]) == data
-            out.append((np.array(a, dtype="<u2").tobytes(), np.array(b, dtype="<u2").tobytes()) if same else None)
-        return out
+class Encoder:
+    """Ids of both tokenizers (16 bits each), word by word through a cache."""
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+    def __init__(self, a: dict, b: dict):
+        import sentencepiece
+        import tiktoken
+
+        ranks = {r: i for i, r in enumerate(a["raw"]) if r and i not in a["control"]}
+        self.a = tiktoken.Encoding("a", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b["model"])
+        self.raw = a["raw"], b["raw"]
+        self._clear()
+
+    def _clear(self) -> None:
+        # Per side the ids of all words one after the other, and their number of each; no ids at all where a word's tokens differ from it.
+        self.numbers, self.ids, self.sizes = _Numbers(), (array("H"), array("H")), (array("i"), array("i"))
+
+    def _encoded(self, texts: list[str]):
+        """Ids of both sides of every text, or None where they don't join to it."""
+        encode, raw_a, raw_b = self.a.encode_ordinary, self.raw[0].__getitem__, self.raw[1].__getitem__
+        for at in range(0, len(texts), 512):
+            some = texts[at : at + 512]
+            for text, b in zip(some, self.b.encode(some, num_threads=1)):
+                text = " " + text
+                a, data = encode(text), text.encode()
+                yield (a, b) if b"".join(map(raw_a, a)) == data == b"".join(map(raw_b, b)) else None
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        for found in self._encoded(new):
+            for side in (0, 1):
+                self.ids[side].extend(found[side] if found else ())
+                self.sizes[side].append(len(found[side]) if found else 0)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Both sides' ids of every text; none where a text has no tokens."""
-        words = [None if not t or _WHOLE.search(t) else t.split(" ") for t in texts]
-        every = set().union(*[w for w in words if w is not None])
-        new = list(every - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(every)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.cache.update(zip(some, self._encoded(some)))
+        if len(self.numbers) > CACHE_WORDS:
+            self._clear()
+        none = np.empty(0, np.uint16)
+        words = [[] if not t or _WHOLE.search(t) else t.split(" ") for t in texts]
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+        self._learn()
+        ends = np.cumsum([len(w) for w in words])
+        flat, bounds = [], []
+        for ids, sizes in zip(self.ids, self.sizes):
+            ids, sizes = np.array(ids, dtype=np.uint16), np.array(sizes, dtype=np.int64)
+            size = sizes[numbers]
+            upto = np.append(0, np.cumsum(size))
+            flat.append(ids[np.arange(upto[-1]) + np.repeat((np.cumsum(sizes) - sizes)[numbers] - upto[:-1], size)])
+            bounds.append(np.append(0, upto[ends]))
+        bad = np.append(0, np.cumsum(size == 0))[np.append(0, ends)]
+        whole = iter(self._encoded([t for t, w in zip(texts, words) if t and not w]))
         out = []
-        for text, cut in zip(texts, words):
-            if cut is None:
-                out.append((self._encoded([text])[0] if text else None) or (b"", b""))
-                continue
-            got = [self.cache[w] for w in cut]
-            out.append((b"", b"") if None in got else (b"".join([x[0] for x in got]), b"".join([x[1] for x in got])))
+        for i, (text, w) in enumerate(zip(texts, words)):
+            if text and not w:
+                out.append(tuple(np.array(x, dtype=np.uint16) for x in next(whole) or ((), ())))
+            elif bad[i + 1] > bad[i] or not w:
+                out.append((none, none))
+            else:
+                out.append(tuple(x[b[i] : b[i + 1]] for x, b in zip(flat, bounds)))
         return out
 
 
@@ -137,11 +196,11 @@ def events(docs: DataFrame, a: dict, b: dict, doc_id: str = "doc_id", text: str
             for row, doc, sides in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids):
                 for side, data in enumerate(sides):
                     start = 0
-                    for at in range(0, max(len(data), 1 - side), 2 * BLOCK):
-                        block = data[at : at + 2 * BLOCK]
-                        out.append((row, doc, start, side, pack.compress(block)))
-                        if len(data) > 2 * BLOCK:
-                            start += int(sizes[side][np.frombuffer(block, dtype="<u2")].sum())
+                    for at in range(0, max(len(data), 1 - side), BLOCK):
+                        block = data[at : at + BLOCK]
+                        out.append((row, doc, start, side, pack.compress(block.astype("<u2").tobytes())))
+                        if len(data) > BLOCK:
+                            start += int(sizes[side][block].sum())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), _kinds(EVENTS))] if out else [pa.array([], k) for k in _kinds(EVENTS)], names=_names(EVENTS))
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
