@@ -1,16 +1,16 @@
 """Phrase collocation mining by contiguous pattern growth over projected occurrences.
 
-1. Words are counted per language. 2. Neighbouring frequent words are counted as pairs; a filter of a fixed number of bits
-keeps the frequent ones. 3. Every place where a frequent pair begins is an occurrence pointer; it is projected as the window of
-the words that follow it, up to ``longest``, cut where a pair isn't frequent. Equal windows of a task are summed. 4. The windows of
+1. Words are counted per language. 2. Neighbouring frequent words are counted as pairs, then the numbers of runs of three whose pairs are
+frequent; filters of a fixed number of bits keep the frequent ones. 3. Every place where a frequent run of three begins is an occurrence pointer; it is projected as the window of
+the words that follow it, up to ``longest``, cut where a run of three isn't frequent. Equal windows of a task are summed. 4. The windows of
 one first word are the projected occurrences of that prefix and go to one task. There they stream in sorted order, in which
 all occurrences of a pattern are neighbours and which is the depth-first order of the tree of its extensions to the right, so the
 task grows patterns with one open count per length, whatever the number of occurrences. 5. Counts of the parts give each
 phrase its scores; phrases inside a longer one with the same share of occurrences leave.
 
-The filters drop only words and pairs below ``least``; what they let through by mistake is counted and found too rare later, so
+The filters drop only words and runs below ``least``; what they let through by mistake is counted and found too rare later, so
 the result is exact. A prefix with over 1 / HOT of all words (HOT of them at most) is split by its windows into SALTS tasks whose
-counts are summed afterwards. What goes to every task is two filters of ``filter_bits`` bits and at most HOT keys.
+counts are summed afterwards. What goes to every task is three filters of ``filter_bits`` bits and at most HOT keys.
 
 Cases: a null text is empty; a null language is ``und``; equal scores rank by count, then by the phrase's UTF-8 bytes; of cuts
 with equal scores the first counts; an empty table gives an empty result; rows without an id or with the
@@ -24,7 +24,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +38,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[9, 32]] = 1
 _KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
+_BYTES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -70,18 +70,30 @@ def piece_words(texts: pa.Array) -> PieceWords:
     flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(buf[word])])
     coded = flat.dictionary_encode()
     row = np.searchsorted(rows, starts, side="right") - 1
-    breaks = np.append(0, np.cumsum(kind == 2))
+    breaks = np.flatnonzero(kind == 2)
+    before = np.searchsorted(breaks, starts)
     follows = np.zeros(len(starts), dtype=bool)
-    follows[1:] = (row[1:] == row[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
+    follows[1:] = (row[1:] == row[:-1]) & (before[1:] == before[:-1])
     return PieceWords(np.asarray(coded.indices).astype(np.int64), coded.dictionary.cast(pa.large_string()), row, follows)
 
 
+def _hashes(values: pa.Array) -> np.ndarray:
+    """A 64-bit number of every string, from its bytes and their places; numbers prune and deal out, they never tell words apart."""
+    values = values.cast(pa.large_binary())
+    at = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    if not len(values) or at[0] == at[-1]:
+        return np.zeros(len(values), dtype=np.uint64)
+    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[at[0] : at[-1]]
+    place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], np.diff(at))
+    each = np.append(mix(_BYTES[data] + place.astype(np.uint64) * _A), np.uint64(0))
+    return mix(np.where(np.diff(at) > 0, np.add.reduceat(each, at[:-1] - at[0]), np.uint64(0)) + np.diff(at).astype(np.uint64) * _C)
+
+
 def _keyed(words: PieceWords, langs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The languages of a batch, the language number of every word, and a 64-bit key of its language and word."""
     coded = langs.cast(pa.string()).fill_null("und").dictionary_encode()
     lang = np.asarray(coded.indices).astype(np.int64)[words.row]
-    hashes = lambda xs: np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in xs.to_pylist()), dtype=np.uint64, count=len(xs))
-    return coded.dictionary, lang, mix(hashes(words.dictionary)[words.ids] * _A + hashes(coded.dictionary)[lang] * _B)
+    return coded.dictionary, lang, mix(_hashes(words.dictionary)[words.ids] * _A + _hashes(coded.dictionary)[lang] * _B)
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -130,15 +142,53 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
 
 
-def _pairs(words: PieceWords, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word and the one after it are neighbours and pass the filter, and the keys of these pairs."""
-    ok = _passes(known, keys)
-    at = np.flatnonzero(words.follows[1:] & ok[1:] & ok[:-1])
-    return at, mix(keys[at] * _A + keys[at + 1] * _C)
+def _runs(words: PieceWords, keys: np.ndarray, filters: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Whether a run of 1, 2, ... words begins at a word and passes its filter; places and keys of the runs of one word more whose parts pass."""
+    passed = [_passes(filters[0], keys)]
+    for known in [*filters[1:], None]:
+        ok = passed[-1]
+        at = np.flatnonzero(ok[1:] & ok[:-1] & words.follows[1:])
+        made = mix(keys[at] * _A + keys[at + 1] * _C)
+        if known is None:
+            return passed, at, made
+        keys = np.zeros(len(keys), dtype=np.uint64)
+        keys[at] = made
+        now = np.zeros(len(keys), dtype=bool)
+        now[at[_passes(known, made)]] = True
+        passed.append(now)
 
 
 def pair_counts(texts: DataFrame, known) -> DataFrame:
-    """key, n: neighbouring words that pass the filter ``known`` (a broadcast)."""
+    """lang, phrase, key, n: neighbouring words that pass the filter ``known`` (a broadcast), by their text."""
+
+    def summed(parts):
+        table = pa.concat_tables(parts).group_by(["lang", "phrase", "key"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "key", "n"])
+        return table.to_batches(max_chunksize=100_000)
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in in_pieces(batches, 0):
+            words = piece_words(batch.column(0))
+            langs, lang, keys = _keyed(words, batch.column(1))
+            at, made = _runs(words, keys, [known.value])[1:]
+            both = (lang[at] * max(len(words.dictionary), 1) + words.ids[at]) * max(len(words.dictionary), 1) + words.ids[at + 1]
+            _, first, n = np.unique(both, return_index=True, return_counts=True)
+            at, made = at[first], made[first]
+            phrase = pc.binary_join_element_wise(words.dictionary.take(words.ids[at]), words.dictionary.take(words.ids[at + 1]), pa.scalar(" ", pa.large_string()))
+            parts.append(pa.table({"lang": langs.take(lang[at]), "phrase": phrase.cast(pa.string()), "key": pa.array(made.view(np.int64)), "n": pa.array(n.astype(np.int64))}))
+            size += len(at)
+            if size >= FLUSH:
+                yield from summed(parts)
+                parts, size = [], 0
+        if size:
+            yield from summed(parts)
+
+    found = texts.mapInArrow(run, "lang string, phrase string, key long, n long")
+    return found.groupBy("lang", "phrase").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
+
+
+def triple_keys(texts: DataFrame, filters: list) -> DataFrame:
+    """key, n: runs of three words whose words and pairs pass the two filters, by their number."""
 
     def summed(parts):
         keys, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -148,7 +198,7 @@ def pair_counts(texts: DataFrame, known) -> DataFrame:
         parts, size = [], 0
         for batch in in_pieces(batches, 0):
             words = piece_words(batch.column(0))
-            parts.append(_pairs(words, _keyed(words, batch.column(1))[2], known.value)[1])
+            parts.append(_runs(words, _keyed(words, batch.column(1))[2], [f.value for f in filters])[2])
             size += len(parts[-1])
             if size >= 2 * FLUSH:
                 yield summed(parts)
@@ -159,16 +209,14 @@ def pair_counts(texts: DataFrame, known) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def windows(texts: DataFrame, known, known_pairs, hot, longest: int) -> DataFrame:
-    """lang, first, salt, window, n: the projected occurrences, equal ones of a task summed; every word of a window ends with a space."""
+def windows(texts: DataFrame, filters: list, hot, longest: int) -> DataFrame:
+    """lang, first, salt, window, n: the projected occurrences of three words and more, equal ones of a task summed; every word of a window ends with a space."""
 
     def batch_windows(batch) -> pa.Table:
         words = piece_words(batch.column(0))
         langs, lang, keys = _keyed(words, batch.column(1))
-        at, pair = _pairs(words, keys, known.value)
-        open_ = np.zeros(len(words.ids) + longest, dtype=bool)
-        open_[at[_passes(known_pairs.value, pair)]] = True
-        at = np.flatnonzero(open_)
+        passed = [np.append(x, np.zeros(longest, dtype=bool)) for x in _runs(words, keys, [f.value for f in filters])[0]]
+        at = np.flatnonzero(passed[2])
         size = max(len(words.dictionary), 1) + 1
         grid = np.full((longest, len(at)), -1, dtype=np.int64)
         grid[0] = words.ids[at]
@@ -176,7 +224,9 @@ def windows(texts: DataFrame, known, known_pairs, hot, longest: int) -> DataFram
         # A window's number: its language and words, one word a step.
         number = lang[at] * size + grid[0]
         for k in range(1, longest):
-            goes = goes & open_[at + k - 1]
+            # A window goes on to a word while the longest known run that ends there passes.
+            run = min(k, len(passed) - 1)
+            goes = goes & passed[run][at + k - run]
             grid[k][goes] = words.ids[at[goes] + k]
             number = np.unique(number, return_inverse=True)[1] * size + grid[k] + 1
         _, first, n = np.unique(number, return_index=True, return_counts=True)
@@ -184,19 +234,17 @@ def windows(texts: DataFrame, known, known_pairs, hot, longest: int) -> DataFram
         text = [words.dictionary.take(pa.array(g, mask=g < 0)) for g in grid]
         empty, blank = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
         window = pc.binary_join_element_wise(*text, empty, blank, null_handling="skip")
-        salt = np.where(np.isin(keys[at[first]], hot.value), _mixed(grid, words) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+        salt = np.where(np.isin(keys[at[first]], hot.value), _mixed(grid, np.append(_hashes(words.dictionary), np.uint64(0))) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
         return pa.table({
             "lang": langs.take(lang[at[first]]), "first": text[0].cast(pa.string()), "salt": pa.array(salt.astype(np.int32)),
             "window": window.cast(pa.string()), "n": pa.array(n.astype(np.int64)),
         })
 
-    def _mixed(grid: np.ndarray, words: PieceWords) -> np.ndarray:
-        """A number of the words of each window that is the same in every task."""
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words.dictionary.to_pylist()), dtype=np.uint64, count=len(words.dictionary))
-        h = np.append(h, np.uint64(0))
+    def _mixed(grid: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """A number of the words of each window that is the same in every task; hashes end with that of no word."""
         out = np.zeros(grid.shape[1], dtype=np.uint64)
         for row in grid:
-            out = mix(out * _A + h[row])
+            out = mix(out * _A + hashes[row])
         return out
 
     def summed(parts):
@@ -233,7 +281,7 @@ class Growth:
             self.out.append((now[0], " ".join(words), n))
 
     def close(self) -> None:
-        for k in range(2, len(self.words) + 1):
+        for k in range(3, len(self.words) + 1):
             self._emit(self.now, self.words[:k], self.counts[k])
         self.words = []
 
@@ -256,7 +304,7 @@ class Growth:
             word = codes[at]
             before = bool(len(self.words) >= k and sizes[0] >= k and self.words[k - 1] == lists[0][k - 1])
             new |= np.append(not before, word[1:] != word[:-1])
-            if k == 1:
+            if k < 3:
                 continue
             # Sums of runs of one pattern; the first run may go on from the batch before, the last one stays open.
             heads = np.flatnonzero(new)
@@ -283,7 +331,7 @@ class Growth:
 
 
 def phrase_counts(projected: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, k (its words), a (its occurrences): all phrases of 2 to ``longest`` words that occur ``least`` times."""
+    """lang, phrase, k (its words), a (its occurrences): all phrases of 3 to ``longest`` words that occur ``least`` times."""
 
     def run(batches):
         growth = Growth(least, longest)
@@ -354,10 +402,13 @@ def mine_phrases(
         total = totals.agg(F.sum("n")).first()[0] or 0
         hot = words.where(F.col("a") * HOT > total).select("key").toArrow()["key"]
         hot = share(np.asarray(hot).view(np.uint64))
-        known = share(filter_of(words, filter_bits))
-        pairs = durable(pair_counts(texts, known).where(F.col("n") >= least).select("key"))
-        known_pairs = share(filter_of(pairs, filter_bits))
-        phrases = durable(phrase_counts(windows(texts, known, known_pairs, hot, longest), least, longest), outer=True)
+        filters = [share(filter_of(words, filter_bits))]
+        pairs = durable(pair_counts(texts, filters[0]).where(F.col("n") >= least), outer=True)
+        phrases = pairs.select("lang", "phrase", F.lit(2).alias("k"), F.col("n").alias("a"))
+        if longest > 2:
+            filters.append(share(filter_of(pairs, filter_bits)))
+            filters.append(share(filter_of(durable(triple_keys(texts, filters).where(F.col("n") >= least)), filter_bits)))
+            phrases = phrases.unionByName(durable(phrase_counts(windows(texts, filters, hot, longest), least, longest), outer=True))
     parts = words.select("lang", "phrase", "a").unionByName(phrases.select("lang", "phrase", "a"))
     best = ranked(scored(closed(phrases, percent), parts, totals), top)
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
