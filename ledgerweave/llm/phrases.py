@@ -1,7 +1,7 @@
 """Phrase collocation mining by contiguous pattern growth over projected occurrences.
 
-1. Words are counted per language. 2. Neighbouring frequent words are counted as pairs, then the numbers of runs of three whose pairs are
-frequent; filters of a fixed number of bits keep the frequent ones. 3. Every place where a frequent run of three begins is an occurrence pointer; it is projected as the window of
+1. Words are counted per language. 2. Neighbouring frequent words are counted as pairs, then runs of three whose pairs are
+frequent; filters of a fixed number of bits keep the frequent ones. 3. Every place where a frequent pair begins is an occurrence pointer; it is projected as the window of
 the words that follow it, up to ``longest``, cut where a run of three isn't frequent. Equal windows of a task are summed. 4. The windows of
 one first word are the projected occurrences of that prefix and go to one task. There they stream in sorted order, in which
 all occurrences of a pattern are neighbours and which is the depth-first order of the tree of its extensions to the right, so the
@@ -142,15 +142,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
 
 
-def _runs(words: PieceWords, keys: np.ndarray, filters: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Whether a run of 1, 2, ... words begins at a word and passes its filter; places and keys of the runs of one word more whose parts pass."""
+def _runs(words: PieceWords, keys: np.ndarray, filters: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Whether a run of 1, 2, ... words begins at a word and passes its filter, and the keys of the runs of one word more whose parts pass."""
     passed = [_passes(filters[0], keys)]
     for known in [*filters[1:], None]:
         ok = passed[-1]
         at = np.flatnonzero(ok[1:] & ok[:-1] & words.follows[1:])
         made = mix(keys[at] * _A + keys[at + 1] * _C)
         if known is None:
-            return passed, at, made
+            return passed, made
         keys = np.zeros(len(keys), dtype=np.uint64)
         keys[at] = made
         now = np.zeros(len(keys), dtype=bool)
@@ -158,37 +158,8 @@ def _runs(words: PieceWords, keys: np.ndarray, filters: list[np.ndarray]) -> tup
         passed.append(now)
 
 
-def pair_counts(texts: DataFrame, known) -> DataFrame:
-    """lang, phrase, key, n: neighbouring words that pass the filter ``known`` (a broadcast), by their text."""
-
-    def summed(parts):
-        table = pa.concat_tables(parts).group_by(["lang", "phrase", "key"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "key", "n"])
-        return table.to_batches(max_chunksize=100_000)
-
-    def run(batches):
-        parts, size = [], 0
-        for batch in in_pieces(batches, 0):
-            words = piece_words(batch.column(0))
-            langs, lang, keys = _keyed(words, batch.column(1))
-            at, made = _runs(words, keys, [known.value])[1:]
-            both = (lang[at] * max(len(words.dictionary), 1) + words.ids[at]) * max(len(words.dictionary), 1) + words.ids[at + 1]
-            _, first, n = np.unique(both, return_index=True, return_counts=True)
-            at, made = at[first], made[first]
-            phrase = pc.binary_join_element_wise(words.dictionary.take(words.ids[at]), words.dictionary.take(words.ids[at + 1]), pa.scalar(" ", pa.large_string()))
-            parts.append(pa.table({"lang": langs.take(lang[at]), "phrase": phrase.cast(pa.string()), "key": pa.array(made.view(np.int64)), "n": pa.array(n.astype(np.int64))}))
-            size += len(at)
-            if size >= FLUSH:
-                yield from summed(parts)
-                parts, size = [], 0
-        if size:
-            yield from summed(parts)
-
-    found = texts.mapInArrow(run, "lang string, phrase string, key long, n long")
-    return found.groupBy("lang", "phrase").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
-
-
-def triple_keys(texts: DataFrame, filters: list) -> DataFrame:
-    """key, n: runs of three words whose words and pairs pass the two filters, by their number."""
+def run_counts(texts: DataFrame, filters: list) -> DataFrame:
+    """key, n: runs of one word more than ``filters`` (broadcasts, by the length of the runs) whose parts pass them."""
 
     def summed(parts):
         keys, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -198,7 +169,7 @@ def triple_keys(texts: DataFrame, filters: list) -> DataFrame:
         parts, size = [], 0
         for batch in in_pieces(batches, 0):
             words = piece_words(batch.column(0))
-            parts.append(_runs(words, _keyed(words, batch.column(1))[2], [f.value for f in filters])[2])
+            parts.append(_runs(words, _keyed(words, batch.column(1))[2], [f.value for f in filters])[1])
             size += len(parts[-1])
             if size >= 2 * FLUSH:
                 yield summed(parts)
@@ -210,13 +181,13 @@ def triple_keys(texts: DataFrame, filters: list) -> DataFrame:
 
 
 def windows(texts: DataFrame, filters: list, hot, longest: int) -> DataFrame:
-    """lang, first, salt, window, n: the projected occurrences of three words and more, equal ones of a task summed; every word of a window ends with a space."""
+    """lang, first, salt, window, n: the projected occurrences, equal ones of a task summed; every word of a window ends with a space."""
 
     def batch_windows(batch) -> pa.Table:
         words = piece_words(batch.column(0))
         langs, lang, keys = _keyed(words, batch.column(1))
         passed = [np.append(x, np.zeros(longest, dtype=bool)) for x in _runs(words, keys, [f.value for f in filters])[0]]
-        at = np.flatnonzero(passed[2])
+        at = np.flatnonzero(passed[1])
         size = max(len(words.dictionary), 1) + 1
         grid = np.full((longest, len(at)), -1, dtype=np.int64)
         grid[0] = words.ids[at]
@@ -281,7 +252,7 @@ class Growth:
             self.out.append((now[0], " ".join(words), n))
 
     def close(self) -> None:
-        for k in range(3, len(self.words) + 1):
+        for k in range(2, len(self.words) + 1):
             self._emit(self.now, self.words[:k], self.counts[k])
         self.words = []
 
@@ -304,7 +275,7 @@ class Growth:
             word = codes[at]
             before = bool(len(self.words) >= k and sizes[0] >= k and self.words[k - 1] == lists[0][k - 1])
             new |= np.append(not before, word[1:] != word[:-1])
-            if k < 3:
+            if k == 1:
                 continue
             # Sums of runs of one pattern; the first run may go on from the batch before, the last one stays open.
             heads = np.flatnonzero(new)
@@ -331,7 +302,7 @@ class Growth:
 
 
 def phrase_counts(projected: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, k (its words), a (its occurrences): all phrases of 3 to ``longest`` words that occur ``least`` times."""
+    """lang, phrase, k (its words), a (its occurrences): all phrases of 2 to ``longest`` words that occur ``least`` times."""
 
     def run(batches):
         growth = Growth(least, longest)
@@ -403,12 +374,10 @@ def mine_phrases(
         hot = words.where(F.col("a") * HOT > total).select("key").toArrow()["key"]
         hot = share(np.asarray(hot).view(np.uint64))
         filters = [share(filter_of(words, filter_bits))]
-        pairs = durable(pair_counts(texts, filters[0]).where(F.col("n") >= least), outer=True)
-        phrases = pairs.select("lang", "phrase", F.lit(2).alias("k"), F.col("n").alias("a"))
-        if longest > 2:
-            filters.append(share(filter_of(pairs, filter_bits)))
-            filters.append(share(filter_of(durable(triple_keys(texts, filters).where(F.col("n") >= least)), filter_bits)))
-            phrases = phrases.unionByName(durable(phrase_counts(windows(texts, filters, hot, longest), least, longest), outer=True))
+        while len(filters) < min(3, longest):
+            runs = durable(run_counts(texts, filters).where(F.col("n") >= least).select("key"))
+            filters.append(share(filter_of(runs, filter_bits)))
+        phrases = durable(phrase_counts(windows(texts, filters, hot, longest), least, longest), outer=True)
     parts = words.select("lang", "phrase", "a").unionByName(phrases.select("lang", "phrase", "a"))
     best = ranked(scored(closed(phrases, percent), parts, totals), top)
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
