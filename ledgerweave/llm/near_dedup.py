@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.components import components
 from ledgerweave.llm.token_arrays import (
-    band_keys, in_pieces, minmax_signature, numbered_sets, permutations, shingle_sets,
+    band_keys, in_pieces, minmax_signature, mix, permutations, shingle_sets,
 )
 from ledgerweave.session import durable, temporary
 
 BANDS, ROWS = 32, 4
+PAIRS = 256
+TAG = np.uint64(0xA0761D6478BD642F)
 
 
 def features(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -57,21 +59,53 @@ def features(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; of an id with several texts any may do.
+
+    Pairs are dealt out by their left side in batches of about PAIRS: its text travels once a batch and the right ones once a pair,
+    sorted behind it, so that a task holds one left set while it streams through the others.
+    """
 
     def run(batches):
-        for batch in in_pieces(batches, 2, 3):
-            n, left, left_row = numbered_sets(batch.column(2), k)
-            m, right, _ = numbered_sets(batch.column(3), k)
-            both = np.bincount(left_row[np.isin(left, right, assume_unique=True)], minlength=batch.num_rows)
-            keep = pa.array((both > 0) & (100 * both >= percent * (n + m - both)), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        now, leaders = None, []
+        for batch in in_pieces(batches, 3):
+            sets = shingle_sets(batch.column(3), k)
+            rights = batch.column(2).to_pylist()
+            met: list[tuple[int, int]] = []
+            known = list(leaders)  # those of the batch before come first
+            for row, (key, b) in enumerate(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), rights)):
+                if key != now:
+                    now, leaders = key, []
+                if b is None:
+                    known.append(sets[row])
+                    leaders.append(sets[row])
+                else:
+                    met += [(len(known) - i, row) for i in range(len(leaders), 0, -1)]
+            keep = _close(known, sets, met, percent)
+            a, b = batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    a = one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(run, "a long, b long").distinct()
+    pairs = pairs.select("a", "b")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("chunks"))
+    right = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
+    right = right.join(one.withColumnRenamed("doc_id", "b"), "b").select("a", "chunk", "b", "text")
+    left = sizes.join(one.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = left.unionByName(right).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _close(left: list[np.ndarray], right: list[np.ndarray], met: list[tuple[int, int]], percent: int) -> list[int]:
+    """Right numbers of the pairs (left number, right number) in ``met`` whose sets are close enough."""
+    if not met:
+        return []
+    of_left, of_right = np.array(met).T
+    used = np.unique(of_left)
+    tagged = lambda sets, tags: mix(np.concatenate(sets) + np.repeat(tags.astype(np.uint64) * TAG, [len(x) for x in sets]))
+    lefts, rights = [left[i] for i in used], [right[i] for i in of_right]
+    n, m = np.array([len(left[i]) for i in of_left]), np.array([len(x) for x in rights])
+    hit = np.isin(tagged(rights, of_left), tagged(lefts, used))
+    both = np.bincount(np.repeat(np.arange(len(met)), m)[hit], minlength=len(met))
+    return np.unique(of_right[(both > 0) & (100 * both >= percent * (n + m - both))]).tolist()
 
 
 def common_shingles(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:

@@ -130,14 +130,6 @@ def shingle_sets(texts: pa.Array, k: int, fold: bool = True) -> list[np.ndarray]
     return [np.unique(full[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def numbered_sets(texts: pa.Array, k: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set size of every row, 64-bit hashes of the distinct pairs of row and shingle, and the row of each pair."""
-    full, offsets = _shingles(texts, k, fold)
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    pairs, first = np.unique(mix(full + row.astype(np.uint64) * _ODD[4]), return_index=True)
-    return np.bincount(row[first], minlength=len(texts)), pairs, row[first]
-
-
 def minmax_signature(values: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """Minimum and maximum of every multiply-shift permutation: 2 * len(scale) values of 32 bits."""
     low = np.full(len(scale), 0xFFFFFFFF, dtype=np.uint64)
