@@ -10,6 +10,9 @@ rejected from a limit on. Explicit allow and block rules go first, the longest f
 Everything is sums per (host, template, segment), partially aggregated before the shuffle; a host with a third of all pages
 is many rows with few sums. Only kept literals, which have at least ``support`` pages each, are joined back.
 
+In a template ``*`` stands for any segment, ``~`` and ``~n`` for merged ones, ``$`` for the end and ``**`` for the rest; a segment of a url that begins with
+such a mark or a backslash is written with a backslash before it, so that it is a branch of its own.
+
 Cases: a null url or one without ``://`` has an empty host and path; an empty table gives an empty
 result; repeated rows are judged alike; without any labels nothing is rejected; null labels do not count.
 """
@@ -89,8 +92,9 @@ def templates(pages: DataFrame, support: int = 5, z: float = 1.96) -> DataFrame:
         closed = done if closed is None else closed.unionByName(done)
         if nodes.where("open").isEmpty():
             return closed
-        seg = F.coalesce(F.get("_parts", F.lit(level)), F.lit(END))
-        rows = marked.where("open").drop("open", "below").withColumn("_seg", F.when(seg.rlike(VARIABLE), F.lit(WILDCARD)).otherwise(seg))
+        seg = F.get("_parts", F.lit(level))
+        literal = F.when(seg.rlike(r"^[*~$\\]"), F.concat(F.lit("\\"), seg)).otherwise(seg)
+        rows = marked.where("open").drop("open", "below").withColumn("_seg", F.when(seg.rlike(VARIABLE), F.lit(WILDCARD)).otherwise(F.coalesce(literal, F.lit(END))))
         kids = rows.groupBy("host", "template", "_seg").agg(
             F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"), F.count("bad").alias("m")
         )
