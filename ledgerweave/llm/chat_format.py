@@ -11,7 +11,8 @@ none is left; removing the escapes restores the text.
 
 Cases: null text and null role count as empty; a null conversation id is a conversation of its
 own; a parent that does not exist makes a root; among equal branches the smallest leaf id wins; repeated
-ids raise, as does a ring of parents; an empty table gives an empty result; extra columns are not carried.
+ids raise, as does a ring of parents; an empty table gives an empty result; extra columns are not carried. The query adds a conversation
+-1 of its own; turns of that id in the table would join it.
 """
 
 from __future__ import annotations

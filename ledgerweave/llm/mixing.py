@@ -1,14 +1,14 @@
 """Mixing sources to target weights by hash-threshold histograms (native expressions only).
 
 Every source gets a token budget. A row's hash is a fixed function of its id, refined by one of its text where rows with
-one id lie on the boundary, so rows with hashes up to a threshold form nested subsets: a larger budget keeps all that a smaller one
+one id lie on the boundary, and by one of its place where these have one text too (such rows are interchangeable), so rows with hashes up to a threshold form nested subsets: a larger budget keeps all that a smaller one
 keeps. Sizes are summed by source and the hash's leading bits; a cumulative sum over at
 most ``2**BITS`` sums a source finds the boundary bucket, and only that bucket is refined by
 the next bits. Rows are then filtered by comparing hashes; nothing sorts rows.
 
 Cases: null text has size 0; a null source is a source of its own, ordered last; a source
 without tokens has target 0 and its rows are not taken; rows with one id and different texts are told apart by
-their texts, rows with the same id and text are taken together; a null id hashes like an empty one; an empty table gives an
+their texts, and of rows with the same id and text as many are taken as fit; a null id hashes like an empty one; an empty table gives an
 empty result; extra columns are not carried unless named in ``keep``, where a name of the result's own means that one.
 """
 
@@ -71,7 +71,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
 def plan_mix(sized: DataFrame) -> DataFrame:
     """One row a source: source, source_size, target, whole (copies of every row), threshold of the extra copy.
 
-    Rows of the id hash ``edge`` get the extra copy up to ``edge_threshold`` of their text's hash.
+    Rows of the id hash ``edge`` get the extra copy up to ``edge_threshold`` of their text's hash, those of the text hash ``text_edge`` among them
+    up to ``row_threshold`` of their place's.
     """
     targets = source_targets(sized)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -80,17 +81,23 @@ def plan_mix(sized: DataFrame) -> DataFrame:
     )
     found = durable(thresholds(sized.select("source", "size", "_h"), plan.select("source", "budget")))
     edge = found.where("edge is not null").select(F.col("source").alias("_s"), F.col("edge").alias("_e"), F.col("budget").alias("left"))
-    at_edge = durable(sized.select("source", "size", "_h", "_g").join(edge, sized["source"].eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_e"))))
-    several = at_edge.groupBy("source").agg(F.min("_g").alias("lo"), F.max("_g").alias("hi"), F.first("left").alias("budget")).where("lo <> hi")
-    several = durable(several.select("source", "budget"))
+    at_edge = durable(sized.select("source", "size", "_h", "_g", "_r").join(edge, sized["source"].eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_e"))))
+    several = durable(at_edge.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("budget")).where("n > 1").select("source", "budget"))
     none = F.lit(None).cast("long")
-    found = found.select("source", "threshold", "edge", none.alias("edge_threshold"))
+    found = found.select("source", "threshold", "edge", none.alias("edge_threshold"), none.alias("text_edge"), none.alias("row_threshold"))
     if not several.isEmpty():
-        inner = thresholds(at_edge.select("source", "size", F.col("_g").alias("_h")), several)
-        inner = inner.select(F.col("source").alias("_s"), F.col("threshold").alias("_t"))
-        found = found.join(inner, found["source"].eqNullSafe(inner["_s"]), "left").select("source", "threshold", "edge", F.col("_t").alias("edge_threshold"))
+        inner = durable(thresholds(at_edge.select("source", "size", F.col("_g").alias("_h")), several))
+        same = inner.where("edge is not null").select(F.col("source").alias("_s2"), F.col("edge").alias("_e2"), "budget")
+        copies = at_edge.join(same, at_edge["source"].eqNullSafe(F.col("_s2")) & (F.col("_g") == F.col("_e2"))).select("source", "size", F.col("_r").alias("_h"))
+        rows = thresholds(durable(copies), same.select(F.col("_s2").alias("source"), "budget")).select(F.col("source").alias("_s3"), F.col("threshold").alias("_t3"))
+        inner = inner.select(F.col("source").alias("_s"), F.col("threshold").alias("_t"), F.col("edge").alias("_e2"))
+        inner = inner.join(rows, F.col("_s").eqNullSafe(F.col("_s3")), "left")
+        found = found.join(inner, found["source"].eqNullSafe(inner["_s"]), "left").select(
+            "source", "threshold", "edge", F.col("_t").alias("edge_threshold"), F.col("_e2").alias("text_edge"), F.col("_t3").alias("row_threshold")
+        )
     joined = plan.join(found, plan["source"].eqNullSafe(found["source"]), "left").drop(found["source"])
-    return durable(joined.select(F.col("source").alias("_source"), "source_size", "target", "whole", "threshold", "edge", "edge_threshold"))
+    marks = ("threshold", "edge", "edge_threshold", "text_edge", "row_threshold")
+    return durable(joined.select(F.col("source").alias("_source"), "source_size", "target", "whole", *marks))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,20 +105,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     A budget over its source's size takes every row once and draws the excess as second
     copies, so no row is taken more than twice. ``taken`` is size times copies. Histograms are made from a table
-    of ids, sources, sizes and hashes; with ``keep`` the rows themselves are read once more to be joined with the plan.
+    of ids, sources, sizes and hashes; with ``keep`` the rows themselves are read once more to be joined with the plan. Equal rows are then told apart by
+    their place in ``docs``, so of those on the boundary exactly as many as fit are taken from a table, and about as many from rows whose places change.
     """
     keep = tuple(c for c in keep if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
     facts = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"),
-        hash60(F.col(doc_id)).alias("_h"), text60(F.col(text)).alias("_g"), F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"),
+        hash60(F.col(doc_id)).alias("_h"), text60(F.col(text)).alias("_g"), text60(F.monotonically_increasing_id()).alias("_r"), F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"),
     )
     rows, sized = facts, durable(facts.drop("_keep"))
     plan = plan_mix(sized)
     base = rows if keep else sized
     out = base.join(plan, base["source"].eqNullSafe(plan["_source"]))
-    copies = F.when(F.col("source_size") == 0, 0).otherwise(
-        F.col("whole") + F.coalesce((F.col("_h") <= F.col("threshold")) | ((F.col("_h") == F.col("edge")) & (F.col("_g") <= F.col("edge_threshold"))), F.lit(False)).cast("int")
-    )
+    last = (F.col("_g") == F.col("text_edge")) & (F.col("_r") <= F.col("row_threshold"))
+    drawn = (F.col("_h") <= F.col("threshold")) | ((F.col("_h") == F.col("edge")) & ((F.col("_g") <= F.col("edge_threshold")) | last))
+    copies = F.when(F.col("source_size") == 0, 0).otherwise(F.col("whole") + F.coalesce(drawn, F.lit(False)).cast("int"))
     out = out.withColumn("copies", F.least(copies, F.lit(CAP))).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *[F.col(f"_keep.{c}") for c in keep])
 
