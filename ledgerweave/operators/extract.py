@@ -16,6 +16,11 @@ NUMBER_PATTERNS = (
     r"(?i)No[.:：]?\s*([0-9]{8,20})",
     r"(?i)FPHM[:：]?\s*([0-9]{8,20})",
 )
+#: Numbers without a label.
+BARE_NUMBERS = (r"(?m)^\s*(\d{8}|\d{20})\s*$", r"\b(\d{20})\b")
+#: What names a type.
+SPECIAL_NAMES = "专票|专用|special|04"
+NORMAL_NAMES = "普票|普通|normal|01|电子发票"
 
 
 def first_match(text: Column, patterns, group: int = 1) -> Column:
@@ -33,7 +38,7 @@ def with_fields(texts: DataFrame, column: str, **fields) -> DataFrame:
 
 def invoice_number(text: Column) -> Column:
     """Labelled numbers, then a line of just 8 or 20 digits, then a 20-digit word."""
-    return first_match(text, (*NUMBER_PATTERNS, r"(?m)^\s*(\d{8}|\d{20})\s*$", r"\b(\d{20})\b"))
+    return first_match(text, (*NUMBER_PATTERNS, *BARE_NUMBERS))
 
 
 def invoice_type(text: Column, special: tuple[str, ...], normal: tuple[str, ...]) -> Column:
@@ -45,7 +50,7 @@ def invoice_type(text: Column, special: tuple[str, ...], normal: tuple[str, ...]
 
 def type_name(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike("专票|专用|special|04"), "专票").when(low.rlike("普票|普通|normal|01|电子发票"), "普票").otherwise("其他")
+    return F.when(low.rlike(SPECIAL_NAMES), "专票").when(low.rlike(NORMAL_NAMES), "普票").otherwise("其他")
 
 
 def resolve(candidates: DataFrame) -> DataFrame:
@@ -60,6 +65,54 @@ def resolve(candidates: DataFrame) -> DataFrame:
     return won.select("doc_id", "w.field", "value", "w.score", "w.confidence")
 
 
+def resolved_in_order(candidates: DataFrame, exclusive: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """doc_id, field, value, score, confidence, tokens: what stays of the best candidates of each document; equal ones go by arrival.
+
+    1. A field takes its candidate of the highest confidence, the earliest of equal ones; empty values do not count. 2. A value that several fields
+    took stays in the one of the highest score, of equal ones in the field that arrived first. 3. Of each pair in ``exclusive``, in order, whose tokens
+    overlap, the field with the lower score is cleared, the second one of equal ones.
+    ``candidates``: doc_id, pos, field, value, score, confidence, tokens (array). Steps 1 and 2 are sums, step 3 looks at one row a document and field.
+    """
+    taken = candidates.where(F.coalesce("value", F.lit("")) != "").groupBy("doc_id", "field").agg(
+        F.max_by(F.struct("value", "score", "confidence", "tokens"), F.struct("confidence", (-F.col("pos")).alias("early"))).alias("b"), F.min("pos").alias("first")
+    )
+    taken = taken.select("doc_id", "field", "first", "b.*")
+    order = F.struct("score", (-F.col("first")).alias("early"))
+    won = taken.groupBy("doc_id", "value").agg(F.max_by(F.struct("field", "score", "confidence", "tokens"), order).alias("w")).select("doc_id", "value", "w.*")
+    if not exclusive:
+        return won.select("doc_id", "field", "value", "score", "confidence", "tokens")
+    # One entry per field that has a value.
+    docs = won.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "score", "confidence", "tokens")))).alias("fields"))
+    rules = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in exclusive])
+
+    def cleared(fields, rule):
+        a, b = F.try_element_at(fields, rule["a"]), F.try_element_at(fields, rule["b"])
+        clash = F.coalesce(F.arrays_overlap(a["tokens"], b["tokens"]), F.lit(False))
+        loser = F.when(a["score"] >= b["score"], rule["b"]).otherwise(rule["a"])
+        return F.when(clash, F.map_filter(fields, lambda k, v: k != loser)).otherwise(fields)
+
+    kept = docs.select("doc_id", F.explode(F.aggregate(rules, F.col("fields"), cleared)).alias("field", "b"))
+    return kept.select("doc_id", "field", "b.*")
+
+
+def disjoint(candidates: DataFrame) -> DataFrame:
+    """The candidates of each document that a greedy choice accepts: by score, then arrival, each whose tokens no accepted one has.
+
+    ``candidates``: doc_id, pos, score, tokens (array) and more. One fold over a document's candidates, in one array; its state is the
+    tokens taken so far.
+    """
+    order = F.struct((-F.col("score")).alias("down"), "pos", F.coalesce("tokens", F.array().cast(candidates.schema["tokens"].dataType)).alias("tokens"))
+    docs = candidates.groupBy("doc_id").agg(F.sort_array(F.collect_list(order)).alias("_all"))
+    start = F.struct(F.array().cast(candidates.schema["tokens"].dataType).alias("taken"), F.array().cast(candidates.select("pos").schema["pos"].dataType.simpleString().join(("array<", ">"))).alias("kept"))
+
+    def step(acc, x):
+        free = ~F.arrays_overlap(acc["taken"], x["tokens"])
+        return F.when(F.coalesce(free, F.lit(True)), F.struct(F.concat(acc["taken"], x["tokens"]).alias("taken"), F.concat(acc["kept"], F.array(x["pos"])).alias("kept"))).otherwise(acc)
+
+    kept = docs.select("doc_id", F.explode(F.aggregate("_all", start, step)["kept"]).alias("pos"))
+    return candidates.join(kept, ["doc_id", "pos"], "left_semi")
+
+
 def ranked(candidates: DataFrame) -> DataFrame:
     """Add rank per document and field: score, then source, both descending, then distance."""
     w = Window.partitionBy("doc_id", "field").orderBy(F.desc("score"), F.desc("source_rank"), F.asc("distance"), "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +116,46 @@ def content_duplicates(files: DataFrame) -> DataFrame:
     return out.select("pos", "hash", "name_key", "n_uploads", "is_duplicate", F.when(F.col("is_duplicate") == 1, F.col("root")).alias("duplicate_of"))
 
 
+def rooted_uploads(events: DataFrame) -> DataFrame:
+    """What every upload does, in order: ``pos, id, hash, action, record, duplicate_of``.
+
+    A hash points to its root. An upload with the root's own name key refreshes it (``refresh``, record is the root); another name makes a
+    record that is a ``duplicate`` of the root; without a root, or while the root is deleted, it makes a record that is the new root (``new``). Restoring an earlier
+    root does not make it the root again. ``events``: pos, op (upload, delete, restore), id (of the upload, or of the record deleted or restored), hash and
+    file_name of uploads. An upload without a hash is always new.
+
+    One fold over the sorted events of a hash, whose state is the root alone; a hot hash costs time but no memory.
+    """
+    uploads = events.where("op = 'upload'").select("pos", "op", "id", "hash", name_key(F.col("file_name")).alias("_key"))
+    of = uploads.where("hash is not null").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    other = events.where("op <> 'upload'").join(of, F.col("id") == F.col("_id")).select("pos", "op", "id", F.col("_hash").alias("hash"), F.lit(None).cast("string").alias("_key"))
+    free = uploads.where("hash is null").select("pos", "id", "hash", F.lit("new").alias("action"), F.col("id").alias("record"), F.lit(None).cast("string").alias("duplicate_of"))
+
+    def run(batches):
+        now, root, name, live = None, None, None, False
+        for batch in batches:
+            out = []
+            for hash_, pos, op, id_, key in zip(batch["hash"], batch["pos"], batch["op"], batch["id"], batch["_key"]):
+                if hash_ != now:
+                    now, root, name, live = hash_, None, None, False
+                if op != "upload":
+                    if id_ == root:
+                        live = op == "restore"
+                elif not live:
+                    root, name, live = id_, key, True
+                    out.append((pos, id_, hash_, "new", id_, None))
+                elif key and key == name:
+                    out.append((pos, id_, hash_, "refresh", root, None))
+                else:
+                    out.append((pos, id_, hash_, "duplicate", id_, root))
+            yield pd.DataFrame(out, columns=["pos", "id", "hash", "action", "record", "duplicate_of"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in uploads.schema}
+    schema = f"pos {kinds['pos']}, id string, hash string, action string, record string, duplicate_of string"
+    rows = uploads.where("hash is not null").unionByName(other)
+    return rows.repartition("hash").sortWithinPartitions("hash", "pos").mapInPandas(run, schema).unionByName(free)
+
+
 def retained(records: DataFrame, cutoff: str, created: str = "created_at") -> DataFrame:
     """Records not older than ``cutoff``; a missing or unreadable time is kept."""
     at = F.col(created).try_cast("timestamp")
