@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.components import components
 from ledgerweave.llm.token_arrays import (
-    band_keys, in_pieces, minmax_signature, mix, permutations, shingle_sets,
+    band_keys, distinct_shingles, in_pieces, minmax_signature, mix, permutations, segments, shingle_sets,
 )
 from ledgerweave.session import durable, temporary
 
@@ -66,23 +66,35 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """
 
     def run(batches):
-        now, leaders = None, []
+        # The left sets of the group that the batch before ended with.
+        key, kept, kept_size = None, np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in in_pieces(batches, 3):
-            sets = shingle_sets(batch.column(3), k)
-            rights = batch.column(2).to_pylist()
-            met: list[tuple[int, int]] = []
-            known = list(leaders)  # those of the batch before come first
-            for row, (key, b) in enumerate(zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), rights)):
-                if key != now:
-                    now, leaders = key, []
-                if b is None:
-                    known.append(sets[row])
-                    leaders.append(sets[row])
-                else:
-                    met += [(len(known) - i, row) for i in range(len(leaders), 0, -1)]
-            keep = _close(known, sets, met, percent)
-            a, b = batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+            if not batch.num_rows:
+                continue
+            flat, offsets = distinct_shingles(batch.column(3), k)
+            a, chunk = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            group = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (chunk[1:] != chunk[:-1])))
+            is_left = np.asarray(batch.column(2).is_null())
+            if key != (a[0], chunk[0]):
+                kept, kept_size = kept[:0], kept_size[:0]
+            lefts, rights = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+            own, own_size = segments(flat, offsets, lefts)
+            left, left_size = np.concatenate([kept, own]), np.concatenate([kept_size, own_size])
+            of_group = np.concatenate([np.zeros(len(kept_size), np.int64), group[lefts]])
+            # Every right row meets all left ones of its group: one, but for ids with several texts.
+            count = np.bincount(of_group, minlength=group[-1] + 1)
+            times = count[group[rights]]
+            met_right = np.repeat(rights, times)
+            met_left = np.repeat((np.cumsum(count) - count)[group[rights]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            right, right_size = segments(flat, offsets, met_right)
+            tagged = lambda values, tags, size: mix(values + np.repeat(tags.astype(np.uint64), size) * TAG)
+            hit = np.isin(tagged(right, met_left, right_size), tagged(left, np.arange(len(left_size)), left_size))
+            both = np.bincount(np.repeat(np.arange(len(met_right)), right_size)[hit], minlength=len(met_right))
+            close = (both > 0) & (100 * both >= percent * (left_size[met_left] + right_size - both))
+            keep = pa.array(np.unique(met_right[close]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(2).take(keep)], names=["a", "b"])
+            key, last = (a[-1], chunk[-1]), of_group == group[-1]
+            kept, kept_size = left[np.repeat(last, left_size)], left_size[last]
 
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pairs = pairs.select("a", "b")
@@ -94,20 +106,6 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _close(left: list[np.ndarray], right: list[np.ndarray], met: list[tuple[int, int]], percent: int) -> list[int]:
-    """Right numbers of the pairs (left number, right number) in ``met`` whose sets are close enough."""
-    if not met:
-        return []
-    of_left, of_right = np.array(met).T
-    used = np.unique(of_left)
-    tagged = lambda sets, tags: mix(np.concatenate(sets) + np.repeat(tags.astype(np.uint64) * TAG, [len(x) for x in sets]))
-    lefts, rights = [left[i] for i in used], [right[i] for i in of_right]
-    n, m = np.array([len(left[i]) for i in of_left]), np.array([len(x) for x in rights])
-    hit = np.isin(tagged(rights, of_left), tagged(lefts, used))
-    both = np.bincount(np.repeat(np.arange(len(met)), m)[hit], minlength=len(met))
-    return np.unique(of_right[(both > 0) & (100 * both >= percent * (n + m - both))]).tolist()
-
-
 def common_shingles(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """rep, order: a member's shingles that another member has too, as structs (c, s), rarest first; c members have s.
 

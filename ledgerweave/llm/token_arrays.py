@@ -130,6 +130,22 @@ def shingle_sets(texts: pa.Array, k: int, fold: bool = True) -> list[np.ndarray]
     return [np.unique(full[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def distinct_shingles(texts: pa.Array, k: int, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct k-word shingles of every row, row after row, and the rows' offsets; one sort for the whole batch."""
+    full, offsets = _shingles(texts, k, fold)
+    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    _, first = np.unique(mix(full + row.astype(np.uint64) * _ODD[4]), return_index=True)
+    first.sort()
+    return full[first], np.append(0, np.cumsum(np.bincount(row[first], minlength=len(texts))))
+
+
+def segments(flat: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``rows`` one after the other, and the number of values of each."""
+    size = np.diff(offsets)[rows]
+    upto = np.cumsum(size) - size
+    return flat[np.arange(size.sum()) + np.repeat(offsets[rows] - upto, size)], size
+
+
 def minmax_signature(values: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """Minimum and maximum of every multiply-shift permutation: 2 * len(scale) values of 32 bits."""
     low = np.full(len(scale), 0xFFFFFFFF, dtype=np.uint64)
