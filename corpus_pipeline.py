@@ -1,6 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, tokenizing.
 
 Every stage takes the documents its predecessor kept and returns documents again; the last returns tokens.
+
+Cases, in every stage: an empty table gives an empty one with the same columns; rows without an id, or with the id of another row, are rows like any
+others; nulls in lang, source and n_chars pass through; extra columns are dropped. Quality rules reject null and empty texts, as they have under 50
+words; the stages after it take them as texts without words: line dedup leaves them, each is a group of its own in the near-dedup stage, the mix never takes
+them, as they weigh nothing, and their tokens are the end id alone. Ties: of equal lines and passages the row with the smallest id, then hash of its text, keeps its copy; of a near-duplicate
+group the smallest id stays, null last, then the first row.
 """
 
 from __future__ import annotations
