@@ -131,13 +131,24 @@ def normalized_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(flat, r"(?U)\s+", " "))
 
 
-def unique_headers(headers: Column) -> Column:
-    """Blank headers become 列i, the n-th repeat of a header gets _n."""
-    clean = F.transform(headers, lambda h, i: F.when(F.regexp_replace(h, r"(?U)\s+", "") == "", F.concat(F.lit("列"), (i + 1).cast("string"))).otherwise(F.regexp_replace(h, r"(?U)\s+", "")))
-    return F.transform(
-        clean,
-        lambda h, i: F.when(
-            F.size(F.filter(F.slice(clean, F.lit(1), i + 1), lambda x: x == h)) > 1,
-            F.concat(h, F.lit("_"), F.size(F.filter(F.slice(clean, F.lit(1), i + 1), lambda x: x == h)).cast("string")),
-        ).otherwise(h),
-    )
+#: Header words that may be written with blanks inside.
+SPACED_HEADERS = ("单位", "金额", "税率", "税额", "数量", "单价", "规格型号", "征收率")
+
+
+def header_cell(cell: Column) -> Column:
+    """A header cell without blanks around it or inside its known words."""
+    out = F.regexp_replace(cell, r"(?U)^\s+|\s+$", "")
+    for word in SPACED_HEADERS:
+        out = F.regexp_replace(out, r"(?U)" + r"\s*".join(word), word)
+    return out
+
+
+def unique_headers(headers: Column, names: dict[str, str] | None = None) -> Column:
+    """Cleaned headers, by the names in ``names`` if there; a blank one is called by its place (列0, 列1, ...), the second of equal ones gets _1, the third _2."""
+    clean = F.transform(headers, header_cell)
+    if names:
+        known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+        clean = F.transform(clean, lambda h: F.coalesce(F.try_element_at(known, h), h))
+    clean = F.transform(clean, lambda h, i: F.when(h == "", F.concat(F.lit("列"), i.cast("string"))).otherwise(h))
+    before = lambda h, i: F.size(F.filter(F.slice(clean, F.lit(1), i), lambda x: x == h))
+    return F.transform(clean, lambda h, i: F.when(before(h, i) > 0, F.concat(h, F.lit("_"), before(h, i).cast("string"))).otherwise(h))

@@ -6,6 +6,7 @@ are plain aggregations that combine before the shuffle; a null status counts as
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,10 +98,30 @@ def moved(status: Column, to: Column) -> Column:
 
 
 def file_states(updates: DataFrame, first: str = "uploading") -> DataFrame:
-    """file, status after all updates (file, pos, status) in order. The moves of one file are folded in one row."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "status")))
-    per = updates.groupBy("file").agg(ordered.alias("moves"))
-    return per.select("file", F.aggregate("moves", F.lit(first), lambda now, x: moved(now, x["status"])).alias("status"))
+    """file, status after all updates (file, pos, status) in order; a null status changes nothing.
+
+    One fold over the sorted updates of a file, whose state is its status alone; a file with very many updates costs time but no memory.
+    """
+
+    def run(batches):
+        now, status, any_ = None, first, False
+        for batch in batches:
+            done = []
+            files = batch["file"].astype(object).where(batch["file"].notna(), None)
+            for file, to in zip(files, batch["status"]):
+                if any_ and file != now:
+                    done.append((now, status))
+                if not any_ or file != now:
+                    now, status, any_ = file, first, True
+                if to is not None and to in MOVES.get(status, (to,)):
+                    status = to
+            yield pd.DataFrame(done, columns=["file", "status"])
+        if any_:
+            yield pd.DataFrame([(now, status)], columns=["file", "status"])
+
+    kind = updates.schema["file"].dataType.simpleString()
+    rows = updates.select("file", "pos", "status").repartition("file").sortWithinPartitions("file", "pos").select("file", "status")
+    return rows.mapInPandas(run, f"file {kind}, status string")
 
 
 def pending_items(items: DataFrame) -> DataFrame:

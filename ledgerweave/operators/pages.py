@@ -27,6 +27,35 @@ def merge_pages(pages: DataFrame, keys: list[str], order: str, first: list[str],
     )
 
 
+#: The fields of a document that its last page gives; its first page gives the others (number, date, type, parties).
+LAST_PAGE_KEYS = ("amountHj", "amountJe", "amountSe", "bz", "skr", "fhr", "kpr", "jym", "jshjdx", "jshjxx")
+#: Fields that stand beside the map too, by their names there.
+SYNCED_KEYS = {"number": "fphm", "type": "type", "date": "kprq"}
+
+
+def merged_results(pages: DataFrame, keys: list[str], order: str = "page") -> DataFrame:
+    """keys, number, type, date, amount, extra, line_items, page_count: the parse results of a document's pages as one.
+
+    The amount and the fields in LAST_PAGE_KEYS come from the last page that ends the document, where it has them, all other fields from the first one; a field that only
+    another page has is there without a value. Line items follow each other in page order. Of several pages the number, type and date are those of the merged fields
+    where these are filled. ``pages``: keys, order, number, type, date, amount, extra (map), line_items (array).
+    """
+    named = F.coalesce("extra", F.create_map().cast("map<string,string>"))
+    rows = pages.withColumn("extra", named)
+    items = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("line_items", F.array().cast(pages.schema["line_items"].dataType)).alias("v")))), lambda x: x["v"]))
+    per = rows.groupBy(*keys).agg(
+        F.min_by(F.struct("number", "type", "date", "extra"), order).alias("_first"), F.max_by(F.struct("amount", "extra"), order).alias("_last"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("extra"))))).alias("_names"), items.alias("line_items"), F.count(F.lit(1)).alias("page_count"),
+    )
+    first, last = F.col("_first.extra"), F.col("_last.extra")
+    from_last = lambda k: k.isin(*LAST_PAGE_KEYS) & F.map_contains_key(last, k)
+    value = lambda k: F.when(from_last(k), F.try_element_at(last, k)).otherwise(F.try_element_at(first, k))
+    per = per.withColumn("extra", F.map_from_entries(F.transform("_names", lambda k: F.struct(k.alias("key"), value(k).alias("value")))))
+    several = F.col("page_count") > 1
+    synced = [F.coalesce(F.when(several, F.nullif(F.try_element_at("extra", F.lit(k)), F.lit(""))), F.col(f"_first.{c}")).alias(c) for c, k in SYNCED_KEYS.items()]
+    return per.select(*keys, *synced, F.col("_last.amount").alias("amount"), "extra", "line_items", "page_count")
+
+
 def page_marker(text: Column) -> tuple[Column, Column]:
     """Page and total of the first marker in the text, null without one; a bare 1/3 is none, as it may be a date."""
     get = lambda i: F.nullif(F.regexp_extract(text, MARKER, i), F.lit(""))

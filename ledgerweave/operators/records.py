@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.dates import UNKNOWN
+from ledgerweave.functions.money import safe_float
 from ledgerweave.functions.text import name_segment, sheet_name
 
 #: Fields that an update may set.
@@ -92,6 +94,26 @@ def is_structured(kind: Column, number: Column, amount: Column) -> Column:
     return sum((F.coalesce(t, F.lit(False)).cast("int") for t in tests), F.lit(0)) >= 2
 
 
+#: Columns of a record and the fields of the parse result they come from.
+RECORD_FIELDS = {"buyer": "gmfmc", "buyer_tax": "gmfsh", "seller": "xsfmc", "seller_tax": "xsfsh", "note": "note", "issuer": "kpr", "payee": "skr", "reviewer": "fhr"}
+RAW_TEXT = 5000
+
+
+def built(results: DataFrame) -> DataFrame:
+    """Records of parse results: missing texts become empty, amounts numbers, an unknown date empty, raw texts are cut to RAW_TEXT characters.
+
+    ``results``: hash_sha256, file_name, file_format, file_size, type, number, amount, date (texts), extra (map), line_items, parse_method, raw_text.
+    """
+    field = lambda k: F.coalesce(F.try_element_at("extra", F.lit(k)), F.lit(""))
+    date = F.coalesce(F.when(F.col("date") != UNKNOWN, F.col("date")), F.lit(""))
+    return results.select(
+        "hash_sha256", "file_name", "file_format", "file_size", "type", "number", safe_float(F.col("amount")).alias("amount"), date.alias("date"),
+        *[field(k).alias(c) for c, k in RECORD_FIELDS.items()], safe_float(F.try_element_at("extra", F.lit("amountSe"))).alias("tax_amount"), "parse_method",
+        is_structured(F.col("type"), F.col("number"), F.col("amount")).cast("int").alias("parse_ok"), F.coalesce(F.left("raw_text", F.lit(RAW_TEXT)), F.lit("")).alias("raw_text"),
+        F.lit("").alias("thumbnail"), F.coalesce("line_items", F.array().cast(results.schema["line_items"].dataType)).alias("line_items"),
+    )
+
+
 def page_id(doc_id: Column, page_num: Column) -> Column:
     """Only pages after the first have an id of their own."""
     return F.when(page_num > 1, F.concat(doc_id, F.lit(":p"), page_num.cast("string")))

@@ -101,3 +101,10 @@ def sort_list(files: DataFrame, field: str, descending: bool = False) -> DataFra
     part = partition_of(F.col("failed"), F.col("duplicate_group"), F.col("previous_year"))
     group = F.when(part == 1, F.col("duplicate_group"))
     return files.withColumn("partition", part).orderBy("partition", group.asc_nulls_first(), *list_order(field, descending), "pos")
+
+
+def client_found(files: DataFrame, query: str | None) -> DataFrame:
+    """Files (search_text, name) that hold the query, whatever its case and the blanks around it; all without one. A file without a text is found by its name."""
+    wanted = (query or "").strip().lower()
+    text = F.coalesce(F.nullif("search_text", F.lit("")), F.lower("name"))
+    return files.where(F.contains(text, F.lit(wanted))) if wanted else files

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerweave.operators import extract, items, naming, store
+from ledgerweave.operators import decisions, extract, items, naming, pages, store
 from ledgerweave.plans.catalog import register
 from ledgerweave.sources.tables import table
 
@@ -226,3 +226,61 @@ def anchors(spark, sf_dir):
     text, k = F.col("text"), F.col("line") % 4
     named = F.when(k == 0, F.replace(text, F.lit("plain"), F.lit("购买方"))).when(k == 1, F.replace(text, F.lit("大写"), F.lit("购买方信息"))).when(k == 2, F.replace(text, F.lit("note"), F.lit("销方 备注:"))).otherwise(text)
     return items.anchors(_lines(spark, sf_dir).select("doc_id", F.col("line").alias("pos"), named.alias("text"))).select("doc_id", "anchor", "text", F.col("pos").cast("int"))
+
+
+_STATES = ("PASS", "WARN", "FAIL", "PASS")
+
+
+@register(
+    f"""WITH f AS (SELECT l_orderkey AS d, l_linenumber AS n, l_returnflag || '"\\' || l_linenumber AS v, CASE WHEN l_quantity < 12 THEN 'FAIL' ELSE {list(_STATES)}[l_partkey % 2 + 1] END AS s FROM lineitem),
+        g AS (SELECT o_orderkey AS d, CASE WHEN o_orderstatus = 'P' THEN 'no template' END AS reason, count(n) AS n, count(*) FILTER (WHERE s = 'FAIL') AS bad, string_agg('f' || n, ',' ORDER BY n, v) FILTER (WHERE s = 'FAIL') AS names,
+              string_agg(v, ',' ORDER BY n, v) AS vs FROM orders LEFT JOIN f ON d = o_orderkey GROUP BY 1, 2)
+        SELECT d::VARCHAR || '_c' AS id, CASE WHEN reason IS NOT NULL THEN 'exception_queue' WHEN bad > 0 THEN 'review_queue' ELSE 'export_ready' END AS queue, CASE WHEN reason IS NULL AND bad = 0 THEN 'export_ready' ELSE 'pending' END AS status,
+          CASE WHEN reason IS NULL AND bad = 0 THEN CAST(n AS INT) END AS field_count, CASE WHEN reason IS NULL AND bad > 0 THEN names END AS failed, CASE WHEN reason IS NULL AND bad > 0 THEN vs END AS "values" FROM g"""
+)
+def decision_queues(spark, sf_dir):
+    """Records as the queues hold them, their JSON texts read again."""
+    c = F.col
+    state = F.when(c("l_quantity") < 12, "FAIL").otherwise(F.get(F.lit(list(_STATES)), (c("l_partkey") % 2).cast("int")))
+    value = F.concat("l_returnflag", F.lit('"\\'), c("l_linenumber").cast("string"))
+    field = F.struct(c("l_linenumber").alias("n"), value.alias("v"), state.alias("s"))
+    fields = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(field)).alias("f"))
+    named = F.transform("f", lambda x: F.struct(F.concat(F.lit("f"), x["n"].cast("string")).alias("field_id"), x["v"].alias("value"), x["s"].alias("status")))
+    docs = table(spark, sf_dir, "orders").join(fields, c("o_orderkey") == c("l_orderkey"), "left").select(
+        F.lit("c").alias("correlation_id"), c("o_orderkey").cast("string").alias("document_id"), F.lit("a.pdf").alias("file_name"), named.alias("fields"), F.when(c("o_orderstatus") == "P", "no template").alias("reason"),
+    )
+    found = decisions.opened(decisions.decided(docs, "2024-01-01T00:00:00+00:00"))
+    joined = lambda x: F.when(c("queue") == "review_queue", F.array_join(x, ","))
+    return found.select("id", "queue", "status", "field_count", joined(c("failed")).alias("failed"), joined(F.transform("fields", lambda x: x["value"])).alias("values"))
+
+
+_PAGE = """(SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS page, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'n' || l_partkey END AS fphm,
+  l_returnflag AS bz, l_suppkey % 3 AS s, CAST(l_extendedprice AS VARCHAR) AS amount, l_partkey FROM lineitem)"""
+
+
+@register(
+    f"""WITH p AS {_PAGE}, w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY page DESC) AS z FROM p),
+        g AS (SELECT doc_id, count(*) AS n, max(fphm) FILTER (WHERE a = 1) AS fphm, max(bz) FILTER (WHERE a = 1) AS bz1, max(s) FILTER (WHERE a = 1) AS s1, max(bz) FILTER (WHERE z = 1) AS bz2, max(s) FILTER (WHERE z = 1) AS s2,
+              max(amount) FILTER (WHERE z = 1) AS amount, bool_or(s <> 1) AS has_bz, bool_or(s = 2) AS has_kind, string_agg(l_partkey, ',' ORDER BY page) AS parts FROM w GROUP BY 1)
+        SELECT doc_id, CASE WHEN n > 1 AND fphm <> '' THEN fphm ELSE 'top' END AS number, amount, CASE WHEN s2 <> 1 THEN bz2 WHEN s1 <> 1 THEN bz1 END AS note, CASE WHEN s1 = 2 THEN 'k' END AS kind, has_bz, has_kind,
+          parts, n AS page_count FROM g"""
+)
+def page_results(spark, sf_dir):
+    """The lines of an order as pages: a number from the first, a note from the last, a kind that only some pages have."""
+    c = F.col
+    number = F.row_number().over(items.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    s = c("l_suppkey") % 3
+    extra = F.array_compact(F.array(
+        pair("fphm", F.when(c("l_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("n"), c("l_partkey").cast("string")))), F.when(s != 1, pair("bz", c("l_returnflag"))), F.when(s == 2, pair("kind", F.lit("k"))),
+    ))
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("doc_id"), number.alias("page"), F.lit("top").alias("number"), F.lit("").alias("type"), F.lit("").alias("date"), c("l_extendedprice").cast("string").alias("amount"),
+        F.map_from_entries(extra).alias("extra"), F.array(c("l_partkey")).alias("line_items"),
+    )
+    found = pages.merged_results(rows, ["doc_id"])
+    at = lambda k: F.try_element_at("extra", F.lit(k))
+    return found.select(
+        "doc_id", "number", "amount", at("bz").alias("note"), at("kind").alias("kind"), F.map_contains_key("extra", "bz").alias("has_bz"), F.map_contains_key("extra", "kind").alias("has_kind"),
+        F.array_join(F.transform("line_items", lambda x: x.cast("string")), ",").alias("parts"), "page_count",
+    )
