@@ -463,7 +463,7 @@ def token_region(spark, sf_dir):
        FROM lineitem GROUP BY 1, 2, 3"""
 )
 def token_grid(spark, sf_dir):
-    cells = _tokens(spark, sf_dir).withColumns({"row": F.floor(F.col("y0") / 20).cast("int"), "col": F.floor(F.col("pos") / 1000000).cast("int")})
+    cells = _tokens(spark, sf_dir).withColumns({"row": F.floor(F.col("y0") / 20).cast("int"), "col": F.floor(F.col("x0") / 20).cast("int")})
     return layout.grid(cells, ["doc_id"])
 
 
