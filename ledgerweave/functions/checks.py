@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.cleaning import bound
+
 # Points of a party candidate.
 BASE_POINTS = 30
 SOURCE_POINTS = {"bbox_l1_label": 25, "bbox_l2_anchor": 40, "bbox_l3_region": 20}
@@ -96,15 +98,38 @@ def derived_item(quantity: Column, price: Column, amount: Column, rate: Column,
     Two decimals, halves away from zero; a rate is a number of percent with or without its sign. Empty texts count as missing,
     and a text that is no number is neither used nor corrected.
     """
-    text = lambda c: F.nullif(c, F.lit(""))
-    number = lambda c: F.regexp_replace(c, "%+$", "").try_cast("decimal(18,6)")
-    cents = lambda c: F.round(c, 2).cast("decimal(18,2)").cast("string")
-    quantity, price, amount, rate, tax = map(text, (quantity, price, amount, rate, tax))
-    product = number(quantity) * number(price)
-    first_tax = F.coalesce(tax, cents(number(amount) * number(rate) / 100))
-    rate = F.coalesce(rate, F.when(number(amount) > 0, F.concat(cents(number(first_tax) / number(amount) * 100), F.lit("%"))))
-    amount = F.coalesce(amount, cents(product))
-    off = lambda want, have: F.coalesce(F.abs(want - number(have)) > F.lit("0.01").cast("decimal(4,2)"), F.lit(False))
-    amount = F.when(off(product, amount), cents(product)).otherwise(amount)
-    due = number(amount) * number(rate) / 100
-    return F.struct(amount.alias("amount"), rate.alias("rate"), F.when(off(due, first_tax), cents(due)).otherwise(first_tax).alias("tax"))
+    money = "decimal(18,6)"
+    number = lambda c: F.when(F.contains(c, F.lit("%")), F.regexp_replace(c, "%+$", "")).otherwise(c).try_cast(money)
+    cents = lambda c: F.round(c, 2).cast("decimal(18,2)")
+    off = lambda want, have: F.coalesce(F.abs(want - have) > F.lit("0.01").cast("decimal(4,2)"), F.lit(False))
+    names, given = ("quantity", "price", "amount", "rate", "tax"), (quantity, price, amount, rate, tax)
+
+    # Every step is a struct that is made once and read by the next; a derived number stays one beside its text.
+    def parsed(t):
+        return bound(F.struct(*[t[n].alias(n) for n in names[2:]], *[number(t[n]).alias(f"{n}_n") for n in names]), first)
+
+    def first(x):
+        product = x["quantity_n"] * x["price_n"]
+        wrong = x["amount"].isNull() | off(product, x["amount_n"])
+        found_tax = F.when(x["tax"].isNull(), cents(x["amount_n"] * x["rate_n"] / 100))
+        return bound(F.struct(x.alias("x"), F.when(wrong, cents(product)).alias("amount"), found_tax.alias("tax")), second)
+
+    def second(y):
+        x = y["x"]
+        tax_n = F.when(x["tax"].isNull(), y["tax"].try_cast(money)).otherwise(x["tax_n"])
+        found_rate = F.when(x["rate"].isNull() & (x["amount_n"] > 0), cents(tax_n / x["amount_n"] * 100))
+        return bound(F.struct(x.alias("x"), y["amount"].alias("amount"), y["tax"].alias("tax"), tax_n.alias("tax_n"), found_rate.alias("rate")), third)
+
+    def third(z):
+        x = z["x"]
+        amount_n = F.when(z["amount"].isNull(), x["amount_n"]).otherwise(z["amount"].try_cast(money))
+        rate_n = F.when(x["rate"].isNull(), z["rate"].try_cast(money)).otherwise(x["rate_n"])
+        return bound(F.struct(z.alias("z"), (amount_n * rate_n / 100).alias("due")), last)
+
+    def last(w):
+        x, z = w["z"]["x"], w["z"]
+        rate = F.coalesce(x["rate"], F.concat(z["rate"].cast("string"), F.lit("%")))
+        tax = F.when(off(w["due"], z["tax_n"]), cents(w["due"]).cast("string")).otherwise(F.coalesce(x["tax"], z["tax"].cast("string")))
+        return F.struct(F.coalesce(z["amount"].cast("string"), x["amount"]).alias("amount"), rate.alias("rate"), tax.alias("tax"))
+
+    return bound(F.struct(*[F.nullif(c, F.lit("")).alias(n) for n, c in zip(names, given)]), parsed)

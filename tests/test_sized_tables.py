@@ -27,3 +27,9 @@ def same_as_sql(spark, tables, name):
 
 def test_grid_of_large_part_keys(spark, tables):
     same_as_sql(spark, tables, "token_grid")
+
+
+def test_derived_items_parses_each_text_once(spark, tables):
+    same_as_sql(spark, tables, "derived_items")
+    plan = catalog.QUERIES["derived_items"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 5
