@@ -35,10 +35,10 @@ AMOUNT_ZEROS = (
     r"(?<=[0-9])[OI](?=[,，\s])", r"(?<=[,，])[OI](?=[0-9])", r"(?<=[:：])[OI](?=\.)", r"(?<=[:：])[OI](?=[0-9])", r"(?<=\s)[OI](?=[\d.])",
     r"(?<=\.)O(?=O[^0-9A-Za-z]|O$)",
 )
-# The forms of a token on an item line, by priority.
+# The forms of a token on an item line, by priority. What follows a doubled plus cannot begin with what it took.
 TOKEN_FORMS = (
-    r"[¥￥][\d,]+\.\d{2}", r"[¥￥][\d,]+", r"-?\d+(?:\.\d+)?%", r"-?[\d,]+\.\d{2}", r"-?\d+\.\d{3,4}",
-    r"-?\d+(?:\.\d+)?(?:mm|cm|dm|m|km|g|kg|mg|ml|L|㎡|m²|m³|kv|kw|w|v|a|hz|db|px)", r"-?[\d,]+", r"[A-Za-z0-9][A-Za-z0-9\-/×xX.]*",
+    r"[¥￥][\d,]++\.\d{2}", r"[¥￥][\d,]+", r"-?\d++(?:\.\d++)?%", r"-?[\d,]++\.\d{2}", r"-?\d++\.\d{3,4}",
+    r"-?\d++(?:\.\d++)?(?:mm|cm|dm|m|km|g|kg|mg|ml|L|㎡|m²|m³|kv|kw|w|v|a|hz|db|px)", r"-?[\d,]+", r"[A-Za-z0-9][A-Za-z0-9\-/×xX.]*",
     r"[\x{4e00}-\x{9fff}]+", r"\S+",
 )
 # Tokens that are no item data.
@@ -113,16 +113,24 @@ def split_labels(lines: Column) -> Column:
     return F.flatten(F.transform(lines, parts))
 
 
+def _led(words: str) -> str:
+    """The alternatives, tried only where one of their first characters stands."""
+    return f"(?=[{''.join(sorted({w[0] for w in words.split('|')}))}])(?:{words})"
+
+
 def no_item_token(token: Column) -> Column:
     """True for numbers of 8 to 20 digits that are no bar codes, tax ids, dates, amounts in words, labels, companies and long decimals."""
 
     def test(t):
-        words = F.length(F.regexp_replace(t, f"[^{UPPER_AMOUNT_CHARS}]", ""))
-        # One search for all forms; the characters are counted and companies looked for only where it finds none.
-        forms = "|".join((TOKEN_TAX_ID, TOKEN_DATE, TOKEN_HEADER, f"^[{TOKEN_HEADER_CHARS}]$", r"^-?\d+\.\d{3,}$"))
-        other = (t == "") | t.rlike(forms) | ((F.length(t) >= 2) & (2 * words > F.length(t))) | ((F.length(t) >= 6) & t.rlike(TOKEN_COMPANY))
-        plain = F.regexp_replace(t, "[ ,]", "")
-        return F.when(plain.rlike(r"^\d{8,20}$"), ~plain.rlike(r"^(\d{8}|\d{12,14})$")).otherwise(other)
+        # Labels, companies and amounts in words are looked for only in tokens that hold more than ASCII.
+        wide = F.octet_length(t) != F.length(t)
+        words = F.length(t) - F.length(F.translate(t, UPPER_AMOUNT_CHARS, ""))
+        labels = t.rlike(f"{_led(TOKEN_HEADER)}|^[{TOKEN_HEADER_CHARS}]$") | ((F.length(t) >= 2) & (2 * words > F.length(t))) | ((F.length(t) >= 6) & t.rlike(_led(TOKEN_COMPANY)))
+        forms = t.rlike("|".join((TOKEN_TAX_ID, TOKEN_DATE, r"^-?\d+\.\d{3,}$")))
+        other = (t == "") | ((F.length(t) >= 5) & forms) | (wide & labels)
+        digits = (F.length(t) >= 8) & t.rlike(r"^[ ,]*\d[ ,\d]{7,}$")
+        plain = F.translate(t, " ,", "")
+        return F.when(digits & plain.rlike(r"^\d{8,20}$"), ~plain.rlike(r"^(\d{8}|\d{12,14})$")).otherwise(other)
 
     return bound(token, test)
 

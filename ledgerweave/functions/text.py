@@ -90,8 +90,8 @@ def digit_fix(text: Column) -> Column:
 
 def numeric_token(token: Column) -> Column:
     """Map O, I, l, S, B to digits if the whole result is then a number."""
-    mapped = F.translate(token, "OoIlSB", "001158")
-    return F.when(mapped.rlike(r"^-?\d+(\.\d+)?%?$"), mapped).otherwise(token)
+    number = token.rlike(r"^-?[\dOoIlSB]+(\.[\dOoIlSB]+)?%?$")
+    return F.when(number, F.translate(token, "OoIlSB", "001158")).otherwise(token)
 
 
 def distinct_lines(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from ledgerweave.functions import cleaning
 from ledgerweave.plans import catalog, invoice_queries, item_queries, text_queries  # noqa: F401  (registers its queries)
+from pyspark.sql import functions as F
 
 @pytest.fixture(scope="module")
 def tables(tmp_path_factory):
@@ -33,3 +35,12 @@ def test_derived_items_parses_each_text_once(spark, tables):
     same_as_sql(spark, tables, "derived_items")
     plan = catalog.QUERIES["derived_items"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") <= 5
+
+
+def test_item_tokens_search_labels_in_wide_tokens_only(spark, tables):
+    same_as_sql(spark, tables, "item_tokens")
+    text = "合计 12345678 123456789 12,345,678 1,234,567,890 2024-01-02 1.2345 l.5O 甲乙丙股份 壹佰 é9"
+    found = spark.range(1).select(cleaning.item_tokens(F.lit(text)).alias("t")).first()["t"]
+    assert found == ["12345678", "12,345,678", "2024", "-01", "-02", "1.23", "45", "1.50", "甲乙丙股份", "é9"]
+    plan = catalog.QUERIES["item_tokens"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan
