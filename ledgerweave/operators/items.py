@@ -151,15 +151,26 @@ equal ones the first counts).
     six = [c for c in COLUMNS if c not in ("规格型号", "单位")]
     has = lambda c: F.array_contains("_h", F.lit(c))
     known = sum((has(c).cast("int") for c in six), F.lit(0))
+    rows = cells.groupBy(doc, "row").agg(F.collect_list(F.struct("col", "text")).alias("cells"))
+    return keyed_whole_rows(rows, headers, doc)
+
+
+def keyed_whole_rows(rows: DataFrame, headers: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``keyed_rows`` of rows that come whole: doc, row, cells (array of col, text)."""
     short = ~has("规格型号") & ~has("单位") & F.size("_h").between(5, 7) & (known >= 5)
-    names = names.withColumn("_target", F.when(short, F.lit(list(COLUMNS))).otherwise(F.array_distinct("_h")))
-    rows = cells.groupBy(doc, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("_cells")).join(names, doc)
-    text = lambda h: F.trim(F.coalesce(F.try_element_at("_cells", (F.array_position("_h", h) - 1).cast("int")), F.lit("")))
-    entry = lambda h: F.struct(h.alias("key"), F.when(h == "项目名称", F.regexp_replace(text(h), r"\s+", "")).otherwise(text(h)).alias("value"))
-    rows = rows.select(doc, "row", F.map_from_entries(F.transform("_target", entry)).alias("fields"))
-    filled = rows.select(doc, F.explode(F.map_keys(F.map_filter("fields", lambda k, v: v != ""))).alias("h")).groupBy(doc).agg(F.collect_set("h").alias("_filled"))
-    rows = rows.join(filled, doc, "left")
-    return rows.select(doc, "row", F.map_filter("fields", lambda k, v: F.array_contains(F.coalesce("_filled", F.array().cast("array<string>")), k)).alias("fields"))
+    target = F.when(short, F.lit(list(COLUMNS))).otherwise(F.array_distinct("_h"))
+    # A header's place is looked up once a document, not once a row.
+    names = names.select(doc, F.transform(target, lambda h: F.struct(h.alias("name"), (F.array_position("_h", h) - 1).cast("int").alias("at"))).alias("_target"))
+    rows = rows.select(doc, "row", F.col("cells").alias("_list"))
+    # Which columns are filled comes from the cells of a document before any field is made; a name must hold more than white space of any kind.
+    whole = Window.partitionBy(doc)
+    places = lambda test: F.flatten(F.collect_set(F.transform(F.filter("_list", lambda x: test(x["text"])), lambda x: x["col"])).over(whole))
+    rows = rows.withColumns({"_filled": places(lambda t: F.trim(t) != ""), "_named": places(lambda t: t.rlike(r"\S"))}).join(names, doc)
+    rows = rows.withColumn("_cells", F.map_from_entries("_list"))
+    text = lambda h: F.trim(F.coalesce(F.try_element_at("_cells", h["at"]), F.lit("")))
+    entry = lambda h: F.struct(h["name"].alias("key"), F.when(h["name"] == "项目名称", F.regexp_replace(text(h), r"\s+", "")).otherwise(text(h)).alias("value"))
+    filled = lambda h: F.array_contains(F.when(h["name"] == "项目名称", F.col("_named")).otherwise(F.col("_filled")), h["at"])
+    return rows.select(doc, "row", F.map_from_entries(F.transform(F.filter("_target", filled), entry)).alias("fields"))
 
 
 #: What marks the places of a page; of the first two a token that is such a text goes before one that holds it.
