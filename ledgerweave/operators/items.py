@@ -42,8 +42,9 @@ def is_item(text: Column) -> Column:
 def column_bounds(lines: DataFrame, doc: str = "doc_id", x: str = "cx", eps: float = 14.0) -> DataFrame:
     """doc, bounds: midpoints between the mean x of neighbouring clusters; empty for a document of one cluster."""
     centers = gap_clusters(lines.where(F.col(x).isNotNull()), [doc], x, eps).groupBy(doc, "cluster").agg(F.avg(x).alias("_center"))
-    following = F.lead("_center").over(Window.partitionBy(doc).orderBy("_center"))
-    return centers.withColumn("_bound", (F.col("_center") + following) / 2).groupBy(doc).agg(F.sort_array(F.collect_list("_bound")).alias("bounds"))
+    # One array of centers per document, as long as its bounds.
+    middles = lambda cs: F.transform(F.slice(cs, F.lit(1), F.size(cs) - 1), lambda c, i: (c + F.get(cs, i + 1)) / 2)
+    return centers.groupBy(doc).agg(F.sort_array(F.collect_list("_center")).alias("_centers")).select(doc, middles(F.col("_centers")).alias("bounds"))
 
 
 def even_bounds(left: Column, right: Column, columns: int = 8) -> Column:
@@ -58,10 +59,12 @@ def header_ranges(lines: DataFrame, bounds: DataFrame | None = None, doc: str =
     ``least`` different patterns whose order, from left to right, has one inversion at most. A document without a header has no row.
     ``lines``: doc, line, text, cx, cy; ``bounds``: doc, bounds (without them the order isn't looked at).
     """
-    first = lines.where(is_item(F.col("text"))).groupBy(doc).agg(F.min("line").alias("_first"))
-    near = lines.join(first, doc).where((F.col("line") < F.col("_first")) & (F.col("line") >= F.col("_first") - window))
     found = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(i)) for i, p in enumerate(HEADER_PATTERNS)]))
-    hits = near.select(doc, "line", "cx", "cy", F.explode(found).alias("pattern"))
+    # Only items and lines with a hit travel, without their texts.
+    marked = lines.select(doc, "line", "cx", "cy", found.alias("_found"), is_item(F.col("text")).alias("_item")).where(F.col("_item") | (F.size("_found") > 0))
+    marked = marked.withColumn("_first", F.min(F.when(F.col("_item"), F.col("line"))).over(Window.partitionBy(doc)))
+    near = marked.where((F.col("line") < F.col("_first")) & (F.col("line") >= F.col("_first") - window) & F.col(doc).isNotNull())
+    hits = near.select(doc, "line", "cx", "cy", F.explode("_found").alias("pattern"))
     if bounds is None:
         hits = hits.withColumn("col", F.lit(-1))
     else:
