@@ -6,6 +6,7 @@ are gathered in one array.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,16 +151,16 @@ def keyed_rows(cells: DataFrame, headers: DataFrame, doc: str = "doc_id") -> Dat
     names lose their blanks. ``cells``: doc, row, col, text, one cell a place; ``headers``: doc, headers (array; of
 equal ones the first counts).
     """
-    names = headers.select(doc, F.transform("headers", header_name).alias("_h"))
-    six = [c for c in COLUMNS if c not in ("规格型号", "单位")]
-    has = lambda c: F.array_contains("_h", F.lit(c))
-    known = sum((has(c).cast("int") for c in six), F.lit(0))
     rows = cells.groupBy(doc, "row").agg(F.collect_list(F.struct("col", "text")).alias("cells"))
     return keyed_whole_rows(rows, headers, doc)
 
 
 def keyed_whole_rows(rows: DataFrame, headers: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``keyed_rows`` of rows that come whole: doc, row, cells (array of col, text)."""
+    names = headers.select(doc, F.transform("headers", header_name).alias("_h"))
+    six = [c for c in COLUMNS if c not in ("规格型号", "单位")]
+    has = lambda c: F.array_contains("_h", F.lit(c))
+    known = sum((has(c).cast("int") for c in six), F.lit(0))
     short = ~has("规格型号") & ~has("单位") & F.size("_h").between(5, 7) & (known >= 5)
     target = F.when(short, F.lit(list(COLUMNS))).otherwise(F.array_distinct("_h"))
     # A header's place is looked up once a document, not once a row.
@@ -204,26 +205,48 @@ def carried_orphans(lines: DataFrame, data: Column, noise: Column, starts: Colum
 
     An orphan (neither data nor noise) waits for the next data line and goes before it, the last ``most`` of those waiting. A line that ``starts`` an item after
     some data line sends those waiting to the end of the last data line. What waits at the end goes there too, if it is only a name; without
-    any data line the orphans stay lines of their own. ``lines``: doc, line, text. Two windows over one document, nothing is gathered but the lines of one item.
+    any data line the orphans stay lines of their own. ``lines``: doc, line, text. A task streams through sorted lines with the lines of one item as its state.
     """
-    up = Window.partitionBy(doc).orderBy("line")
-    down = Window.partitionBy(doc).orderBy(F.desc("line"))
-    has = F.coalesce(data, F.lit(False))
-    rows = lines.select(doc, "line", "text", has.alias("_data"), (~has & ~F.coalesce(noise, F.lit(False))).alias("_orphan"), F.coalesce(starts, F.lit(False)).alias("_starts"), F.coalesce(name_only, F.lit(False)).alias("_name"))
-    before = F.last(F.when(F.col("_data"), F.col("line")), True).over(up.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_before", before)
-    sends = F.col("_starts") & F.col("_before").isNotNull()
-    event = F.when(F.col("_data") | sends, F.struct("line", sends.alias("sends"), F.col("_before").alias("last")))
-    rows = rows.withColumn("_next", F.last(event, True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
-    back = F.col("_next.sends") | (F.col("_next").isNull() & F.col("_name") & F.col("_before").isNotNull())
-    alone = F.col("_next").isNull() & F.col("_before").isNull()
-    owner = (
-        F.when(F.col("_data"), F.col("line")).when(~F.col("_orphan"), F.lit(None))
-        .when(back, F.coalesce("_next.last", "_before")).when(F.col("_next").isNotNull(), F.col("_next.line")).when(alone, F.col("line"))
-    )
-    place = F.when(F.col("_data"), 1).when(back, 2).otherwise(0)
-    rows = rows.withColumns({"_owner": owner, "_place": place}).where("_owner is not null")
-    late = F.row_number().over(Window.partitionBy(doc, "_owner", "_place").orderBy(F.desc("line")))
-    rows = rows.withColumn("_late", late).where((F.col("_place") != 0) | (F.col("_late") <= most))
-    parts = F.sort_array(F.collect_list(F.struct("_place", "line", "text")))
-    return rows.groupBy(doc, F.col("_owner").alias("line")).agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"))
+    flags = [F.coalesce(c, F.lit(False)) for c in (data, ~F.coalesce(data, F.lit(False)) & ~F.coalesce(noise, F.lit(False)), starts, name_only)]
+    kind = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(flags)), F.lit(0))
+    # Noise that starts no item changes nothing.
+    rows = lines.select(doc, "line", "text", kind.alias("_kind")).where(F.col("_kind").bitwiseAND(7) > 0)
+
+    def run(batches):
+        key, last, owned, waiting = (), None, [], []
+
+        def closed():
+            """What the document before still holds, of its last data line or of orphans alone."""
+            if last is not None:
+                yield (*key, last, owned + [t for _, t, name in waiting if name])
+            elif most > 0:
+                yield from ((*key, line, [t]) for line, t, _ in waiting)
+
+        for batch in batches:
+            out = []
+            for d, line, text, k in zip(*[c.to_pylist() for c in batch.columns]):
+                if (d,) != key:
+                    out += closed()
+                    key, last, owned, waiting = (d,), None, [], []
+                if k & 4 and last is not None:
+                    owned += [t for _, t, _ in waiting]
+                    waiting = []
+                if k & 1:
+                    if last is not None:
+                        out.append((*key, last, owned))
+                    last, owned, waiting = line, [t for _, t, _ in waiting[max(len(waiting) - most, 0) :]] + [text], []
+                elif k & 2:
+                    waiting.append((line, text, bool(k & 8)))
+            yield _joined(batch, out)
+        if key:
+            yield _joined(batch, list(closed()))
+
+    return rows.repartition(doc).sortWithinPartitions(doc, "line").mapInArrow(run, rows.select(doc, "line", "text").schema)
+
+
+def _joined(batch, out: list) -> pa.RecordBatch:
+    """doc, line and the texts that are not null with a blank between them, in the types of ``batch``."""
+    ids, lines, texts = zip(*out) if out else ((), (), ())
+    kinds = batch.schema
+    joined = [" ".join(t for t in ts if t is not None) for ts in texts]
+    return pa.RecordBatch.from_arrays([pa.array(ids, kinds.field(0).type), pa.array(lines, kinds.field(1).type), pa.array(joined, kinds.field(2).type)], names=kinds.names[:3])

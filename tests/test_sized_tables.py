@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from ledgerweave.functions import cleaning
+from ledgerweave.operators import items
 from ledgerweave.plans import catalog, invoice_queries, item_queries, text_queries  # noqa: F401  (registers its queries)
 from pyspark.sql import functions as F
 
@@ -44,3 +45,23 @@ def test_item_tokens_search_labels_in_wide_tokens_only(spark, tables):
     assert found == ["12345678", "12,345,678", "2024", "-01", "-02", "1.23", "45", "1.50", "甲乙丙股份", "é9"]
     plan = catalog.QUERIES["item_tokens"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "octet_length" in plan
+
+
+@pytest.mark.parametrize(("name", "sorts", "scans"), [("keyed_rows", 9, 2), ("carried_orphans", 2, 1), ("header_ranges", 9, 2)])
+def test_item_areas_read_and_sort_little(spark, tables, name, sorts, scans):
+    same_as_sql(spark, tables, name)
+    plan = catalog.QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Sort [") <= sorts and plan.count("FileScan parquet") <= scans
+
+
+def test_orphans_over_small_batches(spark):
+    rows = [(d, i, t) for d in range(3) for i, t in enumerate(["a", "1", "b", "#", "c", "d", "*x", "2", "n", "plain"])] + [(9, 0, "p"), (9, 1, "q"), (None, 0, "3"), (None, 1, "e")]
+    text = F.col("text")
+    lines = spark.createDataFrame(rows, "doc_id long, line int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = items.carried_orphans(lines, text.rlike("[0-9]"), text == "#", text.startswith("*"), text != "plain", 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(d, 1, "a 1 b c d") for d in range(3)} | {(d, 7, "*x 2 n") for d in range(3)} | {(9, 0, "p"), (9, 1, "q"), (None, 0, "3 e")}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
