@@ -161,8 +161,10 @@ def regrouped(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return entries.join(node, "rep", "left").withColumn("comp", F.coalesce("_c", "rep")).drop("_c")
 
 
-def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, component for all linked nodes. ``entries``: rep, n (set size), band; ``texts``: doc_id, text of the reps, no others.
+def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int, apart=lambda pairs: pairs) -> DataFrame:
+    """node, component for all linked nodes. ``entries``: rep, n (set size), band, perhaps w; ``texts``: doc_id, text of the reps, no others.
+
+    Of all pairs (a, b) only those that ``apart`` keeps can be links. With w, the members of a bucket meet its heaviest one first.
 
     1. In every bucket all members meet the smallest one. 2. In buckets that still hold several components, members
     meet the one with most shared shingles, which is nearest to the others. Who has met all others of a bucket leaves it. 3. The members of buckets that even then hold
@@ -171,12 +173,13 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     v shared shingles, sizes n1 and n2 need 100 * m >= percent * (n1 + n2 - m) for m = min(v1, v2).
     """
     with temporary():
-        lead = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("lead"), F.max("rep").alias("hi"))
-        lead = lead.where("lead.rep <> hi").drop("hi")
+        heavy = [(-F.col("w")).alias("light")] if "w" in entries.columns else []
+        lead = entries.groupBy("band").agg(F.min(F.struct(*heavy, "rep", "n")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+        lead = lead.where("lo <> hi").drop("lo", "hi")
         met = durable(entries.join(lead, "band").where(F.col("rep") != F.col("lead.rep")))
         fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
         stars = met.where(fits)
-        links = verified(durable(stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()), texts, k, percent)
+        links = verified(durable(apart(stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())), texts, k, percent)
         labels = durable(components(links))
 
         rest = several(regrouped(met.select("rep", "n", "band"), labels))
@@ -193,12 +196,12 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
         near = live.join(best, "band").where((F.col("comp") != F.col("top.comp")) & reach(F.col("v"), F.col("n"), F.col("top.v"), F.col("top.n")))
         pairs = near.select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).distinct()
         star = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = durable(components(star(labels).unionByName(verified(durable(pairs), texts, k, percent))))
+        labels = durable(components(star(labels).unionByName(verified(durable(apart(pairs)), texts, k, percent))))
 
         rest = live.join(best.select("band", (-F.col("top.minus")).alias("_top")), "band").where("rep <> _top")
         live = several(regrouped(rest.drop("comp", "_top"), labels))
         left = known.join(live.select("rep", "comp").distinct(), "rep")
-        more = verified(durable(residual_pairs(left, percent)), texts, k, percent)
+        more = verified(durable(apart(residual_pairs(left, percent))), texts, k, percent)
         return durable(components(star(labels).unionByName(more)), outer=True)
 
 

@@ -1,18 +1,18 @@
 """Substring dedup: paragraph MinHash banding.
 
 1. Anchors: the smallest shingle hash of any WINDOW neighbouring shingles of a text (winnowing), with the ANCHOR words from its
-place on. Documents none of whose anchors occurs in another document share no run of WINDOW + ANCHOR - 1 = 27 words with any and
+place on. Documents none of whose anchors occurs in another document share no run of WINDOW + ANCHOR - 1 = 20 words with any and
 leave here. 2. The others are cut by content alone. Paragraphs run from every line and sentence start to the first sentence end
-at least MIN_WORDS words later, at most MAX_WORDS. Blocks are the MIN_WORDS words from every anchor's place. Equal units are one
-class. 3. Paragraphs are banded by their first two words with min-max signatures of their five-word shingles, so that neighbours of one
-text, which overlap, do not meet; colliding classes are verified by exact Jaccard similarity and joined to components. A component that reaches over several documents is a repeated passage: its
+at least MIN_WORDS words later, at most MAX_WORDS. Blocks are the MIN_WORDS words from every anchor's place. Those without an anchor that
+another document has leave. Equal units are one class. 3. Paragraphs are banded by min-max signatures of their five-word shingles;
+in a bucket the classes meet the one with most occurrences first. Colliding classes are verified by exact Jaccard similarity and joined to
+components. Paragraphs that overlap in one document are no copies of each other. A component that reaches over several documents is a repeated passage: its
 smallest document keeps it, the others lose it, and overlapping removals of a document merge to spans.
 
-Recall: any WINDOW + MIN_WORDS - 1 = 40 words that two texts share hold a whole block, whatever stands around
+Recall: any WINDOW + MIN_WORDS - 1 = 36 words that two texts share hold a whole block, whatever stands around
 them and with or without punctuation, so that passage is found; blocks begin at most WINDOW words apart and overlap. BANDS bands of
-ROWS rows find a near pair of paragraphs of similarity 0.8 with probability 1 - (1 - 0.8**2)**4 = 0.983, if their first two
-words agree; where these were changed, the paragraph from the next sentence start is met. A near pair without any shared run of
-27 words may have no shared anchor.
+ROWS rows miss a pair of paragraphs of similarity 0.8 with probability (1 - 0.8**4)**16 = 2.2e-4, whatever their first words. A pair of
+similarity 0.8 shares a run of 20 words, as each place where two runs meet costs 8 shingles, unless runs of four words repeat inside it.
 
 Cases: texts without words or with fewer than MIN_WORDS words have no unit; rows that repeat an id and its text are one
 document; an id with several texts is several documents, those after its first text (by hash) ordered behind all others; a null id takes no part; of documents with equal passages the smallest id keeps them, of equal spans in a document all
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,9 @@ from ledgerweave.session import durable, temporary
 
 MIN_WORDS, MAX_WORDS, LONG_SENTENCE = 25, 60, 40
 SHINGLE, PERCENT = 5, 80
-WINDOW, ANCHOR = 16, 12
-BANDS, ROWS = 4, 2
-_BAND_COLUMNS = tuple(f"b{j}" for j in range(BANDS))
+WINDOW, ANCHOR = 12, 9
+BANDS, ROWS = 16, 4
+_FACTS = {"n": F.max, "w": F.sum, "lo": F.min, "hi": F.max, "last": F.max, "first": F.min}
 _WEIGHTS = np.array([3, 5, 7, 11, 13], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
@@ -74,36 +75,38 @@ def _places(words, full: np.ndarray, length: int) -> np.ndarray:
     if len(full) < WINDOW + SHINGLE - 1:
         return np.empty(0, dtype=np.int64)
     row_end = _row_ends(words)
-    low, step = full[: len(full) - SHINGLE + 1], 1
+    low, size = full[: len(full) - SHINGLE + 1], 1
     place = np.arange(len(low))
-    while step < WINDOW:
+    while size < WINDOW:
+        step = min(size, WINDOW - size)
         right = low[step:] <= low[:-step]
         low, place = np.where(right, low[step:], low[:-step]), np.where(right, place[step:], place[:-step])
-        step *= 2
+        size += step
     inside = np.arange(len(place)) + WINDOW + SHINGLE - 1 <= row_end[: len(place)]
     first = np.unique(place[inside])
     return first[first + length <= row_end[first]]
 
 
 def sharing_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text of the documents with an anchor that another document has too."""
+    """doc_id, text, places (words, sorted) of the documents with anchors that another document has too."""
 
     def run(batches):
         for batch in in_pieces(batches, 1):
             words = split_words(batch.column(1))
             full = _shingles(word_hashes(words))
             at = _places(words, full, ANCHOR)
-            key = mix(full[at] + full[at + 4] * _WEIGHTS[1] + full[at + ANCHOR - SHINGLE] * _WEIGHTS[2])
+            key = mix(full[at] + full[at + (ANCHOR - SHINGLE) // 2] * _WEIGHTS[1] + full[at + ANCHOR - SHINGLE] * _WEIGHTS[2])
             row = np.searchsorted(words.offsets, at, side="right") - 1
             ids = np.asarray(batch.column(0))[row] if len(at) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key.view(np.int64))], names=["doc_id", "key"])
+            at = (at - words.offsets[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at), pa.array(key.view(np.int64))], names=["doc_id", "at", "key"])
 
     with temporary():
-        anchors = durable(docs.mapInArrow(run, "doc_id long, key long"))
+        anchors = durable(docs.mapInArrow(run, "doc_id long, at int, key long"))
         again = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key")
         # The keys that repeat are one row each; hashed per task they spare the sort of all anchors.
-        sharing = durable(anchors.join(again.hint("shuffle_hash"), "key", "left_semi").select("doc_id").distinct())
-        return durable(docs.join(sharing, "doc_id", "left_semi"), outer=True)
+        sharing = anchors.join(again.hint("shuffle_hash"), "key", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))
+        return durable(docs.join(durable(sharing), "doc_id"), outer=True)
 
 
 def _distinct(full: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -118,8 +121,27 @@ def _distinct(full: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return np.add.reduceat((before[at] < np.repeat(first, size)).astype(np.int64), begin)
 
 
+def _bands(full: np.ndarray, spans: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """One row of BANDS keys per paragraph; ROWS values of min-max signatures make a key."""
+    values = []
+    for a, b in zip(scale, shift):
+        p = (full * a + b) >> np.uint64(32)
+        values += [np.minimum.reduceat(p, spans)[::2], np.maximum.reduceat(p, spans)[::2]]
+    keys = np.empty((len(spans) // 2, BANDS), dtype=np.int64)
+    for j in range(BANDS):
+        key = np.full(len(keys), (j + 1) * 0xD6E8FEB86659FD93 % 2**64, dtype=np.uint64)
+        for r in range(ROWS):
+            # Every row of a band is the minimum or the maximum of another permutation.
+            key = mix(key ^ (values[(j + r * BANDS) % len(values)] * _WEIGHTS[r % len(_WEIGHTS)]))
+        keys[:, j] = key.view(np.int64)
+    return keys
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """Paragraphs and blocks: doc_id, cs, ce (code points), n (distinct shingles), k1, k2 (content hashes), b0 to b3 (bands, null for a block)."""
+    """Paragraphs and blocks of ``sharing_documents``: doc_id, cs, ce (code points), n (distinct shingles), k1, k2 (content hashes), opening (hash of two words) and bands (both null for a block).
+
+    Without the column ``places`` all paragraphs and blocks, else those with a shared anchor: equal or near ones share one.
+    """
 
     def run(batches):
         scale, shift = permutations(BANDS * ROWS // 2, seed=8)
@@ -131,44 +153,49 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             if len(h) >= MIN_WORDS:
                 full = np.append(_shingles(h), np.uint64(0))
                 first, last, opening = _cuts(words, h)
-                n_paragraphs = len(first)
                 blocks = _places(words, full[:-1], MIN_WORDS)
+                if pruned:
+                    places = batch.column(2)
+                    shared = np.asarray(places.flatten()) + np.repeat(words.offsets[:-1], np.asarray(pc.list_value_length(places)))
+                    upto = np.append(0, np.cumsum(np.bincount(shared, minlength=len(h))))
+                    # A paragraph holds a whole anchor from one of its words on.
+                    some = upto[last - ANCHOR + 1] > upto[first]
+                    first, last, opening = first[some], last[some], opening[some]
+                    blocks = blocks[upto[blocks + 1] > upto[blocks]]
+                n_paragraphs = len(first)
                 # A paragraph of the same words stands for its block.
                 blocks = blocks[~np.isin(blocks, first[last - first == MIN_WORDS])]
                 first, last = np.append(first, blocks), np.append(last, blocks + MIN_WORDS)
             row = np.searchsorted(words.offsets, first, side="right") - 1
             out = {"doc_id": pa.array(np.asarray(batch.column(0))[row] if len(first) else [], pa.int64())}
+            bands = opens = np.empty(0, np.int64)
             if len(first):
+                opens = np.append(opening, np.zeros(len(first) - n_paragraphs, np.uint64)).view(np.int64)
                 spans = np.column_stack([first, last - SHINGLE + 1]).ravel()
                 near = spans[: 2 * n_paragraphs]
-                values = []
-                for a, b in zip(scale, shift):
-                    p = (full * a + b) >> np.uint64(32)
-                    values += [np.minimum.reduceat(p, near)[::2], np.maximum.reduceat(p, near)[::2]] if n_paragraphs else [p[:0], p[:0]]
                 k1 = mix(np.add.reduceat(full, spans)[::2])
                 k2 = np.add.reduceat(mix(full + np.uint64(1)), spans)[::2]
                 n = _distinct(full, first, last - SHINGLE + 1)
-                bands = []
-                for j in range(BANDS):
-                    # The minimum of one permutation and the maximum of the next.
-                    key = mix(opening ^ values[2 * (j // 2) + j % 2] + np.uint64((j + 1) * 0xD6E8FEB86659FD93 % 2**64))
-                    bands.append(mix(key ^ values[(2 * (j // 2) + 3 - j % 2) % (BANDS * ROWS)]).view(np.int64))
+                if n_paragraphs:
+                    bands = _bands(full, near, scale, shift).ravel()
             else:
                 k1 = k2 = n = np.empty(0, np.uint64)
-                bands = [np.empty(0, np.int64)] * BANDS
-            for j in range(BANDS):
-                out[f"b{j}"] = pa.array(np.append(bands[j], np.zeros(len(first) - n_paragraphs, np.int64)), mask=np.arange(len(first)) >= n_paragraphs)
+            begin = np.minimum(np.arange(len(first) + 1), n_paragraphs).astype(np.int32) * BANDS
+            lists = pa.ListArray.from_arrays(pa.array(begin, mask=np.append(np.arange(len(first)) >= n_paragraphs, False)), pa.array(bands, pa.int64()))
             out |= {
                 "cs": pa.array(words.begin[first], pa.int32()),
                 "ce": pa.array(words.end[last - 1] if len(first) else [], pa.int32()),
                 "n": pa.array(n.astype(np.int32)),
                 "k1": pa.array(k1.view(np.int64)),
                 "k2": pa.array((k2 >> np.uint64(33)).astype(np.int32)),
+                "opening": pa.array(opens, mask=np.arange(len(first)) >= n_paragraphs),
+                "bands": lists,
             }
             yield pa.RecordBatch.from_pydict({c: out[c] for c in names})
 
-    names = ("doc_id", "cs", "ce", "n", "k1", "k2", *_BAND_COLUMNS)
-    return docs.mapInArrow(run, "doc_id long, cs int, ce int, n int, k1 long, k2 int, " + ", ".join(f"{b} long" for b in _BAND_COLUMNS))
+    pruned = "places" in docs.columns
+    names = ("doc_id", "cs", "ce", "n", "k1", "k2", "opening", "bands")
+    return docs.mapInArrow(run, "doc_id long, cs int, ce int, n int, k1 long, k2 int, opening long, bands array<long>")
 
 
 def several_texts(docs: DataFrame) -> DataFrame | None:
@@ -205,45 +232,68 @@ def by_ids(rows: DataFrame, keys: DataFrame | None, *columns: str) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """One row per unit of a component that several documents share: doc_id, cs, ce, cluster, keeper, removed.
+    """One row per unit of a component that several documents share: doc_id, cs, ce, cluster, keeper, removed, own (its first words are of no other unit).
 
     Ids stand for keys where ``keys`` has some (see ``several_texts``).
     """
     with temporary():
         docs = sharing_documents(keyed(docs, keys).select(F.col("key").alias("doc_id"), "text"))
         units = durable(paragraphs(docs), outer=True)
-        classes = units.groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("n").alias("n"), *[F.max(b).alias(b) for b in _BAND_COLUMNS]
-        )
-        classes = durable(classes.where("b0 is not null or lo <> hi"))
-        labels = near_classes(docs, units, classes)
+        facts = [f(c).alias(c) for c, f in _FACTS.items()]
+        at = F.min(F.when(F.col("bands").isNotNull(), F.struct("doc_id", "cs", "ce"))).alias("at")
+        seen = units.select("*", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), F.col("cs").alias("last"), F.col("ce").alias("first"), F.lit(1).alias("w"))
+        classes = seen.groupBy("k1", "k2").agg(*facts, at, F.max("opening").alias("opening"), F.first("bands", True).alias("bands"))
+        classes = durable(classes.where("at is not null or lo <> hi"))
+        labels = near_classes(docs, classes)
         classes = classes.join(labels, F.col("k1") == F.col("node"), "left").where("node is not null or lo <> hi")
-        classes = durable(classes.select("k1", "k2", F.coalesce("component", "k1").alias("cluster"), "lo", "hi"))
+        classes = durable(classes.select("k1", "k2", F.coalesce("component", "k1").alias("cluster"), "opening", "lo", "hi"))
         spread = classes.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).where("keeper <> last").drop("last")
-        shared = durable(classes.join(spread, "cluster").select("k1", "k2", "cluster", "keeper"), outer=True)
+        # A paragraph of one document whose opening no other one of its component has begins in words of its own.
+        alone = classes.where("opening is not null").groupBy("cluster", "opening").agg(F.max("k1").alias("k1"), F.max("k2").alias("k2"), F.count(F.lit(1)).alias("c"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        alone = alone.where("c = 1 and lo = hi").select("k1", "k2", F.lit(True).alias("own"))
+        shared = classes.join(spread, "cluster").join(alone, ["k1", "k2"], "left")
+        shared = durable(shared.select("k1", "k2", "cluster", "keeper", F.coalesce("own", F.lit(False)).alias("own")), outer=True)
     hit = units.select("doc_id", "cs", "ce", "k1", "k2").join(shared.hint("shuffle_hash"), ["k1", "k2"])
-    return hit.select("doc_id", "cs", "ce", "cluster", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    return hit.select("doc_id", "cs", "ce", "cluster", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"), "own")
 
 
-def near_classes(docs: DataFrame, units: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, component of the classes of paragraphs (k1) that near copies link."""
+def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, component of the classes of paragraphs (k1) that near copies link.
+
+    Paragraphs that overlap in one document are no copies of each other.
+    """
+
+    def apart(pairs):
+        side = lambda x: facts.select(F.col("rep").alias(x), F.struct("lo", "hi", "last", "first").alias(f"_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        within = (F.col("_a.lo") == F.col("_b.hi")) & (F.col("_a.hi") == F.col("_b.lo"))
+        return both.where(~within | (F.col("_a.last") >= F.col("_b.first")) | (F.col("_b.last") >= F.col("_a.first"))).select("a", "b")
+
     with temporary():
+        near = classes.where("at is not null").withColumnRenamed("k1", "rep")
         # One shuffle by band serves both the search for mixed buckets and the look at their members.
-        banded = F.explode(F.array(*_BAND_COLUMNS)).alias("band")
-        entries = classes.where("b0 is not null").select(F.col("k1").alias("rep"), "n", banded).repartition("band")
-        mixed = entries.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("n").alias("most")).where("lo <> hi and most > 0")
-        close = durable(entries.join(mixed.hint("shuffle_hash"), "band").groupBy("band", "rep").agg(F.max("n").alias("n")))
+        entries = near.select("rep", *_FACTS, F.explode("bands").alias("band")).repartition("band")
+        mixed = entries.groupBy("band").agg(*[f(c).alias(f"_{c}") for c, f in _FACTS.items()], F.min("rep").alias("_least"), F.max("rep").alias("_most"))
+        mixed = mixed.where("_least <> _most and _n > 0 and (_lo <> _hi or _last >= _first)").select("band")
+        close = durable(entries.select("rep", "n", "w", "band").join(mixed.hint("shuffle_hash"), "band").groupBy("band", "rep").agg(F.max("n").alias("n"), F.max("w").alias("w")))
 
         # One occurrence of every class that collides stands for its text.
-        needed = close.select(F.col("rep").alias("k1")).distinct()
-        at = units.where("b0 is not null").join(needed, "k1", "left_semi").groupBy("k1").agg(F.min(F.struct("doc_id", "cs", "ce")).alias("at"))
-        texts = at.select("k1", "at.*").join(docs, "doc_id").select(F.col("k1").alias("doc_id"), F.expr("substring(text, cs + 1, ce - cs)").alias("text"))
+        needed = close.select("rep").distinct()
+        near = near.join(needed, "rep", "left_semi")
+        facts = durable(near.groupBy("rep").agg(*[f(c).alias(c) for c, f in _FACTS.items()]))
+        texts = near.select("rep", "at.*").join(docs, "doc_id").select(F.col("rep").alias("doc_id"), F.expr("substring(text, cs + 1, ce - cs)").alias("text"))
         texts = durable(texts.dropDuplicates(["doc_id"]))
-        return durable(linked(close, texts, SHINGLE, PERCENT), outer=True)
+        return durable(linked(close, texts, SHINGLE, PERCENT, apart), outer=True)
 
 
 def merged_spans(hits: DataFrame) -> DataFrame:
-    """Per document: n_paragraphs, and its removals merged to spans (array of begin, end); linear in its hits."""
+    """Per document: n_paragraphs, and its removals merged to spans (array of begin, end); linear in its hits.
+
+    A paragraph that begins in words of its own is removed from where another one begins inside it.
+    """
+    backwards = Window.partitionBy("doc_id").orderBy(F.desc("cs"))
+    hits = hits.withColumn("_next", F.min(F.when(~F.col("own"), F.col("cs"))).over(backwards))
+    hits = hits.withColumn("cs", F.when(F.col("own") & (F.col("_next") < F.col("ce")), F.col("_next")).otherwise(F.col("cs"))).drop("_next")
     ordered = Window.partitionBy("doc_id").orderBy("cs", "ce")
     upto = ordered.rowsBetween(Window.unboundedPreceding, -1)
     gone = F.when(F.col("removed"), F.col("ce"))
