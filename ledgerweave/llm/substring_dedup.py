@@ -11,7 +11,7 @@ smallest document keeps it, the others lose it, and overlapping removals of a do
 
 Recall: any WINDOW + MIN_WORDS - 1 = 36 words that two texts share hold a whole block, whatever stands around
 them and with or without punctuation, so that passage is found; blocks begin at most WINDOW words apart and overlap. BANDS bands of
-ROWS rows miss a pair of paragraphs of similarity 0.8 with probability (1 - 0.8**4)**16 = 2.2e-4, whatever their first words. A pair of
+ROWS rows miss a pair of paragraphs of similarity 0.8 with probability (1 - 0.8**2)**8 = 2.8e-4, whatever their first words. A pair of
 similarity 0.8 shares a run of 20 words, as each place where two runs meet costs 8 shingles, unless runs of four words repeat inside it.
 
 Cases: texts without words or with fewer than MIN_WORDS words have no unit; rows that repeat an id and its text are one
@@ -35,7 +35,7 @@ from ledgerweave.session import durable, temporary
 MIN_WORDS, MAX_WORDS, LONG_SENTENCE = 25, 60, 40
 SHINGLE, PERCENT = 5, 80
 WINDOW, ANCHOR = 12, 9
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 8, 2
 _FACTS = {"n": F.max, "w": F.sum, "lo": F.min, "hi": F.max, "last": F.max, "first": F.min}
 _WEIGHTS = np.array([3, 5, 7, 11, 13], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
@@ -271,11 +271,14 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     with temporary():
         near = classes.where("at is not null").withColumnRenamed("k1", "rep")
-        # One shuffle by band serves both the search for mixed buckets and the look at their members.
-        entries = near.select("rep", *_FACTS, F.explode("bands").alias("band")).repartition("band")
-        mixed = entries.groupBy("band").agg(*[f(c).alias(f"_{c}") for c, f in _FACTS.items()], F.min("rep").alias("_least"), F.max("rep").alias("_most"))
-        mixed = mixed.where("_least <> _most and _n > 0 and (_lo <> _hi or _last >= _first)").select("band")
-        close = durable(entries.select("rep", "n", "w", "band").join(mixed.hint("shuffle_hash"), "band").groupBy("band", "rep").agg(F.max("n").alias("n"), F.max("w").alias("w")))
+        # One shuffle by band serves both the search for mixed buckets and the look at their members; rows have a document only if it is their one.
+        only = F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")
+        entries = near.select("rep", only, "last", "first", F.explode("bands").alias("band")).repartition("band")
+        spread = F.max(F.col("only").isNull()) | (F.min("only") < F.max("only")) | (F.max("last") >= F.min("first"))
+        mixed = entries.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), spread.alias("spread"))
+        mixed = mixed.where("least <> most and spread").select("band")
+        close = entries.select("rep", "band").join(mixed.hint("shuffle_hash"), "band").join(near.select("rep", "n", "w"), "rep")
+        close = durable(close.groupBy("band", "rep").agg(F.max("n").alias("n"), F.max("w").alias("w")))
 
         # One occurrence of every class that collides stands for its text.
         needed = close.select("rep").distinct()
