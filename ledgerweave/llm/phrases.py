@@ -1,7 +1,9 @@
 """Phrase collocation mining by contiguous pattern growth over projected occurrences.
 
-1. Words are counted per language. 2. Neighbouring frequent words are counted as pairs, then runs of three whose pairs are
-frequent; filters of a fixed number of bits keep the frequent ones. 3. Every place where a frequent pair begins is an occurrence pointer; it is projected as the window of
+1. Words are counted per language. 2. Neighbouring frequent words are counted as pairs, then frequent pairs with any frequent word
+behind them as runs of three. A pair is told by its two words' keys, which no other word has, so its count is exact and its text comes from
+the table of words; no task sends the texts of its pairs. Filters of a fixed number of bits keep the frequent runs.
+3. Every place where such a run begins is an occurrence pointer; it is projected as the window of
 the words that follow it, up to ``longest``, cut where a run of three isn't frequent. Equal windows of a task are summed. 4. The windows of
 one first word are the projected occurrences of that prefix and go to one task. There they stream in sorted order, in which
 all occurrences of a pattern are neighbours and which is the depth-first order of the tree of its extensions to the right, so the
@@ -9,7 +11,7 @@ task grows patterns with one open count per length, whatever the number of occur
 phrase its scores; phrases inside a longer one with the same share of occurrences leave.
 
 The filters drop only words and runs below ``least``; what they let through by mistake is counted and found too rare later, so
-the result is exact. A prefix with over 1 / HOT of all words (HOT of them at most) is split by its windows into SALTS tasks whose
+the result is exact. Words are keyed anew while a frequent one shares its key. A prefix with over 1 / HOT of all words (HOT of them at most) is split by its windows into SALTS tasks whose
 counts are summed afterwards. What goes to every task is three filters of ``filter_bits`` bits and at most HOT keys.
 
 Cases: a null text is empty; a null language is ``und``; equal scores rank by count, then by the phrase's UTF-8 bytes; of cuts
@@ -77,23 +79,23 @@ def piece_words(texts: pa.Array) -> PieceWords:
     return PieceWords(np.asarray(coded.indices).astype(np.int64), coded.dictionary.cast(pa.large_string()), row, follows)
 
 
-def _hashes(values: pa.Array) -> np.ndarray:
-    """A 64-bit number of every string, from its bytes and their places; numbers prune and deal out, they never tell words apart."""
+def _hashes(values: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit number of every string, from its bytes and their places; another one for another seed."""
     values = values.cast(pa.large_binary())
     at = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
     if not len(values) or at[0] == at[-1]:
         return np.zeros(len(values), dtype=np.uint64)
     data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[at[0] : at[-1]]
     place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], np.diff(at))
-    each = np.append(mix(_BYTES[data] + place.astype(np.uint64) * _A), np.uint64(0))
+    each = np.append(mix(_BYTES[data] + place.astype(np.uint64) * _A + np.uint64(seed)), np.uint64(0))
     return mix(np.where(np.diff(at) > 0, np.add.reduceat(each, at[:-1] - at[0]), np.uint64(0)) + np.diff(at).astype(np.uint64) * _C)
 
 
-def _keyed(words: PieceWords, langs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _keyed(words: PieceWords, langs: pa.Array, seed: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The languages of a batch, the language number of every word, and a 64-bit key of its language and word."""
     coded = langs.cast(pa.string()).fill_null("und").dictionary_encode()
     lang = np.asarray(coded.indices).astype(np.int64)[words.row]
-    return coded.dictionary, lang, mix(_hashes(words.dictionary)[words.ids] * _A + _hashes(coded.dictionary)[lang] * _B)
+    return coded.dictionary, lang, mix(_hashes(words.dictionary, seed)[words.ids] * _A + _hashes(coded.dictionary, seed)[lang] * _B)
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -104,8 +106,12 @@ def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _A + b * _C)
+
+
 def filter_of(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of ``bits`` bits (a power of two) over the column ``key``: two bits per key, summed on Spark.
+    """A Bloom filter of ``bits`` bits (a power of two) over the column ``key``, or over pairs of keys a and b: two bits per key, summed on Spark.
 
     At most bits / 64 rows come to the driver, however many keys there are.
     """
@@ -114,24 +120,26 @@ def filter_of(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         mask = np.uint64(bits - 1)
         for batch in batches:
             k = np.asarray(batch.column(0)).view(np.uint64)
+            if batch.num_columns > 1:
+                k = _joined(k, np.asarray(batch.column(1)).view(np.uint64))
             place = np.unique(np.concatenate([k & mask, (k >> np.uint64(32)) * _C >> np.uint64(20) & mask]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array((place >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], names=["w", "b"]
             )
 
-    found = keys.select("key").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    found = keys.mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits // 64, dtype=np.uint64)
     out[np.asarray(found["w"])] = np.asarray(found["b"]).view(np.uint64)
     return out
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(texts: DataFrame, seed: int = 0) -> DataFrame:
     """lang, word, key, n: occurrences of every word; ``texts``: text, lang."""
 
     def run(batches):
         for batch in in_pieces(batches, 0):
             words = piece_words(batch.column(0))
-            langs, lang, keys = _keyed(words, batch.column(1))
+            langs, lang, keys = _keyed(words, batch.column(1), seed)
             both, first, n = np.unique(lang * max(len(words.dictionary), 1) + words.ids, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [langs.take(lang[first]), words.dictionary.take(words.ids[first]).cast(pa.string()), pa.array(keys[first].view(np.int64)), pa.array(n)],
@@ -142,24 +150,63 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.max("key").alias("key"), F.sum("n").alias("n"))
 
 
-def _runs(words: PieceWords, keys: np.ndarray, filters: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Whether a run of 1, 2, ... words begins at a word and passes its filter, and the keys of the runs of one word more whose parts pass."""
-    passed = [_passes(filters[0], keys)]
-    for known in [*filters[1:], None]:
-        ok = passed[-1]
-        at = np.flatnonzero(ok[1:] & ok[:-1] & words.follows[1:])
-        made = mix(keys[at] * _A + keys[at + 1] * _C)
-        if known is None:
-            return passed, made
-        keys = np.zeros(len(keys), dtype=np.uint64)
-        keys[at] = made
-        now = np.zeros(len(keys), dtype=bool)
-        now[at[_passes(known, made)]] = True
-        passed.append(now)
+def clash(counted: DataFrame, least: int) -> bool:
+    """Whether a word of ``word_counts`` that occurs ``least`` times shares its key."""
+    same = counted.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    return not same.where((F.col("c") > 1) & (F.col("n") >= least)).isEmpty()
+
 
+def _runs(words: PieceWords, keys: np.ndarray, known: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where two and three neighbouring words begin that pass the filter ``known``, the three with a pair that passes ``pairs``, and the keys of the three."""
+    ok = _passes(known, keys)
+    two = np.zeros(len(keys), dtype=bool)
+    two[:-1] = ok[:-1] & ok[1:] & words.follows[1:]
+    at = np.flatnonzero(two)
+    three = at[two[at + 1]]
+    joined = _joined(keys[three], keys[three + 1])
+    if pairs is not None:
+        some = _passes(pairs, joined)
+        three, joined = three[some], joined[some]
+    return at, three, mix(joined * _B + keys[three + 2])
 
-def run_counts(texts: DataFrame, filters: list) -> DataFrame:
-    """key, n: runs of one word more than ``filters`` (broadcasts, by the length of the runs) whose parts pass them."""
+
+def pair_counts(texts: DataFrame, known, seed: int) -> DataFrame:
+    """a, b, n: pairs of words that pass the filter ``known`` (a broadcast) by their keys."""
+
+    def summed(parts):
+        a, b, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        salt = (b[first] % np.uint64(SALTS // 4)).astype(np.int32)
+        columns = [pa.array(a[first].view(np.int64)), pa.array(salt), pa.array(b[first].view(np.int64)), pa.array(np.add.reduceat(n[order], first))]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "salt", "b", "n"])
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in in_pieces(batches, 0):
+            words = piece_words(batch.column(0))
+            _, lang, keys = _keyed(words, batch.column(1), seed)
+            at = _runs(words, keys, known.value)[0]
+            width = max(len(words.dictionary), 1)
+            _, first, n = np.unique((lang[at] * width + words.ids[at]) * width + words.ids[at + 1], return_index=True, return_counts=True)
+            at = at[first]
+            if len(at):
+                parts.append((keys[at], keys[at + 1], n))
+                size += len(at)
+            if size >= 2 * FLUSH:
+                yield summed(parts)
+                parts, size = [], 0
+        if size:
+            yield summed(parts)
+
+    # Rows are summed in their task already; a sum before the shuffle would only spill. Neighbours with one first word stay so in a share of it and take less disk.
+    found = texts.mapInArrow(run, "a long, salt int, b long, n long").repartition("a", "salt")
+    return found.groupBy("a", "salt", "b").agg(F.sum("n").alias("n")).drop("salt")
+
+
+def run_counts(texts: DataFrame, known, pairs, seed: int) -> DataFrame:
+    """key, n: runs of three words that pass the filter ``known`` and begin with a pair that passes ``pairs`` (broadcasts)."""
 
     def summed(parts):
         keys, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -169,7 +216,7 @@ def run_counts(texts: DataFrame, filters: list) -> DataFrame:
         parts, size = [], 0
         for batch in in_pieces(batches, 0):
             words = piece_words(batch.column(0))
-            parts.append(_runs(words, _keyed(words, batch.column(1))[2], [f.value for f in filters])[1])
+            parts.append(_runs(words, _keyed(words, batch.column(1), seed)[2], known.value, pairs.value)[2])
             size += len(parts[-1])
             if size >= 2 * FLUSH:
                 yield summed(parts)
@@ -180,14 +227,23 @@ def run_counts(texts: DataFrame, filters: list) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def windows(texts: DataFrame, filters: list, hot, longest: int) -> DataFrame:
+def pair_phrases(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """lang, phrase, k, a of ``pairs`` (a, b, n); ``words``: lang, phrase, key."""
+    left = words.select("lang", F.col("phrase").alias("_left"), F.col("key").alias("a"))
+    right = words.select(F.col("phrase").alias("_right"), F.col("key").alias("b"))
+    return pairs.join(left, "a").join(right, "b").select("lang", F.concat_ws(" ", "_left", "_right").alias("phrase"), F.lit(2).alias("k"), F.col("n").alias("a"))
+
+
+def windows(texts: DataFrame, known, threes, hot, seed: int, longest: int) -> DataFrame:
     """lang, first, salt, window, n: the projected occurrences, equal ones of a task summed; every word of a window ends with a space."""
 
     def batch_windows(batch) -> pa.Table:
         words = piece_words(batch.column(0))
-        langs, lang, keys = _keyed(words, batch.column(1))
-        passed = [np.append(x, np.zeros(longest, dtype=bool)) for x in _runs(words, keys, [f.value for f in filters])[0]]
-        at = np.flatnonzero(passed[1])
+        langs, lang, keys = _keyed(words, batch.column(1), seed)
+        _, at, made = _runs(words, keys, known.value)
+        at = at[_passes(threes.value, made)]
+        passed = np.zeros(len(keys) + longest, dtype=bool)
+        passed[at] = True
         size = max(len(words.dictionary), 1) + 1
         grid = np.full((longest, len(at)), -1, dtype=np.int64)
         grid[0] = words.ids[at]
@@ -195,9 +251,8 @@ def windows(texts: DataFrame, filters: list, hot, longest: int) -> DataFrame:
         # A window's number: its language and words, one word a step.
         number = lang[at] * size + grid[0]
         for k in range(1, longest):
-            # A window goes on to a word while the longest known run that ends there passes.
-            run = min(k, len(passed) - 1)
-            goes = goes & passed[run][at + k - run]
+            # A window goes on to a word while the run of three that ends there passes.
+            goes = goes & passed[at + max(k - 2, 0)]
             grid[k][goes] = words.ids[at[goes] + k]
             number = np.unique(number, return_inverse=True)[1] * size + grid[k] + 1
         _, first, n = np.unique(number, return_index=True, return_counts=True)
@@ -205,7 +260,7 @@ def windows(texts: DataFrame, filters: list, hot, longest: int) -> DataFrame:
         text = [words.dictionary.take(pa.array(g, mask=g < 0)) for g in grid]
         empty, blank = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
         window = pc.binary_join_element_wise(*text, empty, blank, null_handling="skip")
-        salt = np.where(np.isin(keys[at[first]], hot.value), _mixed(grid, np.append(_hashes(words.dictionary), np.uint64(0))) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+        salt = np.where(np.isin(keys[at[first]], hot.value), _mixed(grid, np.append(_hashes(words.dictionary, seed), np.uint64(0))) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
         return pa.table({
             "lang": langs.take(lang[at[first]]), "first": text[0].cast(pa.string()), "salt": pa.array(salt.astype(np.int32)),
             "window": window.cast(pa.string()), "n": pa.array(n.astype(np.int64)),
@@ -237,7 +292,7 @@ def windows(texts: DataFrame, filters: list, hot, longest: int) -> DataFrame:
 
 
 class Growth:
-    """Patterns of one stream of sorted windows: an open count per length, closed when the pattern changes."""
+    """Patterns of three words and more of one stream of sorted windows: an open count per length, closed when the pattern changes."""
 
     def __init__(self, least: int, longest: int):
         self.least, self.longest = least, longest
@@ -252,7 +307,7 @@ class Growth:
             self.out.append((now[0], " ".join(words), n))
 
     def close(self) -> None:
-        for k in range(2, len(self.words) + 1):
+        for k in range(3, len(self.words) + 1):
             self._emit(self.now, self.words[:k], self.counts[k])
         self.words = []
 
@@ -275,7 +330,7 @@ class Growth:
             word = codes[at]
             before = bool(len(self.words) >= k and sizes[0] >= k and self.words[k - 1] == lists[0][k - 1])
             new |= np.append(not before, word[1:] != word[:-1])
-            if k == 1:
+            if k < 3:
                 continue
             # Sums of runs of one pattern; the first run may go on from the batch before, the last one stays open.
             heads = np.flatnonzero(new)
@@ -302,7 +357,7 @@ class Growth:
 
 
 def phrase_counts(projected: DataFrame, least: int, longest: int) -> DataFrame:
-    """lang, phrase, k (its words), a (its occurrences): all phrases of 2 to ``longest`` words that occur ``least`` times."""
+    """lang, phrase, k (its words), a (its occurrences): all phrases of 3 to ``longest`` words that occur ``least`` times."""
 
     def run(batches):
         growth = Growth(least, longest)
@@ -367,17 +422,24 @@ def mine_phrases(
     share = spark.sparkContext.broadcast
     texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     with temporary():
-        counted = durable(word_counts(texts))
+        seed, counted = 0, durable(word_counts(texts))
+        while clash(counted, least):
+            seed += 1
+            counted = durable(word_counts(texts, seed))
         totals = durable(counted.groupBy("lang").agg(F.sum("n").alias("n")), outer=True)
         words = durable(counted.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"), "key"), outer=True)
         total = totals.agg(F.sum("n")).first()[0] or 0
         hot = words.where(F.col("a") * HOT > total).select("key").toArrow()["key"]
         hot = share(np.asarray(hot).view(np.uint64))
-        filters = [share(filter_of(words, filter_bits))]
-        while len(filters) < min(3, longest):
-            runs = durable(run_counts(texts, filters).where(F.col("n") >= least).select("key"))
-            filters.append(share(filter_of(runs, filter_bits)))
-        phrases = durable(phrase_counts(windows(texts, filters, hot, longest), least, longest), outer=True)
+        known = share(filter_of(words.select("key"), filter_bits))
+        pairs = durable(pair_counts(texts, known, seed).where(F.col("n") >= least))
+        phrases = pair_phrases(pairs, words)
+        if longest > 2:
+            often = share(filter_of(pairs.select("a", "b"), filter_bits))
+            runs = durable(run_counts(texts, known, often, seed).where(F.col("n") >= least).select("key"))
+            threes = share(filter_of(runs, filter_bits))
+            phrases = phrases.unionByName(phrase_counts(windows(texts, known, threes, hot, seed, longest), least, longest))
+        phrases = durable(phrases, outer=True)
     parts = words.select("lang", "phrase", "a").unionByName(phrases.select("lang", "phrase", "a"))
     best = ranked(scored(closed(phrases, percent), parts, totals), top)
     return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

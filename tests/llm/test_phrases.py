@@ -83,3 +83,27 @@ def test_share_of_the_longer_phrase(spark):
 
 def test_empty_table(spark):
     assert mined(spark, []) == []
+
+
+def test_pairs_send_no_windows(spark, monkeypatch):
+    """Pairs are told by their words' keys; a window holds a run of three at least, so pairs that become frequent in more text make none."""
+    rng = random.Random(51)
+    rows = [(" ".join(rng.choice("abcdefghijkl") for _ in range(100)) + ". new york city.", "en") for _ in range(100)]
+    made, windows = [], phrases.windows
+
+    def counted(*args):
+        made.append(windows(*args).cache())
+        return made[-1]
+
+    monkeypatch.setattr(phrases, "windows", counted)
+    got = mined(spark, rows, least=60)
+    assert got == brute(rows, 60, 5, 2000) and len([r for r in got if r[2].count(" ") == 1]) > 50
+    assert {r.window for r in made[0].collect()} == {"new york city "}
+
+
+def test_words_with_one_key_are_keyed_anew(spark, monkeypatch):
+    """With the first seed all words of a language have one key."""
+    real = phrases._hashes
+    monkeypatch.setattr(phrases, "_hashes", lambda values, seed: real(values, seed) if seed else real(values, 0) * 0)
+    rows = some_rows(3)
+    assert mined(spark, rows, least=3) == brute(rows, 3, 5, 2000)
