@@ -33,6 +33,8 @@ from ledgerweave.session import durable, temporary
 
 BANDS, ROWS = 32, 4
 PAIRS = 256
+#: Buckets of at most so many members are settled pair by pair where members have marks.
+SMALL = 32
 TAG = np.uint64(0xA0761D6478BD642F)
 
 
@@ -149,10 +151,28 @@ def residual_pairs(live: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (x["s"] == y["s"]) & meet).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
-def several(entries: DataFrame) -> DataFrame:
-    """Entries of the buckets whose members lie in more than one component."""
-    bands = entries.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    return durable(entries.join(bands, "band", "left_semi"))
+def several(entries: DataFrame, outer: bool = False) -> DataFrame:
+    """Entries of the buckets whose members lie in more than one component, with the number of ``members``."""
+    bands = entries.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+    return durable(entries.drop("members").join(bands.where("lo <> hi").select("band", "members"), "band"), outer)
+
+
+def within_marks(x, y, percent: int):
+    """Whether the sets of ``x`` and ``y`` (functions from n, m0, m1 to columns) may reach the threshold by their sizes and marks.
+
+    The marks of a set are the cells that its shingles fall into. A cell of one set only holds a shingle of that set only, so the sets
+    differ in d shingles at least, d being the cells in which the marks differ; a link needs (100 - percent) * (n1 + n2) >= (100 + percent) * d.
+    """
+    d = F.bit_count(x("m0").bitwiseXOR(y("m0"))) + F.bit_count(x("m1").bitwiseXOR(y("m1")))
+    return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & ((100 - percent) * (x("n") + y("n")) >= (100 + percent) * d)
+
+
+def bucket_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of different components in one bucket that may reach the threshold by sizes and marks."""
+    side = lambda i: entries.select("band", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "n", "m0", "m1", "comp")])
+    may = within_marks(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"), percent)
+    x, y = side(1), side(2)
+    return x.join(y, (x["band"] == y["band"]) & (F.col("rep1") < F.col("rep2")) & (F.col("comp1") != F.col("comp2")) & may).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
 def regrouped(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,6 +185,8 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int, apart=lam
     """node, component for all linked nodes. ``entries``: rep, n (set size), band, perhaps w; ``texts``: doc_id, text of the reps, no others.
 
     Of all pairs (a, b) only those that ``apart`` keeps can be links. With w, the members of a bucket meet its heaviest one first.
+    With m0 and m1 (see ``within_marks``), pairs that their marks keep from the threshold are not looked up, and after step 1 the buckets
+    of at most SMALL members are settled by all their other pairs; the larger ones go on to steps 2 and 3.
 
     1. In every bucket all members meet the smallest one. 2. In buckets that still hold several components, members
     meet the one with most shared shingles, which is nearest to the others. Who has met all others of a bucket leaves it. 3. The members of buckets that even then hold
@@ -174,15 +196,25 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int, apart=lam
     """
     with temporary():
         heavy = [(-F.col("w")).alias("light")] if "w" in entries.columns else []
-        lead = entries.groupBy("band").agg(F.min(F.struct(*heavy, "rep", "n")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+        marks = [c for c in ("m0", "m1") if c in entries.columns]
+        lead = entries.groupBy("band").agg(F.min(F.struct(*heavy, "rep", "n", *marks)).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
         lead = lead.where("lo <> hi").drop("lo", "hi")
-        met = durable(entries.join(lead, "band").where(F.col("rep") != F.col("lead.rep")))
-        fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-        stars = met.where(fits)
-        links = verified(durable(apart(stars.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())), texts, k, percent)
-        labels = durable(components(links))
-
-        rest = several(regrouped(met.select("rep", "n", "band"), labels))
+        star = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if marks:
+            fits = within_marks(F.col, lambda c: F.col(f"lead.{c}"), percent)
+        else:
+            fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+        with temporary():
+            met = durable(entries.join(lead, "band").where(F.col("rep") != F.col("lead.rep")))
+            stars = met.where(fits).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
+            labels = durable(components(verified(durable(apart(stars)), texts, k, percent)), outer=True)
+            rest = several(regrouped(met.select("rep", "n", *marks, "band"), labels), outer=True)
+        if marks:
+            pairs = bucket_pairs(rest.where(F.col("members") <= SMALL), percent)
+            labels = durable(components(star(labels).unionByName(verified(durable(apart(pairs)), texts, k, percent))), outer=True)
+            rest = several(regrouped(rest.where(F.col("members") > SMALL).drop("comp", *marks), labels))
+            if rest.isEmpty():
+                return labels
         texts = durable(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
         known = durable(
             common_shingles(rest.select("rep").distinct(), texts, k)
@@ -195,7 +227,6 @@ def linked(entries: DataFrame, texts: DataFrame, k: int, percent: int, apart=lam
         reach = lambda v1, n1, v2, n2: F.least(v1, v2) * 100 >= percent * (n1 + n2 - F.least(v1, v2))
         near = live.join(best, "band").where((F.col("comp") != F.col("top.comp")) & reach(F.col("v"), F.col("n"), F.col("top.v"), F.col("top.n")))
         pairs = near.select((-F.col("top.minus")).alias("a"), F.col("rep").alias("b")).distinct()
-        star = lambda x: x.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = durable(components(star(labels).unionByName(verified(durable(apart(pairs)), texts, k, percent))))
 
         rest = live.join(best.select("band", (-F.col("top.minus")).alias("_top")), "band").where("rep <> _top")

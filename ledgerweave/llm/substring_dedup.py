@@ -5,7 +5,8 @@ place on. Documents none of whose anchors occurs in another document share no ru
 leave here. 2. The others are cut by content alone. Paragraphs run from every line and sentence start to the first sentence end
 at least MIN_WORDS words later, at most MAX_WORDS. Blocks are the MIN_WORDS words from every anchor's place. Those without an anchor that
 another document has leave. Equal units are one class. 3. Paragraphs are banded by min-max signatures of their five-word shingles;
-in a bucket the classes meet the one with most occurrences first. Colliding classes are verified by exact Jaccard similarity and joined to
+in a bucket the classes meet the one with most occurrences first. Pairs whose marks (128 cells that shingles fall into) differ too much
+for the threshold are left out, which loses none. Colliding classes are verified by exact Jaccard similarity and joined to
 components. Paragraphs that overlap in one document are no copies of each other. A component that reaches over several documents is a repeated passage: its
 smallest document keeps it, the others lose it, and overlapping removals of a document merge to spans.
 
@@ -36,7 +37,7 @@ MIN_WORDS, MAX_WORDS, LONG_SENTENCE = 25, 60, 40
 SHINGLE, PERCENT = 5, 80
 WINDOW, ANCHOR = 12, 9
 BANDS, ROWS = 8, 2
-_FACTS = {"n": F.max, "w": F.sum, "lo": F.min, "hi": F.max, "last": F.max, "first": F.min}
+_FACTS = {"n": F.max, "w": F.sum, "lo": F.min, "hi": F.max, "last": F.max, "first": F.min, "m0": F.max, "m1": F.max}
 _WEIGHTS = np.array([3, 5, 7, 11, 13], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
@@ -137,8 +138,14 @@ def _bands(full: np.ndarray, spans: np.ndarray, scale: np.ndarray, shift: np.nda
     return keys
 
 
+def _marks(full: np.ndarray, spans: np.ndarray) -> list[np.ndarray]:
+    """Two columns of 64 bits per paragraph: of 128 cells those that its shingles fall into."""
+    bit, upper = np.uint64(1) << (full & np.uint64(63)), full & np.uint64(64) != 0
+    return [np.bitwise_or.reduceat(np.where(upper == half, bit, np.uint64(0)), spans)[::2].view(np.int64) for half in (False, True)]
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """Paragraphs and blocks of ``sharing_documents``: doc_id, cs, ce (code points), n (distinct shingles), k1, k2 (content hashes), opening (hash of two words) and bands (both null for a block).
+    """Paragraphs and blocks of ``sharing_documents``: doc_id, cs, ce (code points), n (distinct shingles), k1, k2 (content hashes), opening (hash of two words), m0, m1 (cells of its shingles) and bands (these null for a block).
 
     Without the column ``places`` all paragraphs and blocks, else those with a shared anchor: equal or near ones share one.
     """
@@ -168,7 +175,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 first, last = np.append(first, blocks), np.append(last, blocks + MIN_WORDS)
             row = np.searchsorted(words.offsets, first, side="right") - 1
             out = {"doc_id": pa.array(np.asarray(batch.column(0))[row] if len(first) else [], pa.int64())}
-            bands = opens = np.empty(0, np.int64)
+            bands = opens = m0 = m1 = np.empty(0, np.int64)
             if len(first):
                 opens = np.append(opening, np.zeros(len(first) - n_paragraphs, np.uint64)).view(np.int64)
                 spans = np.column_stack([first, last - SHINGLE + 1]).ravel()
@@ -178,6 +185,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 n = _distinct(full, first, last - SHINGLE + 1)
                 if n_paragraphs:
                     bands = _bands(full, near, scale, shift).ravel()
+                    m0, m1 = _marks(full, near)
+                m0, m1 = (np.append(m, np.zeros(len(first) - n_paragraphs, np.int64)) for m in (m0, m1))
             else:
                 k1 = k2 = n = np.empty(0, np.uint64)
             begin = np.minimum(np.arange(len(first) + 1), n_paragraphs).astype(np.int32) * BANDS
@@ -189,13 +198,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 "k1": pa.array(k1.view(np.int64)),
                 "k2": pa.array((k2 >> np.uint64(33)).astype(np.int32)),
                 "opening": pa.array(opens, mask=np.arange(len(first)) >= n_paragraphs),
+                "m0": pa.array(m0, mask=np.arange(len(first)) >= n_paragraphs),
+                "m1": pa.array(m1, mask=np.arange(len(first)) >= n_paragraphs),
                 "bands": lists,
             }
             yield pa.RecordBatch.from_pydict({c: out[c] for c in names})
 
     pruned = "places" in docs.columns
-    names = ("doc_id", "cs", "ce", "n", "k1", "k2", "opening", "bands")
-    return docs.mapInArrow(run, "doc_id long, cs int, ce int, n int, k1 long, k2 int, opening long, bands array<long>")
+    names = ("doc_id", "cs", "ce", "n", "k1", "k2", "opening", "m0", "m1", "bands")
+    return docs.mapInArrow(run, "doc_id long, cs int, ce int, n int, k1 long, k2 int, opening long, m0 long, m1 long, bands array<long>")
 
 
 def several_texts(docs: DataFrame) -> DataFrame | None:
@@ -237,14 +248,16 @@ def repeated_passages(docs: DataFrame, keys: DataFrame | None = None) -> DataFra
     Ids stand for keys where ``keys`` has some (see ``several_texts``).
     """
     with temporary():
-        docs = sharing_documents(keyed(docs, keys).select(F.col("key").alias("doc_id"), "text"))
-        units = durable(paragraphs(docs), outer=True)
-        facts = [f(c).alias(c) for c, f in _FACTS.items()]
-        at = F.min(F.when(F.col("bands").isNotNull(), F.struct("doc_id", "cs", "ce"))).alias("at")
-        seen = units.select("*", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), F.col("cs").alias("last"), F.col("ce").alias("first"), F.lit(1).alias("w"))
-        classes = seen.groupBy("k1", "k2").agg(*facts, at, F.max("opening").alias("opening"), F.first("bands", True).alias("bands"))
-        classes = durable(classes.where("at is not null or lo <> hi"))
-        labels = near_classes(docs, classes)
+        # Texts, bands and marks lie on disk until the members of buckets are known, no longer.
+        with temporary():
+            docs = sharing_documents(keyed(docs, keys).select(F.col("key").alias("doc_id"), "text"))
+            with temporary():
+                found = durable(paragraphs(docs))
+                banded = durable(unit_classes(found), outer=1)
+                units = durable(found.select("doc_id", "cs", "ce", "k1", "k2"), outer=3)
+            classes = durable(banded.select("k1", "k2", "opening", "lo", "hi"), outer=1)
+            members = bucket_members(docs, banded)
+        labels = near_classes(*members)
         classes = classes.join(labels, F.col("k1") == F.col("node"), "left").where("node is not null or lo <> hi")
         classes = durable(classes.select("k1", "k2", F.coalesce("component", "k1").alias("cluster"), "opening", "lo", "hi"))
         spread = classes.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("last")).where("keeper <> last").drop("last")
@@ -253,12 +266,49 @@ def repeated_passages(docs: DataFrame, keys: DataFrame | None = None) -> DataFra
         alone = alone.where("c = 1 and lo = hi").select("k1", "k2", F.lit(True).alias("own"))
         shared = classes.join(spread, "cluster").join(alone, ["k1", "k2"], "left")
         shared = durable(shared.select("k1", "k2", "cluster", "keeper", F.coalesce("own", F.lit(False)).alias("own")), outer=True)
-    hit = units.select("doc_id", "cs", "ce", "k1", "k2").join(shared.hint("shuffle_hash"), ["k1", "k2"])
+    hit = units.join(shared.hint("shuffle_hash"), ["k1", "k2"])
     return hit.select("doc_id", "cs", "ce", "cluster", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"), "own")
 
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, component of the classes of paragraphs (k1) that near copies link.
+def unit_classes(units: DataFrame) -> DataFrame:
+    """k1, k2, the facts of _FACTS, at, opening and bands (b0, b1, ...) of the classes of equal units that are paragraphs or lie in several documents."""
+    facts = [f(c).alias(c) for c, f in _FACTS.items()]
+    names = [f"b{j}" for j in range(BANDS)]
+    # Plain numbers only, so that classes are hashed, not sorted. ``at`` is an occurrence in document lo: cs and ce in one number.
+    seen = units.select(
+        "k1", "k2", "n", "opening", "m0", "m1", *[F.get("bands", F.lit(j)).alias(c) for j, c in enumerate(names)],
+        F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"), F.col("cs").alias("last"), F.col("ce").alias("first"), F.lit(1).alias("w"),
+        F.shiftleft(F.col("cs").cast("long"), 32).bitwiseOR(F.col("ce").cast("long")).alias("at"),
+    )
+    classes = seen.groupBy("k1", "k2").agg(*facts, F.min_by("at", "lo").alias("at"), *[F.max(c).alias(c) for c in ("opening", *names)])
+    return classes.where("opening is not null or lo <> hi")
+
+
+def bucket_members(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the classes of paragraphs (k1 as rep) that meet another one in a bucket: band, rep, n, w, m0, m1 per bucket; their facts; their texts.
+
+    All three outlive the caller's block.
+    """
+    near = classes.where("opening is not null").withColumnRenamed("k1", "rep")
+    # Both the search for mixed buckets and the look at their members go by band; rows have a document only if it is their one.
+    only = F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")
+    entries = near.select("rep", only, "last", "first", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("band")).repartition("band")
+    spread = F.max(F.col("only").isNull()) | (F.min("only") < F.max("only")) | (F.max("last") >= F.min("first"))
+    mixed = entries.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), spread.alias("spread"))
+    mixed = mixed.where("least <> most and spread").select("band")
+    facts = near.groupBy("rep").agg(*[f(c).alias(c) for c, f in _FACTS.items()], F.min_by("at", "lo").alias("at"))
+    close = durable(entries.select("rep", "band").join(mixed.hint("shuffle_hash"), "band").join(facts.select("rep", "n", "w", "m0", "m1"), "rep"), outer=True)
+
+    # One occurrence of every class that collides stands for its text.
+    facts = durable(facts.join(close.select("rep").distinct(), "rep", "left_semi"), outer=True)
+    cs = F.shiftright("at", 32).cast("int")
+    found = facts.select("rep", F.col("lo").alias("doc_id"), cs.alias("cs"), (F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int") - cs).alias("size"))
+    texts = found.join(docs, "doc_id").select(F.col("rep").alias("doc_id"), F.expr("substring(text, cs + 1, size)").alias("text"))
+    return close, facts, durable(texts, outer=True)
+
+
+def near_classes(close: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, component of the classes of paragraphs (k1) that near copies link, from their ``bucket_members``.
 
     Paragraphs that overlap in one document are no copies of each other.
     """
@@ -269,24 +319,7 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         within = (F.col("_a.lo") == F.col("_b.hi")) & (F.col("_a.hi") == F.col("_b.lo"))
         return both.where(~within | (F.col("_a.last") >= F.col("_b.first")) | (F.col("_b.last") >= F.col("_a.first"))).select("a", "b")
 
-    with temporary():
-        near = classes.where("at is not null").withColumnRenamed("k1", "rep")
-        # One shuffle by band serves both the search for mixed buckets and the look at their members; rows have a document only if it is their one.
-        only = F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")
-        entries = near.select("rep", only, "last", "first", F.explode("bands").alias("band")).repartition("band")
-        spread = F.max(F.col("only").isNull()) | (F.min("only") < F.max("only")) | (F.max("last") >= F.min("first"))
-        mixed = entries.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), spread.alias("spread"))
-        mixed = mixed.where("least <> most and spread").select("band")
-        close = entries.select("rep", "band").join(mixed.hint("shuffle_hash"), "band").join(near.select("rep", "n", "w"), "rep")
-        close = durable(close.groupBy("band", "rep").agg(F.max("n").alias("n"), F.max("w").alias("w")))
-
-        # One occurrence of every class that collides stands for its text.
-        needed = close.select("rep").distinct()
-        near = near.join(needed, "rep", "left_semi")
-        facts = durable(near.groupBy("rep").agg(*[f(c).alias(c) for c, f in _FACTS.items()]))
-        texts = near.select("rep", "at.*").join(docs, "doc_id").select(F.col("rep").alias("doc_id"), F.expr("substring(text, cs + 1, ce - cs)").alias("text"))
-        texts = durable(texts.dropDuplicates(["doc_id"]))
-        return durable(linked(close, texts, SHINGLE, PERCENT, apart), outer=True)
+    return linked(close, texts, SHINGLE, PERCENT, apart)
 
 
 def merged_spans(hits: DataFrame) -> DataFrame:

@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scopes = threading.local()
+#: Spark removes the shuffle files of a query when it ends, not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -59,17 +61,23 @@ def temporary():
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def durable(df: DataFrame, outer: bool = False) -> DataFrame:
+def durable(df: DataFrame, outer: int = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but stays columnar, so later readers
     prune columns. The tables of one application lie in one folder named after it
-    and can be removed together once its results are written; see ``temporary`` for an earlier removal.
+    and can be removed together once its results are written; see ``temporary`` for an earlier removal. ``outer`` says how many of the
+    blocks around it the table outlives.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     scopes = _scopes.__dict__.get("stack", [])
     if len(scopes) > outer:
         scopes[-1 - outer].append((spark, path))
-    df.write.parquet(path)
+    kept = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if kept is None else spark.conf.set(_CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
